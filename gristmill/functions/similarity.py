@@ -7,11 +7,17 @@ character of the shorter side.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterable
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
+
+# The functions travel with the plan, so executors need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def _positions(text: str) -> dict[str, int]:
@@ -86,7 +92,7 @@ def closest(text: str, choices: Iterable[str]) -> tuple[str | None, float]:
     return best, best_score
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _best_similarity_udf(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([best_similarity(a, b) for a, b in zip(left, right)], dtype="float64")
 
