@@ -12,8 +12,12 @@ from functools import lru_cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Java's Unicode white space plus the four ASCII separators Python also strips.
-WHITESPACE = r"[\s\x{1c}-\x{1f}]"
+# Every character Python's ``str.isspace`` accepts; ``trim`` alone only knows the space.
+SPACES = "".join(
+    chr(code) for code in (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680,
+                           *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
+)
+_SPACE = r"[\s\x1c-\x1f]"  # under (?U)
 
 
 def as_column(value: Column | str) -> Column:
@@ -25,13 +29,13 @@ def as_string(value: Column | str) -> Column:
 
 
 def strip(value: Column | str) -> Column:
-    """Trim Unicode white space on both sides (``trim`` only knows the space)."""
-    return F.regexp_replace(as_string(value), f"(?U)^{WHITESPACE}+|{WHITESPACE}+$", "")
+    """Trim Unicode white space on both sides."""
+    return F.btrim(as_string(value), F.lit(SPACES))
 
 
 def squeeze(value: Column | str) -> Column:
     """Every run of white space becomes one space."""
-    return F.regexp_replace(as_string(value), f"(?U){WHITESPACE}+", " ")
+    return F.regexp_replace(as_string(value), f"(?U){_SPACE}+", " ")
 
 
 @lru_cache(maxsize=1)
@@ -60,8 +64,29 @@ def transliterate(value: Column | str) -> Column:
     changed = F.translate(text, letters, plain)
     for letter, spelling in spelled:
         changed = F.replace(changed, F.lit(letter), F.lit(spelling))
-    # Plain ASCII, by far the usual case, skips the whole chain.
-    return F.when(text.rlike(r"[^\x00-\x7F]"), changed).otherwise(text)
+    return changed
+
+
+def _cleaned(value: Column | str, settle: bool) -> Column:
+    """Clean a value by the cheapest of three ways.
+
+    Values made of plain words only need upper case, and ASCII values no transliteration.
+    Each way mentions the value once, so nothing is computed twice.
+    """
+    source = as_string(value)
+
+    def full(fold: bool) -> Column:
+        kept = F.regexp_replace(squeeze(strip(source)), r"[^\p{L}\p{N}_ \-.()]", "")
+        text = strip(F.upper(transliterate(kept) if fold else kept))
+        return F.regexp_replace(text, "  +", " ") if settle else text
+
+    # No repeated group: Java would recurse into it on long texts.
+    words = source.rlike(r"^(?! )(?!.*  )[A-Za-z0-9_\-.() ]*+(?<! )$")
+    ascii_only = ~source.rlike(r"[^\x00-\x7F]")
+    return (
+        F.coalesce(F.when(words, F.upper(source)).when(ascii_only, full(False))
+                   .otherwise(full(True)), F.lit(""))
+    )
 
 
 def clean_text(value: Column | str) -> Column:
@@ -70,14 +95,17 @@ def clean_text(value: Column | str) -> Column:
     White space is collapsed before punctuation goes, so ``Beans & Peas`` keeps two
     spaces.  :func:`key_text` is the form without that effect.
     """
-    text = squeeze(strip(F.coalesce(as_string(value), F.lit(""))))
-    kept = F.regexp_replace(text, r"[^\p{L}\p{N}_ \-.()]", "")
-    return strip(F.upper(transliterate(kept)))
+    return _cleaned(value, settle=False)
 
 
 def key_text(value: Column | str) -> Column:
     """:func:`clean_text` brought to a fixed point, so that keys are idempotent."""
-    return F.regexp_replace(clean_text(value), " +", " ")
+    return _cleaned(value, settle=True)
+
+
+def settled(cleaned: Column | str) -> Column:
+    """The :func:`key_text` of a value that is already in clean form."""
+    return F.regexp_replace(as_string(cleaned), "  +", " ")
 
 
 def clean_numeric(value: Column | str) -> Column:
@@ -125,49 +153,43 @@ def skip_reason(crop: Column | str, variety: Column | str) -> Column:
     )
 
 
+_TO_31 = "0*(?:[0-9]|[12][0-9]|3[01])"
+_1_TO_31 = "0*(?:[1-9]|[12][0-9]|3[01])"
+_1_TO_12 = "0*(?:[1-9]|1[0-2])"
+_YEAR = "(?:19[0-9]{2}|20[0-9]{2}|2100)"
+_AROUND = f"{_SPACE}*"
+# Day and month pairs, year ranges, fractions, clock times of at most five characters.
+_DATE_LIKE = "(?U)" + "|".join((
+    f"^{_TO_31}{_AROUND}-{_AROUND}{_TO_31}$",
+    f"^{_YEAR}{_AROUND}-{_AROUND}{_YEAR}$",
+    f"^{_1_TO_12}{_AROUND}/{_AROUND}{_1_TO_31}$",
+    "^(?=.{3,5}$)[0-9]+:[0-9]+$",
+))
+
+
 def guard_for_spreadsheet(value: Column | str) -> Column:
-    """Put ``'`` before a value that a spreadsheet would read as a date, year or time."""
-    source = as_string(value)
-    trimmed = strip(source)
-    bare = F.when(trimmed.rlike("^'.") , F.substring(trimmed, 2, 1 << 30)).otherwise(trimmed)
-
-    def pair(separator: str) -> tuple[Column, Column, Column]:
-        pattern = f"^[ \\t]*([0-9]+)[ \\t]*{separator}[ \\t]*([0-9]+)[ \\t]*$"
-        first = F.regexp_extract(bare, pattern, 1)
-        second = F.regexp_extract(bare, pattern, 2)
-        return bare.rlike(pattern), first, second
-
-    def number(digits: Column) -> Column:
-        return digits.try_cast("double")
-
-    def year(digits: Column) -> Column:
-        return (F.length(digits) == 4) & number(digits).between(1900, 2100)
-
-    is_range, low, high = pair("-")
-    low_n, high_n = number(low), number(high)
-    range_guard = is_range & (
-        (low_n.between(1, 12) & high_n.between(1, 31))
-        | (low_n.between(1, 31) & high_n.between(1, 12))
-        | (year(low) & year(high))
-        | ((low_n < 32) & (high_n < 32))
-    )
+    """Put ``'`` before a value that a spreadsheet would read as a date, year or time.
 
+    Guarded are two numbers below 32 or two years with a dash between, a year, a whole
+    number from 1 to 31, other numbers with a leading zero (but not four digits), a month
+    and a day with a slash, and short clock times.
+    """
+    trimmed = strip(value)
+    quote = trimmed.startswith("'") & (F.length(trimmed) > 1)
+    # White space after a removed quote stays in the value but does not count.
+    bare = F.when(quote, F.substring(trimmed, 2, 1 << 30)).otherwise(trimmed)
+    seen = strip(bare)
     plain = F.replace(bare, F.lit(","), F.lit(""))
-    is_number = F.translate(bare, ".,", "").rlike("^[0-9]+$")
-    whole = plain.rlike("^[0-9]+$")
-    number_guard = is_number & (
-        F.when(plain.rlike("^[0-9]{4}$"), number(plain).between(1900, 2100))
-        .when(whole & number(plain).between(1, 31), True)
-        .otherwise(bare.startswith("0") & (F.length(bare) > 1))
+    number = bare.rlike("^[.,]*[0-9][0-9.,]*$") & (
+        plain.rlike(f"^{_YEAR}$")
+        | (
+            ~plain.rlike("^[0-9]{4}$")
+            & (plain.rlike(f"^{_1_TO_31}$") | (bare.startswith("0") & (F.length(bare) > 1)))
+        )
     )
-
-    is_fraction, top, bottom = pair("/")
-    fraction_guard = is_fraction & number(top).between(1, 12) & number(bottom).between(1, 31)
-    time_guard = (F.length(bare) <= 5) & bare.rlike("^[0-9]+:[0-9]+$")
-
-    guarded = F.coalesce(range_guard | number_guard | fraction_guard | time_guard, F.lit(False))
+    guarded = seen.rlike(_DATE_LIKE) | number
     return (
-        F.when(source.isNull() | (source == "") | (trimmed == ""), trimmed)
+        F.when(~trimmed.rlike("[0-9]"), bare)
         .when(guarded, F.concat(F.lit("'"), bare))
         .otherwise(bare)
     )

@@ -26,17 +26,19 @@ def split_list(value: Column) -> Column:
     return F.filter(members, lambda member: member != "")
 
 
-def merge_lists(values: Column, own: Column | str | None = None) -> Column:
-    """An array of members as one sorted ``a; b; c`` list without ``own``; null when empty."""
+def merge_lists(values: Column) -> Column:
+    """An array of members as one sorted ``a; b; c`` list; null when empty."""
     members = F.array_sort(F.array_distinct(values))
-    if own is not None:
-        own_clean = text.clean_text(F.lit(own) if isinstance(own, str) else own)
-        members = F.filter(
-            members, lambda m: own_clean.isNull() | (own_clean == "") | (text.clean_text(m) != own_clean)
-        )
     return F.nullif(F.array_join(members, "; "), F.lit(""))
 
 
+def is_own(value: Column, own: Column | str) -> Column:
+    """Whether a list member is the table's own country, compared in clean form."""
+    own = F.lit(own) if isinstance(own, str) else own
+    same = (own != "") & (text.clean_text(value) == text.clean_text(own))
+    return F.coalesce(same, F.lit(False))
+
+
 def looks_numeric(value: Column) -> Column:
     return F.translate(value, ".,", "").rlike("^[0-9]+$")
 
@@ -102,12 +104,16 @@ def catalogue_summary(
         .agg(F.sum("n").alias("n"))
     )
 
+    if own_country is not None:
+        listed = F.col("field").isin(*merged)
+        per_lookup = per_lookup.where(~(listed & is_own(F.col("value"), own_country)))
+
     def best(field: str) -> Column:
         here = F.col("field") == field
         # most frequent value, the smallest one on a tie
         mode = F.min(F.when(here, F.struct((-F.col("n")).alias("n"), F.col("value")))).getField("value")
         if field in merged:
-            return merge_lists(F.collect_list(F.when(here, F.col("value"))), own_country)
+            return merge_lists(F.collect_list(F.when(here, F.col("value"))))
         if field in largest:
             numeric = here & looks_numeric(F.col("value"))
             unreadable = F.count_if(numeric & parsed_number(F.col("value")).isNull())
@@ -146,19 +152,20 @@ def match_and_fill(
     )
     best = {f: f"best_{f}" for f in fields if f"best_{f}" in summary.columns}
 
-    name_text = text.strip(quoted(name).cast("string") if isinstance(name, str) else name)
-    name_key = text.key_text(name_text)
     no_crop = F.lit(True) if crop_column is None else text.is_blank(cell_text(rows, crop_column))
     crop_key = F.lit("") if crop_column is None else text.key_text(cell_text(rows, crop_column))
-    lookup = F.when(no_crop, F.concat(F.lit("N:"), name_key)).otherwise(
-        F.concat(F.lit("K:"), crop_key, F.lit("||"), name_key)
-    )
-    has_name = F.coalesce(name_text != "", F.lit(False))
     keyed = rows.withColumns({
-        "__has_name": has_name,
         "__no_crop": no_crop,
-        "__name": F.when(has_name, F.concat(F.lit("N:"), name_key)),
-    }).withColumn("lookup", F.when(has_name, lookup))
+        "__crop": crop_key,
+        "__text": text.strip(quoted(name).cast("string") if isinstance(name, str) else name),
+    }).withColumns({
+        "__has_name": F.coalesce(F.col("__text") != "", F.lit(False)),
+        "__name": text.key_text("__text"),
+    })
+    lookup = F.when(F.col("__no_crop"), F.concat(F.lit("N:"), F.col("__name"))).otherwise(
+        F.concat(F.lit("K:"), F.col("__crop"), F.lit("||"), F.col("__name"))
+    )
+    keyed = keyed.withColumn("lookup", F.when(F.col("__has_name"), lookup)).drop("__text", "__crop")
 
     joined = lookup_join(keyed, summary, ["lookup"], "left")
     # Does the name exist under some other crop?  Only asked for rows that found nothing.
@@ -166,7 +173,8 @@ def match_and_fill(
         F.col("lookup").alias("__open"), F.lit(True).alias("__known")
     )
     found = F.col("match_count").isNotNull()
-    joined = joined.withColumn("__open", F.when(~found & ~F.col("__no_crop"), F.col("__name")))
+    joined = joined.withColumn("__open", F.when(
+        F.col("__has_name") & ~found & ~F.col("__no_crop"), F.concat(F.lit("N:"), F.col("__name"))))
     joined = lookup_join(joined, names, ["__open"], "left")
 
     any_filled = F.lit(False)

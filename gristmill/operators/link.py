@@ -13,15 +13,28 @@ from gristmill.operators.headers import column_for, map_headers
 
 KEY = "__key"
 MATCH_TYPE = "exact_crop_variety"
+# Keys hold "||"; these do not.
+NO_LEFT_NAME, NO_RIGHT_NAME = "unnamed left", "unnamed right"
 
 
-def key_of(df: DataFrame, crop: str | None, variety: str | None) -> Column:
-    """The composite key, or null for a row without a name (which never matches)."""
-    if variety is None:
-        return F.lit(None).cast("string")
-    name = text.key_text(cell_text(df, variety))
-    key = text.composite_key(None if crop is None else cell_text(df, crop), cell_text(df, variety))
-    return F.when(name != "", key)
+def with_key(
+    df: DataFrame, crop: str | None, variety: str | None, cleaned: bool, unnamed: str
+) -> DataFrame:
+    """Add the composite key.
+
+    A row without a name gets ``unnamed`` instead, which no key equals.  The key is thus
+    never null, and the optimizer has no reason to repeat its expression in a null filter.
+    """
+    normal = text.settled if cleaned else text.key_text
+
+    def part(column: str | None) -> Column:
+        return F.lit("") if column is None else F.coalesce(normal(cell_text(df, column)), F.lit(""))
+
+    named = df.withColumn("__name", part(variety))
+    key = F.concat(part(crop), F.lit("||"), F.col("__name"))
+    return named.withColumn(
+        KEY, F.coalesce(F.when(F.col("__name") != "", key), F.lit(unnamed))
+    ).drop("__name")
 
 
 @dataclass(frozen=True)
@@ -37,6 +50,7 @@ class Comparison:
     left_keys: tuple[str | None, str | None]
     right_keys: tuple[str | None, str | None]
     include_blank: bool = False
+    cleaned: bool = False  # the key columns are in clean form already
 
     @classmethod
     def by_headers(cls, left: DataFrame, right: DataFrame, **options) -> Comparison:
@@ -52,8 +66,8 @@ class Comparison:
 
     def _keyed(self) -> tuple[DataFrame, DataFrame]:
         return (
-            self.left.withColumn(KEY, key_of(self.left, *self.left_keys)),
-            self.right.withColumn(KEY, key_of(self.right, *self.right_keys)),
+            with_key(self.left, *self.left_keys, self.cleaned, NO_LEFT_NAME),
+            with_key(self.right, *self.right_keys, self.cleaned, NO_RIGHT_NAME),
         )
 
     def matches(self) -> DataFrame:
@@ -64,10 +78,10 @@ class Comparison:
         left, right = self._keyed()
         left = left.select(
             *[quoted(c).alias(f"File1_{c}") for c in self.left.columns], F.col(KEY)
-        ).where(F.col(KEY).isNotNull())
+        ).where(F.col(KEY) != NO_LEFT_NAME)
         right = right.select(
             *[quoted(c).alias(f"File2_{c}") for c in self.right.columns], F.col(KEY)
-        ).where(F.col(KEY).isNotNull())
+        ).where(F.col(KEY) != NO_RIGHT_NAME)
         joined = left.join(right, KEY)
         return joined.select(
             *[quoted(c) for c in joined.columns if c != KEY],
@@ -80,7 +94,7 @@ class Comparison:
         """One row per shared key with the row counts of both sides, instead of all pairs."""
         counts = self._key_counts()
         return counts.where(
-            F.col(KEY).isNotNull() & F.col("n_left").isNotNull() & F.col("n_right").isNotNull()
+            F.col("n_left").isNotNull() & F.col("n_right").isNotNull()
         ).select(
             F.col(KEY).alias("matched_key"), "n_left", "n_right",
             (F.col("n_left") * F.col("n_right")).alias("pairs"),
@@ -88,7 +102,7 @@ class Comparison:
 
     @staticmethod
     def _without_partner(rows: DataFrame, others: DataFrame) -> DataFrame:
-        keys = others.where(F.col(KEY).isNotNull()).select(KEY).distinct()
+        keys = others.select(KEY).distinct()
         return lookup_join(rows, keys, [KEY], "left_anti").drop(KEY)
 
     def unique_left(self) -> DataFrame:
@@ -98,7 +112,7 @@ class Comparison:
     def unique_right(self) -> DataFrame:
         left, right = self._keyed()
         if not self.include_blank:
-            right = right.where(F.col(KEY).isNotNull())
+            right = right.where(F.col(KEY) != NO_RIGHT_NAME)
         return self._without_partner(right, left)
 
     def _key_counts(self) -> DataFrame:
@@ -115,7 +129,7 @@ class Comparison:
         """
         n_left = F.coalesce(F.col("n_left"), F.lit(0))
         n_right = F.coalesce(F.col("n_right"), F.lit(0))
-        counted_right = F.lit(True) if self.include_blank else F.col(KEY).isNotNull()
+        counted_right = F.lit(True) if self.include_blank else F.col(KEY) != NO_RIGHT_NAME
 
         def summed(value: Column) -> Column:
             return F.coalesce(F.sum(value), F.lit(0)).cast("long")

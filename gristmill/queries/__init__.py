@@ -1,4 +1,4 @@
 from gristmill.queries.registry import REGISTRY, Tables, query
-from gristmill.queries import cleaning  # noqa: E402,F401
+from gristmill.queries import cleaning, combining, linking  # noqa: E402,F401
 
 __all__ = ["REGISTRY", "Tables", "query"]
