@@ -42,7 +42,7 @@ def squeeze(value: Column | str) -> Column:
 def _latin_letters() -> tuple[str, str, tuple[tuple[str, str], ...]]:
     """Accented Latin letters and their ASCII spelling, derived from Unicode decomposition."""
     # fixed values: letters that Unicode does not decompose
-    spelled = {"ß": "ss", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE", "þ": "th", "Þ": "Th"}
+    spelled = {"ß": "ss", "ẞ": "SS", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE", "þ": "th", "Þ": "Th"}
     single = {"ø": "o", "Ø": "O", "đ": "d", "Đ": "D", "ð": "d", "Ð": "D",
               "ł": "l", "Ł": "L", "ħ": "h", "Ħ": "H", "ı": "i"}
     for code in [*range(0xAA, 0x250), *range(0x1E00, 0x1F00)]:

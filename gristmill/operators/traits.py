@@ -1,12 +1,13 @@
 """Rule-based tagging of free text: YES/NO traits with negation and context checks.
 
-For every phrase the text is scanned for non-overlapping hits, each with up to 30
-characters before it.  The rules are built-in functions over arrays; a phrase's pattern
-only runs on texts that contain the phrase at all.
+For every phrase the text is scanned for hits, each with up to 30 characters before it.
+The rules are built-in functions over arrays; a phrase's pattern only runs on texts that
+contain the phrase at all.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -18,57 +19,86 @@ from gristmill.functions.text import is_blank, strip
 
 Phrases = Mapping[str, Mapping[str, Sequence[str]]]
 
-NO_TEXTS = "array<string>"
+HITS = "array<struct<before:string,at:int>>"
 
 
 def _any_word(words: Sequence[str]) -> str:
     return "|".join(f"\\Q{word}\\E" for word in words)
 
 
-def _pattern(phrase: Column, with_context: bool) -> Column:
-    ahead = f"(?=([\\s\\S]{{0,{config.CONTEXT_AFTER}}}))" if with_context else ""
-    # (?d): only \n ends a line; (?U): Unicode word boundaries
-    return F.concat(
-        F.lit(f"(?dU)(.{{0,{config.CONTEXT_BEFORE}}})\\b\\Q"), phrase, F.lit(f"\\E\\b{ahead}")
-    )
-
+def _may_overlap(phrase: str) -> bool:
+    """Whether two hits of a phrase can share words, as in "so and so and so"."""
+    words = re.findall(r"\w+|[^\w]", phrase)
+    return any(words[:k] == words[-k:] for k in range(1, len(words)))
 
-def _occurring(text: Column, phrases: Sequence[str]) -> Column:
-    listed = F.array(*[F.lit(p) for p in phrases]) if phrases else F.array().cast(NO_TEXTS)
-    return F.filter(listed, lambda phrase: F.contains(text, phrase))
 
+def _last_line_end(text: Column) -> Column:
+    """The characters right before the end of a text, on its last line."""
+    return F.right(F.substring_index(text, "\n", -1), F.lit(config.CONTEXT_BEFORE))
 
-def _contexts(text: Column, phrases: Sequence[str]) -> Column:
-    """What stands before each hit of each phrase."""
-    return F.flatten(F.transform(
-        _occurring(text, phrases),
-        lambda phrase: F.regexp_extract_all(text, _pattern(phrase, False), F.lit(1)),
-    ))
 
+def _hits(text: Column, phrase: Column) -> Column:
+    """Hits of a whole phrase: what stands before each one, and what follows.
 
-def _contexts_both_sides(text: Column, phrases: Sequence[str]) -> Column:
-    """What stands before and after each hit of each phrase."""
-    return F.flatten(F.transform(
-        _occurring(text, phrases),
-        lambda phrase: F.zip_with(
-            F.regexp_extract_all(text, _pattern(phrase, True), F.lit(1)),
-            F.regexp_extract_all(text, _pattern(phrase, True), F.lit(2)),
-            lambda before, after: F.struct(before.alias("before"), after.alias("after")),
-        ),
-    ))
+    The text is cut at the phrase.  A hit sees up to 30 characters back on its line, but
+    not beyond the previous hit; one that starts less than 30 characters after the start
+    of the previous hit's view belongs to that hit and extends it.
+    """
+    whole = F.concat(F.lit("(?U)\\Q"), phrase, F.lit("\\E\\b(?<=\\b\\Q"), phrase, F.lit("\\E)"))
+
+    def scan(pieces: Column) -> Column:
+        def step(acc: Column, at: Column) -> Column:
+            gap = F.element_at(pieces, at)
+            reach = F.length(acc["before"]) + F.length(phrase) + F.length(gap)
+            extends = F.coalesce(
+                (reach <= config.CONTEXT_BEFORE) & ~F.contains(gap, F.lit("\n")), F.lit(False))
+            done = F.when(extends | acc["before"].isNull(), acc["done"]).otherwise(
+                F.concat(acc["done"], F.array(F.struct(acc["before"].alias("before"), acc["at"].alias("at")))))
+            before = F.when(extends, F.concat(acc["before"], phrase, gap)).otherwise(_last_line_end(gap))
+            return F.struct(done.alias("done"), before.alias("before"), at.alias("at"))
+
+        def finish(acc: Column) -> Column:
+            last = F.struct(acc["before"].alias("before"), acc["at"].alias("at"))
+            return F.concat(acc["done"], F.array(last))
+
+        start = F.struct(
+            F.array().cast(HITS).alias("done"),
+            F.lit(None).cast("string").alias("before"), F.lit(0).alias("at"))
+        found = F.aggregate(F.sequence(F.lit(1), F.size(pieces) - 1), start, step, finish)
+
+        def with_rest(hit: Column) -> Column:
+            # every further piece adds at least one character
+            rest = F.call_function(
+                "array_join", F.slice(pieces, hit["at"] + 1, config.CONTEXT_AFTER + 1), phrase)
+            return F.struct(hit["before"].alias("before"),
+                            F.substring(rest, 1, config.CONTEXT_AFTER).alias("after"))
+
+        found = F.when(F.size(pieces) > 1, found).otherwise(F.array().cast(HITS))
+        return F.transform(found, with_rest)
+
+    return F.flatten(F.transform(F.array(F.split(text, whole, -1)), scan))
+
+
+def _all_hits(text: Column, phrases: Sequence[str]) -> Column:
+    """Hits of every phrase that occurs in the text at all."""
+    clash = [p for p in phrases if _may_overlap(p)]
+    if clash:
+        raise ValueError(f"phrases may not overlap themselves: {clash}")
+    listed = F.array(*[F.lit(p) for p in phrases]) if phrases else F.array().cast("array<string>")
+    occurring = F.filter(listed, lambda phrase: F.contains(text, phrase))
+    return F.flatten(F.transform(occurring, lambda phrase: _hits(text, phrase)))
 
 
 def _evidence(
-    text: Column, phrases: Mapping[str, Sequence[str]],
-    generic: Sequence[str], context: Sequence[str], negation: Sequence[str],
+    text: Column, phrases: Mapping[str, Sequence[str]], generic: Sequence[str], context: Sequence[str],
 ) -> dict[str, Column]:
     """Hits of one trait: specific and generic positives, explicit negatives."""
     needs_context = set(generic) if context else set()
     yes = phrases.get("YES", ())
     return {
-        "specific": _contexts(text, [p for p in yes if p not in needs_context]),
-        "generic": _contexts_both_sides(text, [p for p in yes if p in needs_context]),
-        "explicit": F.size(_contexts(text, phrases.get("NO", ()))),
+        "specific": _all_hits(text, [p for p in yes if p not in needs_context]),
+        "generic": _all_hits(text, [p for p in yes if p in needs_context]),
+        "explicit": F.size(_all_hits(text, phrases.get("NO", ()))),
     }
 
 
@@ -104,22 +134,20 @@ def extract_traits(
         f"__{kind}_{trait}": hits
         for trait, listed in phrases.items()
         for kind, hits in _evidence(
-            text, listed, generic, generic_context.get(trait, ()), negation).items()
+            text, listed, generic, generic_context.get(trait, ())).items()
     })
 
     def counts(trait: str) -> dict[str, Column]:
         specific, both = F.col(f"__specific_{trait}"), F.col(f"__generic_{trait}")
         words = _any_word(generic_context.get(trait, ()))
+
+        def negated(hit: Column) -> Column:
+            return hit["before"].rlike(negates)
+
         return {
-            f"__yes_{trait}": (
-                F.size(F.filter(specific, lambda c: ~c.rlike(negates)))
-                + F.size(F.filter(
-                    both, lambda c: ~c["before"].rlike(negates) & c["after"].rlike(words)))
-            ),
-            f"__negated_{trait}": (
-                F.size(F.filter(specific, lambda c: c.rlike(negates)))
-                + F.size(F.filter(both, lambda c: c["before"].rlike(negates)))
-            ),
+            f"__yes_{trait}": F.size(F.filter(specific, lambda h: ~negated(h)))
+            + F.size(F.filter(both, lambda h: ~negated(h) & h["after"].rlike(words))),
+            f"__negated_{trait}": F.size(F.filter(specific, negated)) + F.size(F.filter(both, negated)),
         }
 
     counted = found.withColumns({k: v for trait in phrases for k, v in counts(trait).items()})

@@ -114,7 +114,7 @@ def misspelled(t: Tables):
         F.when(kind == 0, F.array_join(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(1))), " "))
         .when(kind == 1, F.array_join(F.reverse(words), " "))
         .when(kind == 2, F.concat(F.substring(title, 1, 4), F.substring(title, 6, 1000)))
-        .otherwise(F.upper(title)).alias("asked"),
+        .otherwise(F.lower(title)).alias("asked"),
     )
 
 
@@ -122,7 +122,7 @@ _TITLES = "(select page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) as
 _ASKED = f"""(select page_id, case page_id % 4
     when 0 then array_to_string(w[1:greatest(len(w) - 1, 1)], ' ')
     when 1 then array_to_string(list_reverse(w), ' ')
-    when 2 then substr(title, 1, 4) || substr(title, 6) else upper(title) end as asked
+    when 2 then substr(title, 1, 4) || substr(title, 6) else lower(title) end as asked
   from (select *, string_split(title, ' ') w from {_TITLES}))"""
 
 
