@@ -35,7 +35,7 @@ def clean_frame(df: DataFrame, drop_blank: bool = False) -> DataFrame:
         return cleaned.where(any_of([
             (quoted(c) != "") if c in texts else quoted(c).isNotNull() for c in df.columns
         ]))
-    return cleaned.dropna(how="all")
+    return cleaned if texts else cleaned.dropna(how="all")
 
 
 def cleaning_report(before: DataFrame, after: DataFrame) -> DataFrame:

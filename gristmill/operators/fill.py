@@ -20,12 +20,6 @@ ROWS = "__rows"
 DELIMITERS = "[;,|]"
 
 
-def split_list(value: Column) -> Column:
-    """The non-blank members of a delimited list, trimmed."""
-    members = F.transform(F.split(value, DELIMITERS), text.strip)
-    return F.filter(members, lambda member: member != "")
-
-
 def merge_lists(values: Column) -> Column:
     """An array of members as one sorted ``a; b; c`` list; null when empty."""
     members = F.array_sort(F.array_distinct(values))
@@ -67,43 +61,39 @@ def catalogue_summary(
     fields = present(catalogue, fields)
     named = catalogue.where(~text.is_blank(cell_text(catalogue, name)))
 
-    def entries(field: str) -> Column:
-        value = text.strip(cell_text(named, field))
-        members = F.array(value)
-        if field in merged:
-            members = split_list(value)
-            if country is not None and country in named.columns:
-                members = F.concat(
-                    F.coalesce(members, F.array().cast("array<string>")),
-                    F.coalesce(F.array(text.strip(cell_text(named, country)))),
-                )
-        kept = F.filter(members, lambda m: m.isNotNull() & (m != ""))
-        kept = F.coalesce(kept, F.array().cast("array<string>"))
-        return F.transform(
-            kept, lambda m: F.struct(F.lit(field).alias("field"), m.alias("value"))
-        )
-
-    row_mark = F.array(F.struct(F.lit(ROWS).alias("field"), F.lit("").alias("value")))
-    crop_key = F.lit("") if crop is None else text.key_text(cell_text(named, crop))
+    def entry(field: str, value: Column) -> Column:
+        return F.struct(F.lit(field).alias("field"), value.alias("value"))
+
+    listed = [f for f in fields if f in merged]
+    cells = [entry(ROWS, F.lit("."))] + [entry(f, cell_text(named, f)) for f in fields]
+    if country is not None and country in named.columns:
+        # every match adds its own country to the list
+        cells += [entry(f, cell_text(named, country)) for f in listed]
+    members = F.when(F.col("field").isin(*listed), F.split("value", DELIMITERS)).otherwise(
+        F.array("value")) if listed else F.array("value")
+    # Keys first, on their own: below the expansion they are computed once per row.
+    keyed = named.select(
+        (F.lit("") if crop is None else text.key_text(cell_text(named, crop))).alias("crop_key"),
+        text.key_text(cell_text(named, name)).alias("name_key"),
+        F.array(*cells).alias("cells"),
+    )
     counted = (
-        named.select(
-            crop_key.alias("crop_key"),
-            text.key_text(cell_text(named, name)).alias("name_key"),
-            F.inline(F.concat(row_mark, *[entries(f) for f in fields])),
-        )
+        keyed.select("crop_key", "name_key", F.inline("cells"))
+        .where(F.col("value").isNotNull())
+        .select("crop_key", "name_key", "field", F.explode(members).alias("value"))
+        .withColumn("value", text.strip("value"))
+        .where(F.col("value") != "")
         .groupBy("crop_key", "name_key", "field", "value")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    lookups = F.array(
-        F.concat(F.lit("K:"), F.col("crop_key"), F.lit("||"), F.col("name_key")),
-        F.concat(F.lit("N:"), F.col("name_key")),
-    )
-    per_lookup = (
-        counted.select(F.explode(lookups).alias("lookup"), "field", "value", "n")
-        .groupBy("lookup", "field", "value")
-        .agg(F.sum("n").alias("n"))
-    )
-
+    # By crop and name the counts are final; by name alone they are summed once more.
+    by_key = counted.select(
+        F.concat(F.lit("K:"), "crop_key", F.lit("||"), "name_key").alias("lookup"),
+        "field", "value", "n")
+    by_name = (
+        counted.groupBy("name_key", "field", "value").agg(F.sum("n").alias("n"))
+        .select(F.concat(F.lit("N:"), "name_key").alias("lookup"), "field", "value", "n"))
+    per_lookup = by_key.unionByName(by_name)
     if own_country is not None:
         listed = F.col("field").isin(*merged)
         per_lookup = per_lookup.where(~(listed & is_own(F.col("value"), own_country)))
@@ -169,12 +159,14 @@ def match_and_fill(
 
     joined = lookup_join(keyed, summary, ["lookup"], "left")
     # Does the name exist under some other crop?  Only asked for rows that found nothing.
-    names = summary.where(F.col("lookup").startswith("N:")).select(
-        F.col("lookup").alias("__open"), F.lit(True).alias("__known")
+    names = (
+        catalogue.where(~text.is_blank(cell_text(catalogue, catalogue_name)))
+        .select(text.key_text(cell_text(catalogue, catalogue_name)).alias("__open"))
+        .distinct().withColumn("__known", F.lit(True))
     )
     found = F.col("match_count").isNotNull()
     joined = joined.withColumn("__open", F.when(
-        F.col("__has_name") & ~found & ~F.col("__no_crop"), F.concat(F.lit("N:"), F.col("__name"))))
+        F.col("__has_name") & ~found & ~F.col("__no_crop"), F.col("__name")))
     joined = lookup_join(joined, names, ["__open"], "left")
 
     any_filled = F.lit(False)

@@ -134,32 +134,52 @@ def _cosine(left: Column, right: Column) -> Column:
 
 
 def _pairs(index: NameIndex, queries: DataFrame, lowest: float) -> DataFrame:
-    """Pairs with ``cosine >= need``.  ``queries`` has ``clean`` and ``need`` (distinct)."""
-    counts = _gram_counts(queries, "need")
-    vectors = _vectors(counts.drop("need"), index.weights)
-    vectors = vectors.join(queries, "clean")
-
-    def postings(df: DataFrame, *carried: str) -> DataFrame:
-        return df.select(
-            "clean", *carried,
-            F.inline(F.arrays_zip(
-                F.transform("unit", lambda t: t["gram"]).alias("gram"), F.col("remainder"))),
-        )
+    """Pairs with ``cosine >= need``.  ``queries`` has ``clean`` and ``need`` (distinct).
 
-    theirs = postings(vectors, "need").where(F.col("remainder") >= F.col("need") - SLACK)
-    ours = postings(index.vectors).where(F.col("remainder") >= F.lit(lowest - SLACK))
+    Partners meet under the leading grams of both.  The products seen there add up to a
+    part of the cosine; what may still be missing lies behind the last shared gram and is
+    bounded by what remains of both vectors.  Only pairs whose bound reaches the minimum
+    fetch their whole vectors for the exact value.
+    """
+    vectors = _vectors(_gram_counts(queries), index.weights).join(queries, "clean")
+
+    def postings(df: DataFrame, reach: Column, *carried: str) -> DataFrame:
+        after = F.concat(F.slice("remainder", 2, F.greatest(F.size("remainder") - 1, F.lit(0))),
+                         F.array(F.lit(0.0)))
+        zipped = F.arrays_zip(
+            F.transform("unit", lambda t: t["gram"]).alias("gram"),
+            F.transform("unit", lambda t: t["weight"]).alias("weight"),
+            F.col("remainder"), after.alias("after"),
+        )
+        return df.select("clean", *carried, F.inline(zipped)).where(F.col("remainder") >= reach - SLACK)
+
+    theirs = postings(vectors, F.col("need"), "need").select(
+        F.col("clean").alias("query"), "gram", "need",
+        F.col("weight").alias("query_weight"), F.col("after").alias("query_after"))
+    ours = postings(index.vectors, F.lit(lowest)).select(
+        F.col("clean").alias("candidate"), "gram", "remainder",
+        F.col("weight").alias("candidate_weight"), F.col("after").alias("candidate_after"))
     meet = (
-        theirs.select(F.col("clean").alias("query"), "gram", "need")
-        .join(ours.select(F.col("clean").alias("candidate"), "gram", "remainder"), "gram")
+        theirs.join(ours, "gram")
         .where(F.col("remainder") >= F.col("need") - SLACK)
-        .select("query", "candidate")
-        .distinct()
+        .groupBy("query", "candidate", "need")
+        .agg(
+            F.sum(F.col("query_weight") * F.col("candidate_weight")).alias("seen"),
+            F.min("query_after").alias("query_after"),
+            F.min("candidate_after").alias("candidate_after"),
+        )
+    )
+    # Of the two remainders, one lies behind its own cut and is shorter than ``need``.
+    unseen = F.least(
+        F.col("need") * F.greatest("query_after", "candidate_after"),
+        F.col("query_after") * F.col("candidate_after"),
     )
-    asked = vectors.select(
-        F.col("clean").alias("query"), F.col("unit").alias("query_unit"), "need")
+    hopeful = meet.where(F.col("seen") + unseen >= F.col("need") - SLACK).select(
+        "query", "candidate", "need")
+    asked = vectors.select(F.col("clean").alias("query"), F.col("unit").alias("query_unit"))
     known = index.vectors.select(
         F.col("clean").alias("candidate"), F.col("unit").alias("candidate_unit"))
-    scored = meet.join(known, "candidate").join(asked, "query")
+    scored = hopeful.join(known, "candidate").join(asked, "query")
     return (
         scored.withColumn("cosine", _cosine(F.col("query_unit"), F.col("candidate_unit")))
         .where(F.col("cosine") >= F.col("need") - SLACK)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.functions import text
-from gristmill.functions.frames import cell_text, lookup_join, percent, quoted
+from gristmill.functions.frames import cell_text, lookup_join, percent, quoted, string_columns
 from gristmill.operators.headers import column_for, map_headers
 
 KEY = "__key"
@@ -18,23 +18,26 @@ NO_LEFT_NAME, NO_RIGHT_NAME = "unnamed left", "unnamed right"
 
 
 def with_key(
-    df: DataFrame, crop: str | None, variety: str | None, cleaned: bool, unnamed: str
+    df: DataFrame, crop: str | None, variety: str | None, clean: bool, unnamed: str
 ) -> DataFrame:
-    """Add the composite key.
+    """The table, in clean form if asked for, with its composite key.
 
     A row without a name gets ``unnamed`` instead, which no key equals.  The key is thus
     never null, and the optimizer has no reason to repeat its expression in a null filter.
     """
-    normal = text.settled if cleaned else text.key_text
-
     def part(column: str | None) -> Column:
-        return F.lit("") if column is None else F.coalesce(normal(cell_text(df, column)), F.lit(""))
-
-    named = df.withColumn("__name", part(variety))
-    key = F.concat(part(crop), F.lit("||"), F.col("__name"))
-    return named.withColumn(
+        return F.lit("") if column is None else text.key_text(cell_text(df, column))
+
+    texts = set(string_columns(df)) if clean else ()
+    name = part(variety)
+    staged = df.select(
+        *[(text.clean_text(quoted(c)) if c in texts else quoted(c)).alias(c) for c in df.columns],
+        name.alias("__name"), part(crop).alias("__crop"),
+    )
+    key = F.concat(F.col("__crop"), F.lit("||"), F.col("__name"))
+    return staged.withColumn(
         KEY, F.coalesce(F.when(F.col("__name") != "", key), F.lit(unnamed))
-    ).drop("__name")
+    ).drop("__name", "__crop")
 
 
 @dataclass(frozen=True)
@@ -50,7 +53,7 @@ class Comparison:
     left_keys: tuple[str | None, str | None]
     right_keys: tuple[str | None, str | None]
     include_blank: bool = False
-    cleaned: bool = False  # the key columns are in clean form already
+    clean: bool = False  # bring every text column to its clean form
 
     @classmethod
     def by_headers(cls, left: DataFrame, right: DataFrame, **options) -> Comparison:
@@ -64,10 +67,19 @@ class Comparison:
     def including_blank(self) -> Comparison:
         return replace(self, include_blank=True)
 
-    def _keyed(self) -> tuple[DataFrame, DataFrame]:
+    def _keyed(self, named_only: bool = False) -> tuple[DataFrame, DataFrame]:
+        def named(df: DataFrame, name: str | None) -> DataFrame:
+            # A cheap test of the raw cell; what is blank only after cleaning keeps its
+            # place-holder key and matches nothing.
+            if not named_only:
+                return df
+            return df.where(F.lit(False) if name is None else ~text.is_blank(cell_text(df, name)))
+
+        left = named(self.left, self.left_keys[1])
+        right = named(self.right, self.right_keys[1])
         return (
-            with_key(self.left, *self.left_keys, self.cleaned, NO_LEFT_NAME),
-            with_key(self.right, *self.right_keys, self.cleaned, NO_RIGHT_NAME),
+            with_key(left, *self.left_keys, self.clean, NO_LEFT_NAME),
+            with_key(right, *self.right_keys, self.clean, NO_RIGHT_NAME),
         )
 
     def matches(self) -> DataFrame:
@@ -75,13 +87,9 @@ class Comparison:
 
         Both inputs are plain shuffles on the key, so a hot key is split on either side.
         """
-        left, right = self._keyed()
-        left = left.select(
-            *[quoted(c).alias(f"File1_{c}") for c in self.left.columns], F.col(KEY)
-        ).where(F.col(KEY) != NO_LEFT_NAME)
-        right = right.select(
-            *[quoted(c).alias(f"File2_{c}") for c in self.right.columns], F.col(KEY)
-        ).where(F.col(KEY) != NO_RIGHT_NAME)
+        left, right = self._keyed(named_only=True)
+        left = left.select(*[quoted(c).alias(f"File1_{c}") for c in self.left.columns], F.col(KEY))
+        right = right.select(*[quoted(c).alias(f"File2_{c}") for c in self.right.columns], F.col(KEY))
         joined = left.join(right, KEY)
         return joined.select(
             *[quoted(c) for c in joined.columns if c != KEY],
@@ -101,19 +109,21 @@ class Comparison:
         )
 
     @staticmethod
-    def _without_partner(rows: DataFrame, others: DataFrame) -> DataFrame:
-        keys = others.select(KEY).distinct()
-        return lookup_join(rows, keys, [KEY], "left_anti").drop(KEY)
+    def _without_partner(rows: DataFrame, partners: DataFrame) -> DataFrame:
+        return lookup_join(rows, partners, [KEY], "left_anti").drop(KEY)
 
     def unique_left(self) -> DataFrame:
         left, right = self._keyed()
-        return self._without_partner(left, right)
+        return self._without_partner(left, right.select(KEY).distinct())
 
     def unique_right(self) -> DataFrame:
         left, right = self._keyed()
+        partners = left.select(KEY).distinct()
         if not self.include_blank:
-            right = right.where(F.col(KEY) != NO_RIGHT_NAME)
-        return self._without_partner(right, left)
+            # the place-holder counts as matched, so unnamed rows leave in the same join
+            unnamed = partners.sparkSession.range(1).select(F.lit(NO_RIGHT_NAME).alias(KEY))
+            partners = partners.union(unnamed)
+        return self._without_partner(right, partners)
 
     def _key_counts(self) -> DataFrame:
         left, right = self._keyed()

@@ -68,9 +68,7 @@ def match_and_fill(
 
 def compare(left: DataFrame, right: DataFrame, **options) -> link.Comparison:
     """Clean both tables and compare them on the key columns their headers name."""
-    return link.Comparison.by_headers(
-        cleaning.clean_frame(left), cleaning.clean_frame(right), cleaned=True, **options
-    )
+    return link.Comparison.by_headers(left, right, clean=True, **options)
 
 
 def tag_traits(df: DataFrame, text_column: str | None = None) -> tuple[DataFrame, DataFrame]:
