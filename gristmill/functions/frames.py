@@ -82,8 +82,15 @@ def lookup_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str
     shuffles).  Joining on a digest of the key as well makes both inputs plain shuffles:
     a key that holds a third of the left rows is spread over many tasks, and the right
     side stays small enough to broadcast whenever its measured size allows.
+
+    ``how`` is inner, left, left_semi or left_anti.
     """
     digest = "__digest"
-    left = left.withColumn(digest, F.xxhash64(*[quoted(k) for k in keys]))
-    right = right.withColumn(digest, F.xxhash64(*[quoted(k) for k in keys]))
+    on_key = F.xxhash64(*[quoted(k) for k in keys])
+    # A row without a key matches nothing, so it may go anywhere: spread such rows by content.
+    hashable = [quoted(name) for name, kind in left.dtypes if "map<" not in kind and kind != "variant"]
+    no_key = any_of([quoted(k).isNull() for k in keys])
+    spread = F.when(no_key, F.xxhash64(*hashable)).otherwise(on_key)
+    left = left.withColumn(digest, on_key if how == "inner" else spread)
+    right = right.withColumn(digest, on_key)
     return left.join(right, [digest, *keys], how).drop(digest)

@@ -112,18 +112,24 @@ class Comparison:
     def _without_partner(rows: DataFrame, partners: DataFrame) -> DataFrame:
         return lookup_join(rows, partners, [KEY], "left_anti").drop(KEY)
 
+    @staticmethod
+    def _keyless(rows: DataFrame, unnamed: str) -> DataFrame:
+        """Unnamed rows without a key at all, which spreads them over the join's tasks."""
+        return rows.withColumn(KEY, F.when(F.col(KEY) != unnamed, F.col(KEY)))
+
     def unique_left(self) -> DataFrame:
         left, right = self._keyed()
-        return self._without_partner(left, right.select(KEY).distinct())
+        partners = right.select(KEY).distinct()
+        return self._without_partner(self._keyless(left, NO_LEFT_NAME), partners)
 
     def unique_right(self) -> DataFrame:
-        left, right = self._keyed()
+        left, right = self._keyed(named_only=not self.include_blank)
         partners = left.select(KEY).distinct()
-        if not self.include_blank:
-            # the place-holder counts as matched, so unnamed rows leave in the same join
-            unnamed = partners.sparkSession.range(1).select(F.lit(NO_RIGHT_NAME).alias(KEY))
-            partners = partners.union(unnamed)
-        return self._without_partner(right, partners)
+        if self.include_blank:
+            return self._without_partner(self._keyless(right, NO_RIGHT_NAME), partners)
+        # the place-holder counts as matched, so names that are only punctuation leave too
+        unnamed = partners.sparkSession.range(1).select(F.lit(NO_RIGHT_NAME).alias(KEY))
+        return self._without_partner(right, partners.union(unnamed))
 
     def _key_counts(self) -> DataFrame:
         left, right = self._keyed()
