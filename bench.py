@@ -21,9 +21,9 @@ from gristmill.queries import REGISTRY
 HEADLINE = (
     "clean_text", "clean_frame_report", "excel_guard", "combine_sources", "quarantine",
     "dedup_most_complete", "dedup_stats", "compare_matches", "compare_unique_left",
-    "compare_stats", "match_fill", "match_stats", "search_cascading", "search_global",
+    "compare_stats", "match_fill", "search_cascading", "search_global",
     "facet_table", "facet_filter", "column_profile", "field_completeness",
-    "distribution_top10", "split_summary", "trait_tags", "trait_report",
+    "distribution_top10", "split_summary", "trait_tags",
     "tfidf_topk", "fuzzy_match",
 )
 
