@@ -40,10 +40,6 @@ def any_of(conditions: Sequence[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions, F.lit(False))
 
 
-def all_of(conditions: Sequence[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions, F.lit(True))
-
-
 def total(counts: Sequence[Column]) -> Column:
     return reduce(lambda a, b: a + b, counts, F.lit(0))
 
@@ -54,10 +50,6 @@ def percent(part: Column, whole: Column, digits: int | None = 1) -> Column:
     return share if digits is None else F.round(share, digits)
 
 
-def ratio_percent(part: Column, whole: Column) -> Column:
-    return percent(part, whole, None)
-
-
 def long_form(
     df: DataFrame, columns: Sequence[str], ids: Sequence[str] = (),
     name: str = "column", value: str = "value",
@@ -68,11 +60,6 @@ def long_form(
     return wide.unpivot(list(ids), [quoted(c) for c in columns], name, value)
 
 
-def struct_rows(entries: Sequence[Column]) -> Column:
-    """Explode one-row statistics into one row per entry."""
-    return F.explode(F.array(*entries))
-
-
 def lookup_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
     """Join many rows against a side that holds each key at most once.
 

@@ -13,7 +13,7 @@ from gristmill import config
 from gristmill.functions import text
 from gristmill.functions.frames import cell, cell_text, percent, present, quoted, total
 from gristmill.operators.cleaning import clean_text_columns
-from gristmill.operators.headers import apply_mapping, column_for, combine_key_columns, map_headers
+from gristmill.operators.headers import column_for, combine_key_columns, map_headers
 
 PROVENANCE = ("source_file", "source_index")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gristmill.functions.frames import cell, cell_text, lookup_join, percent, quoted, total
+from gristmill.functions.frames import cell, cell_text, lookup_join, percent, total
 from gristmill.functions.text import safe_file_name, safe_sheet_name
 
 UNKNOWN = "Unknown"

@@ -3,7 +3,6 @@
 from pyspark.sql import functions as F
 
 from gristmill.operators import facets, search
-from gristmill.queries import dialect as sql
 from gristmill.queries.registry import Tables, query
 
 

@@ -8,9 +8,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill import config
-from gristmill.functions.frames import any_of, cell
-from gristmill.functions.frames import quoted
+from gristmill.functions.frames import any_of, cell, quoted
 from gristmill.operators.headers import apply_mapping, column_for, missing_essentials
 from gristmill.operators.traits import extract_traits
 

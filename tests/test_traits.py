@@ -3,8 +3,6 @@
 import random
 import re
 
-from pyspark.sql import functions as F
-
 from gristmill import config
 from gristmill.operators import traits
 
