@@ -29,8 +29,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: An item above total / (shards * LARGE) is differenced at the last level itself.
 LARGE = 200
-#: Items of one block, and the most for the last level.
-BLOCK, LAST = 50_000, 60_000
+#: Items of one block (a level leaves ``shards`` of them), blocks of one task, and the most items for the last level.
+BLOCK, BLOCKS_OF_A_TASK, LAST = 1000, 50, 60_000
 
 
 def difference(items: list[tuple[int, int]], ways: int) -> list[list[int]]:
@@ -100,10 +100,9 @@ def shard_groups(groups: DataFrame, shards: int) -> DataFrame:
             "block", F.pmod(F.xxhash64("item", F.lit(len(levels))), F.lit(blocks)))
         if not small.head(1):
             break  # at most shards * LARGE large items
-        ways = shards if blocks < 200 else 4 * shards
-        # A partition holds whole blocks of about BLOCK items.
-        bundled = saved(small.repartition(blocks, "block").mapInPandas(
-            _block(ways), "item long, bundle long, size long"))
+        tasks = max(1, blocks // BLOCKS_OF_A_TASK)
+        bundled = saved(small.repartition(tasks, "block").mapInPandas(
+            _block(shards), "item long, bundle long, size long"))
         levels.append(bundled)
         items = saved(
             bundled.groupBy("bundle").agg(F.sum("size").alias("size"))
