@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -43,3 +44,50 @@ def op3_sharding(spark: SparkSession, folder: str) -> DataFrame:
     from gristmill.llm.sharding import shard
 
     return shard(table(spark, folder, "documents"), 40)
+
+
+@query()
+def op9_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    from gristmill.llm.windows_dedup import dedup_report
+
+    return dedup_report(table(spark, folder, "documents"), 20)
+
+
+@query()
+def op5_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    from gristmill.llm.suffix_dedup import dedup_report
+
+    return dedup_report(table(spark, folder, "documents"), 50)
+
+
+@query()
+def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    from gristmill.llm.toxicity import report
+
+    return report(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query()
+def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
+    from gristmill.llm.quality import report
+
+    return report(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("""
+WITH part AS (
+    SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(embedding) > 0
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+      AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+near AS (
+    SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v) AS score
+    FROM part q JOIN part c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id AND len(c.v) = len(q.v)),
+placed AS (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM near)
+SELECT query_id, place::INTEGER AS rank, vec_id, score FROM placed WHERE place <= 20
+""")
+def op4_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    from gristmill.llm.neighbours import nearest
+
+    return nearest(table(spark, folder, "embeddings"), F.pmod(F.col("vec_id"), F.lit(20)) == 0, 20)

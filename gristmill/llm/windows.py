@@ -104,17 +104,31 @@ def lower_ascii() -> np.ndarray:
     return table
 
 
-def word_places(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def white_space() -> np.ndarray:
+    table = np.zeros(256, dtype=bool)
+    table[[9, 10, 11, 12, 13, 32]] = True
+    return table
+
+
+def no_letters() -> np.ndarray:
+    """Every byte but ASCII letters and those of other characters."""
+    table = np.ones(256, dtype=bool)
+    table[65:91] = table[97:123] = table[128:] = False
+    return table
+
+
+def word_places(
+    raw: np.ndarray, at: np.ndarray, space: np.ndarray | None = None,
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of every word, and for each text where its words begin (and the end).
 
-    Words are maximal runs of bytes other than the six ASCII white-space characters.
+    Words are maximal runs of bytes other than those that ``space`` marks: by default the six
+    ASCII white-space characters.
     """
     if not len(raw):
         none = np.zeros(0, dtype=np.int64)
         return none, none, np.zeros(len(at), dtype=np.int64)
-    space = np.zeros(256, dtype=bool)
-    space[[9, 10, 11, 12, 13, 32]] = True
-    blank = space[raw]
+    blank = (white_space() if space is None else space)[raw]
     before = np.ones(len(raw) + 1, dtype=bool)
     before[1:] = blank
     after = before[1:].copy()
