@@ -16,8 +16,10 @@ an empty table gives an empty table; other columns are ignored.
 from __future__ import annotations
 
 import bisect
+import json
 import os
 import sys
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from pathlib import Path
@@ -34,33 +36,82 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Words whose tokens a worker remembers before it starts afresh.
-REMEMBERED_WORDS = 300_000
+REMEMBERED_WORDS = 1_000_000
 
 Pattern = tuple[int, list[tuple[int, int]]]  # how many sequences, of (length, pieces of it)
 
 
+class WordTokens(dict):
+    """The packed tokens of a word, found once and remembered; a worker keeps it from task to task.
+
+    White space never joins two words' tokens.  A word of letters alone is one unit of the
+    tokenizer's own splitting, so it goes to the model without the steps that split texts, and so
+    does one with a full stop or comma after it; all other words take the whole way.
+    """
+
+    def __init__(self, tokenizer_json: str) -> None:
+        from tokenizers import Tokenizer
+
+        super().__init__()
+        self.source = hash(tokenizer_json)
+        self.tokenizer = Tokenizer.from_str(tokenizer_json)
+        self.model = self.tokenizer.model
+        # Byte-level models write a byte as a character: the printable ones as themselves, the
+        # others as characters from 256 on.
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [b for b in range(256) if b not in shown]
+        self.letters = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+        settings = json.loads(tokenizer_json)
+        steps = settings["normalizer"] or {}
+        kinds = [n["type"] for n in steps.get("normalizers", [steps])]
+        self.shortcut = kinds == ["NFC", "Replace", "Lowercase"] and "[\\p{L}]+" in json.dumps(
+            settings["pre_tokenizer"]).replace("\\\\", "\\")
+
+    def _encoded(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= REMEMBERED_WORDS:
+            self.clear()
+        text = word.decode()
+        if not self.shortcut:
+            found = self._encoded(text)
+        elif text.isalpha():
+            if text.isascii():
+                text = text.lower()
+            elif "\u03a3" in text or "\u0130" in text or not unicodedata.is_normalized("NFC", text):
+                text = ""
+            else:
+                text = "".join(map(self.letters.__getitem__, text.lower().encode()))
+            found = (np.array([t.id for t in self.model.tokenize(text)], dtype="<u4").tobytes() if text
+                     else self._encoded(word.decode()))
+        elif text[-1] in ".," and text[:-1].isalpha():
+            found = self[word[:-1]] + self[word[-1:]]
+        else:
+            found = self._encoded(text)
+        self[word] = found
+        return found
+
+
+_WORDS: list[WordTokens] = []
+
+
+def _words(tokenizer_json: str) -> WordTokens:
+    if not _WORDS or _WORDS[0].source != hash(tokenizer_json):
+        _WORDS[:] = [WordTokens(tokenizer_json)]
+    return _WORDS[0]
+
+
 def _tokenise(tokenizer_json: str, limit: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_str(tokenizer_json)
-        known: dict[bytes, bytes] = {}
+        tokens_of = _words(tokenizer_json).__getitem__
         end, step = end_id.to_bytes(4, "little"), 4 * limit
         for batch in batches:
             texts = batch.column(1).cast(pa.large_binary()).to_pylist()
             ids, pieces, starts, lengths, sums = [], [], [], [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), texts):
-                # White space never joins two words' tokens, so a word is tokenised once.
-                words = (text or b"").split()
-                new = list({w for w in words if w not in known})
-                if new:
-                    if len(known) > REMEMBERED_WORDS:
-                        known.clear()
-                        new = list(set(words))
-                    found = tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)
-                    known.update((w, np.array(x.ids, dtype="<u4").tobytes()) for w, x in zip(new, found))
-                blob = b"".join(map(known.__getitem__, words)) + end
+                blob = b"".join(map(tokens_of, (text or b"").split())) + end
                 for piece, at in enumerate(range(0, len(blob), step)):
                     part = blob[at:at + step]
                     ids.append(doc_id)
