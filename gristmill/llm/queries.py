@@ -91,3 +91,24 @@ def op4_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     from gristmill.llm.neighbours import nearest
 
     return nearest(table(spark, folder, "embeddings"), F.pmod(F.col("vec_id"), F.lit(20)) == 0, 20)
+
+
+@query()
+def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    from gristmill.llm.decontaminate import contaminated
+
+    return contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query()
+def op6_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
+    from gristmill.llm.chat import EXAMPLE_SCHEMAS, example_messages, format_chats
+
+    return format_chats(example_messages(table(spark, folder, "conversations")), EXAMPLE_SCHEMAS)
+
+
+@query()
+def op2_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    from gristmill.llm.jaccard import similar
+
+    return similar(table(spark, folder, "documents"))
