@@ -326,11 +326,14 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, limits: Thresholds = Thres
     names = {"item": "item_id", "text": "text", "answer": None} | names
     kept = docs
     for space in spaces(docs, benchmark, limits, **names):
-        @F.pandas_udf("boolean")
-        def leaks(texts: pd.Series, space=space) -> pd.Series:
-            column = pa.array(texts, pa.string(), from_pandas=True)
-            rows = {r for r, *_ in _found(space, limits, column)}
-            return pd.Series([i in rows for i in range(len(texts))], dtype=bool)
-
-        kept = kept.where(~leaks("text"))
+        kept = kept.where(~_leaks(space, limits)("text"))
     return kept
+
+
+def _leaks(space: Space, limits: Thresholds):
+    @F.pandas_udf("boolean")
+    def leaks(texts: pd.Series) -> pd.Series:
+        rows = {r for r, *_ in _found(space, limits, pa.array(texts, pa.string(), from_pandas=True))}
+        return pd.Series([i in rows for i in range(len(texts))], dtype=bool)
+
+    return leaks

@@ -124,10 +124,7 @@ def fit(
 
 def score(docs: DataFrame, weights: DataFrame, bits: int = BITS) -> DataFrame:
     """``doc_id, score`` of every row, by weights of :func:`fit`."""
-    dense = np.zeros(1 << bits, dtype=np.float32)
-    found = weights.toPandas()  # at most 2**bits rows
-    dense[found["coordinate"].to_numpy()] = found["weight"].to_numpy()
-    shared = session_of(docs).sparkContext.broadcast(dense)
+    shared = session_of(docs).sparkContext.broadcast(_dense(weights, bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -137,6 +134,13 @@ def score(docs: DataFrame, weights: DataFrame, bits: int = BITS) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
 
 
+def _dense(weights: DataFrame, bits: int) -> np.ndarray:
+    dense = np.zeros(1 << bits, dtype=np.float32)
+    for row in weights.collect():  # at most 2**bits rows, and few of them with L1
+        dense[row["coordinate"]] = row["weight"]
+    return dense
+
+
 def _scores(texts: pa.Array, dense: np.ndarray, bits: int) -> np.ndarray:
     sums = np.zeros(len(texts))
     for row, end, raw, at in win.chunks(texts):
@@ -155,12 +159,12 @@ def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
         F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"))
 
 
-def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows that are not predicted to be toxic, with all their columns."""
-    weights = fit(docs, labels.where(crc_modulus(F.col("doc_id"), 4) != 2))
-    dense = np.zeros(1 << BITS, dtype=np.float32)
-    found = weights.toPandas()
-    dense[found["coordinate"].to_numpy()] = found["weight"].to_numpy()
+def keep_clean(docs: DataFrame, labels: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
+    """The rows that are not predicted to be toxic, with all their columns.
+
+    The model is fitted on the labelled rows of ``labelled``, by default those of ``docs``.
+    """
+    dense = _dense(fit(docs if labelled is None else labelled, labels.where(crc_modulus(F.col("doc_id"), 4) != 2)), BITS)
     shared = session_of(docs).sparkContext.broadcast(dense)
 
     @F.pandas_udf("double")
