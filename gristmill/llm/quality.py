@@ -122,8 +122,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
     usable = usable.select(F.col("doc_id").alias("id"), F.col(label).cast("double").alias("label"))
     # At most ``sample`` rows of two numbers.
     chosen = usable.orderBy(F.xxhash64("id"), "id", "label").limit(sample)
-    rows = docs.join(F.broadcast(chosen), docs["doc_id"] == chosen["id"]).select("label", docs["text"])
-    rows = saved(statistics(rows, "label").coalesce(8))
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("id"))
+    rows = saved(statistics(rows.select("label", "text"), "label").repartition(8))
     shares = rows.agg(F.avg("label"), F.min("label"), F.max("label")).first()
     if shares[1] == shares[2]:
         return F.lit(1.0 if shares[0] is None else float(shares[0]))

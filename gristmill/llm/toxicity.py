@@ -83,17 +83,26 @@ class Ftrl:
         self.n[at] = n + g * g
 
 
-def _fit(bits: int, epochs: int):
+def _examples(bits: int):
+    """The label and the coordinates of each row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        examples = []
         for batch in batches:
-            ids, labels = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            packed = []
             for row, end, raw, at in win.chunks(batch.column(2)):
                 found, of = distinct(*grams(raw, at, bits), bits)
                 edges = np.searchsorted(of, np.arange(end - row + 1))
-                examples += [
-                    (ids[row + i], labels[row + i], found[edges[i]:edges[i + 1]].astype(np.int32))
-                    for i in range(end - row)]
+                packed += [found[a:b].astype(np.int32).tobytes() for a, b in zip(edges[:-1], edges[1:])]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(packed, pa.binary())], ["id", "label", "features"])
+
+    return run
+
+
+def _fit(bits: int, epochs: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        examples = [
+            (i, y, np.frombuffer(x, dtype=np.int32)) for batch in batches
+            for i, y, x in zip(*(batch.column(c).to_pylist() for c in ("id", "label", "features")))]
         # A fixed, well-mixed order, whichever way the rows came.
         keys = win.mix(np.array([e[0] for e in examples], dtype=np.int64).view(np.uint64), 5)
         order = np.lexsort(([e[1] for e in examples], keys)) if examples else []
@@ -118,8 +127,10 @@ def fit(
     usable = usable.select(F.col("doc_id").alias("id"), F.col(label).cast("int").alias("label"))
     # At most ``sample`` rows of two numbers.
     chosen = usable.orderBy(F.xxhash64("id"), "id", "label").limit(sample)
-    rows = docs.join(F.broadcast(chosen), docs["doc_id"] == chosen["id"]).select("id", "label", docs["text"])
-    return rows.coalesce(1).mapInArrow(_fit(bits, epochs), "coordinate int, weight double")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("id"))
+    examples = rows.select("id", "label", "text").mapInArrow(_examples(bits), "id long, label int, features binary")
+    # Texts are read in parallel; the features of the bounded sample meet in one task.
+    return examples.repartition(1).mapInArrow(_fit(bits, epochs), "coordinate int, weight double")
 
 
 def score(docs: DataFrame, weights: DataFrame, bits: int = BITS) -> DataFrame:
