@@ -12,6 +12,8 @@ from functools import lru_cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from gristmill import config
+
 # Every character Python's ``str.isspace`` accepts; ``trim`` alone only knows the space.
 SPACES = "".join(
     chr(code) for code in (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680,
@@ -80,8 +82,9 @@ def _cleaned(value: Column | str, settle: bool) -> Column:
         text = strip(F.upper(transliterate(kept) if fold else kept))
         return F.regexp_replace(text, "  +", " ") if settle else text
 
-    # No repeated group: Java would recurse into it on long texts.
-    words = source.rlike(r"^(?! )(?!.*  )[A-Za-z0-9_\-.() ]*+(?<! )$")
+    # No repeated group: Java would recurse into it on long texts.  ``$`` would also match
+    # before a last line break.
+    words = source.rlike(r"^(?! )(?!.*  )[A-Za-z0-9_\-.() ]*+(?<! )\z")
     ascii_only = ~source.rlike(r"[^\x00-\x7F]")
     return (
         F.coalesce(F.when(words, F.upper(source)).when(ascii_only, full(False))
@@ -144,12 +147,13 @@ def skip_reason(crop: Column | str, variety: Column | str) -> Column:
     """Why a row lacks a usable key, or null when it has one."""
     crop, variety = as_column(crop), as_column(variety)
     no_crop, no_variety = is_blank(crop), is_blank(variety)
+    says = config.SKIP_REASONS
     return (
-        F.when(no_crop & no_variety, "Both crop and variety are missing or empty")
-        .when(no_crop & crop.isNull(), "Crop is missing (null/NaN)")
-        .when(no_crop, "Crop is empty")
-        .when(no_variety & variety.isNull(), "Variety is missing (null/NaN)")
-        .when(no_variety, "Variety is empty")
+        F.when(no_crop & no_variety, says["both"])
+        .when(no_crop & crop.isNull(), says["crop is null"])
+        .when(no_crop, says["crop is empty"])
+        .when(no_variety & variety.isNull(), says["variety is null"])
+        .when(no_variety, says["variety is empty"])
     )
 
 
@@ -160,10 +164,10 @@ _YEAR = "(?:19[0-9]{2}|20[0-9]{2}|2100)"
 _AROUND = f"{_SPACE}*"
 # Day and month pairs, year ranges, fractions, clock times of at most five characters.
 _DATE_LIKE = "(?U)" + "|".join((
-    f"^{_TO_31}{_AROUND}-{_AROUND}{_TO_31}$",
-    f"^{_YEAR}{_AROUND}-{_AROUND}{_YEAR}$",
-    f"^{_1_TO_12}{_AROUND}/{_AROUND}{_1_TO_31}$",
-    "^(?=.{3,5}$)[0-9]+:[0-9]+$",
+    f"^{_TO_31}{_AROUND}-{_AROUND}{_TO_31}\\z",
+    f"^{_YEAR}{_AROUND}-{_AROUND}{_YEAR}\\z",
+    f"^{_1_TO_12}{_AROUND}/{_AROUND}{_1_TO_31}\\z",
+    r"^(?=.{3,5}\z)[0-9]+:[0-9]+\z",
 ))
 
 
@@ -177,14 +181,14 @@ def guard_for_spreadsheet(value: Column | str) -> Column:
     trimmed = strip(value)
     quote = trimmed.startswith("'") & (F.length(trimmed) > 1)
     # White space after a removed quote stays in the value but does not count.
-    bare = F.when(quote, F.substring(trimmed, 2, 1 << 30)).otherwise(trimmed)
+    bare = F.when(quote, F.substr(trimmed, F.lit(2))).otherwise(trimmed)
     seen = strip(bare)
     plain = F.replace(bare, F.lit(","), F.lit(""))
-    number = bare.rlike("^[.,]*[0-9][0-9.,]*$") & (
-        plain.rlike(f"^{_YEAR}$")
+    number = bare.rlike(r"^[.,]*[0-9][0-9.,]*\z") & (
+        plain.rlike(rf"^{_YEAR}\z")
         | (
-            ~plain.rlike("^[0-9]{4}$")
-            & (plain.rlike(f"^{_1_TO_31}$") | (bare.startswith("0") & (F.length(bare) > 1)))
+            ~plain.rlike(r"^[0-9]{4}\z")
+            & (plain.rlike(rf"^{_1_TO_31}\z") | (bare.startswith("0") & (F.length(bare) > 1)))
         )
     )
     guarded = seen.rlike(_DATE_LIKE) | number
@@ -213,11 +217,32 @@ def composite_key(crop: Column | str | None, variety: Column | str) -> Column:
 
 
 def python_float_text(value: Column) -> Column:
-    """A double written the way Python's ``str`` does below 1e16 (no exponent)."""
-    plain = F.regexp_replace(value.cast("decimal(38,10)").cast("string"), r"0+$", "")
-    plain = F.when(plain.endswith("."), F.concat(plain, F.lit("0"))).otherwise(plain)
-    large = (F.abs(value) >= 1e7) & (F.abs(value) < 1e16)
-    return F.when(large, plain).otherwise(value.cast("string"))
+    """A double written the way Python's ``str`` writes it.
+
+    Spark writes an exponent below 0.001 and from 1e7, Python below 0.0001 and from 1e16; the
+    digits are the same, only the point moves.
+    """
+    written = value.cast("string")
+    parts = F.split(written, "E")
+    sign = F.when(written.startswith("-"), "-").otherwise("")
+    # One digit before the point, and none behind the last that counts.
+    digits = F.regexp_replace(F.translate(parts[0], "-.", ""), r"(?<=.)0+\z", "")
+    exponent = F.try_element_at(parts, F.lit(2)).cast("int")
+    size = F.length(digits)
+    small = F.concat(sign, F.lit("0."), F.repeat(F.lit("0"), -exponent - 1), digits)
+    whole = F.concat(sign, F.rpad(digits, exponent + 1, F.lit("0")), F.lit(".0"))
+    split = F.concat(sign, F.substr(digits, F.lit(1), exponent + 1), F.lit("."), F.substr(digits, exponent + 2))
+    power = F.lpad(F.abs(exponent).cast("string"), F.greatest(F.lit(2), F.length(F.abs(exponent).cast("string"))), F.lit("0"))
+    scientific = F.concat(
+        sign, F.substr(digits, F.lit(1), F.lit(1)),
+        F.when(size > 1, F.concat(F.lit("."), F.substr(digits, F.lit(2)))).otherwise(""),
+        F.lit("e"), F.when(exponent < 0, "-").otherwise("+"), power)
+    return (
+        F.when(exponent.isNull(), written)
+        .when(exponent.between(-4, -1), small)
+        .when(exponent.between(0, 15), F.when(size <= exponent + 1, whole).otherwise(split))
+        .otherwise(scientific)
+    )
 
 
 def literal_pattern(text: str, wildcards: bool) -> str:

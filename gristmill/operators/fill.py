@@ -34,7 +34,7 @@ def is_own(value: Column, own: Column | str) -> Column:
 
 
 def looks_numeric(value: Column) -> Column:
-    return F.translate(value, ".,", "").rlike("^[0-9]+$")
+    return F.translate(value, ".,", "").rlike(r"^[0-9]+\z")
 
 
 def parsed_number(value: Column) -> Column:
@@ -56,47 +56,53 @@ def catalogue_summary(
     own_country: Column | str | None = None,
     merged: Sequence[str] = config.MERGED_LIST_FIELDS,
     largest: Sequence[str] = config.LARGEST_NUMBER_FIELDS,
+    asked: DataFrame | None = None,
 ) -> DataFrame:
-    """One row per lookup: ``K:crop||name`` and ``N:name``, with the best value per field."""
+    """One row per lookup with the best value per field.
+
+    Lookups are ``K:crop||name``, ``N:name`` and, with the count alone, ``E:name``.  Only those
+    in ``asked`` (a table with the column ``lookup``) are summed up: rows that nothing asks for
+    leave before their fields are expanded.
+    """
     fields = present(catalogue, fields)
-    named = catalogue.where(~text.is_blank(cell_text(catalogue, name)))
 
     def entry(field: str, value: Column) -> Column:
         return F.struct(F.lit(field).alias("field"), value.alias("value"))
 
     listed = [f for f in fields if f in merged]
-    cells = [entry(ROWS, F.lit("."))] + [entry(f, cell_text(named, f)) for f in fields]
-    if country is not None and country in named.columns:
+    cells = [entry(f, cell_text(catalogue, f)) for f in fields]
+    if country is not None and country in catalogue.columns:
         # every match adds its own country to the list
-        cells += [entry(f, cell_text(named, country)) for f in listed]
+        cells += [entry(f, cell_text(catalogue, country)) for f in listed]
     members = F.when(F.col("field").isin(*listed), F.split("value", DELIMITERS)).otherwise(
         F.array("value")) if listed else F.array("value")
     # Keys first, on their own: below the expansion they are computed once per row.
-    keyed = named.select(
-        (F.lit("") if crop is None else text.key_text(cell_text(named, crop))).alias("crop_key"),
-        text.key_text(cell_text(named, name)).alias("name_key"),
-        F.array(*cells).alias("cells"),
-    )
-    counted = (
-        keyed.select("crop_key", "name_key", F.inline("cells"))
+    keyed = catalogue.select(
+        (F.lit("") if crop is None else text.key_text(cell_text(catalogue, crop))).alias("crop_key"),
+        text.key_text(cell_text(catalogue, name)).alias("name_key"),
+        F.array(entry(ROWS, F.lit(".")), *cells).alias("cells"),
+    ).where(F.col("name_key") != "")  # a name of punctuation alone is no name
+    lookups = keyed.select(
+        F.explode(F.array(
+            F.concat(F.lit("K:"), "crop_key", F.lit("||"), "name_key"),
+            F.concat(F.lit("N:"), "name_key"), F.concat(F.lit("E:"), "name_key"),
+        )).alias("lookup"), "cells")
+    if asked is not None:
+        lookups = lookup_join(lookups, asked.select("lookup").distinct(), ["lookup"], "left_semi")
+    per_lookup = (
+        lookups.select("lookup", F.when(F.col("lookup").startswith("E:"), F.slice("cells", 1, 1))
+                       .otherwise(F.col("cells")).alias("cells"))
+        .select("lookup", F.inline("cells"))
         .where(F.col("value").isNotNull())
-        .select("crop_key", "name_key", "field", F.explode(members).alias("value"))
+        .select("lookup", "field", F.explode(members).alias("value"))
         .withColumn("value", text.strip("value"))
         .where(F.col("value") != "")
-        .groupBy("crop_key", "name_key", "field", "value")
+        .groupBy("lookup", "field", "value")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    # By crop and name the counts are final; by name alone they are summed once more.
-    by_key = counted.select(
-        F.concat(F.lit("K:"), "crop_key", F.lit("||"), "name_key").alias("lookup"),
-        "field", "value", "n")
-    by_name = (
-        counted.groupBy("name_key", "field", "value").agg(F.sum("n").alias("n"))
-        .select(F.concat(F.lit("N:"), "name_key").alias("lookup"), "field", "value", "n"))
-    per_lookup = by_key.unionByName(by_name)
     if own_country is not None:
-        listed = F.col("field").isin(*merged)
-        per_lookup = per_lookup.where(~(listed & is_own(F.col("value"), own_country)))
+        in_list = F.col("field").isin(*merged)
+        per_lookup = per_lookup.where(~(in_list & is_own(F.col("value"), own_country)))
 
     def best(field: str) -> Column:
         here = F.col("field") == field
@@ -135,39 +141,45 @@ def match_and_fill(
     A row without a crop is matched by name alone.  A matched value replaces what the row
     held; a field without one keeps its old value, or is empty when the column is new.
     Adds ``match_status``, ``match_type``, ``match_count`` and ``match_confidence``.
-    """
-    summary = catalogue_summary(
-        catalogue, fields, catalogue_crop, catalogue_name, catalogue_country,
-        own_country, merged, largest,
-    )
-    best = {f: f"best_{f}" for f in fields if f"best_{f}" in summary.columns}
 
+    The rows' distinct lookups are answered first, from one scan of the catalogue; the rows
+    themselves are shuffled once, to their answers.
+    """
     no_crop = F.lit(True) if crop_column is None else text.is_blank(cell_text(rows, crop_column))
     crop_key = F.lit("") if crop_column is None else text.key_text(cell_text(rows, crop_column))
     keyed = rows.withColumns({
         "__no_crop": no_crop,
         "__crop": crop_key,
-        "__text": text.strip(quoted(name).cast("string") if isinstance(name, str) else name),
-    }).withColumns({
-        "__has_name": F.coalesce(F.col("__text") != "", F.lit(False)),
-        "__name": text.key_text("__text"),
-    })
+        "__name": text.key_text(quoted(name).cast("string") if isinstance(name, str) else name),
+    }).withColumn("__has_name", F.col("__name") != "")
     lookup = F.when(F.col("__no_crop"), F.concat(F.lit("N:"), F.col("__name"))).otherwise(
         F.concat(F.lit("K:"), F.col("__crop"), F.lit("||"), F.col("__name"))
     )
-    keyed = keyed.withColumn("lookup", F.when(F.col("__has_name"), lookup)).drop("__text", "__crop")
-
-    joined = lookup_join(keyed, summary, ["lookup"], "left")
-    # Does the name exist under some other crop?  Only asked for rows that found nothing.
-    names = (
-        catalogue.where(~text.is_blank(cell_text(catalogue, catalogue_name)))
-        .select(text.key_text(cell_text(catalogue, catalogue_name)).alias("__open"))
-        .distinct().withColumn("__known", F.lit(True))
+    keyed = keyed.withColumn("lookup", F.when(F.col("__has_name"), lookup))
+    # Does the name exist under some other crop?  Only asked for rows with a crop.
+    exists = F.when(~F.col("__no_crop"), F.concat(F.lit("E:"), F.col("__name")))
+    questions = keyed.where("lookup is not null").select("lookup", exists.alias("__open")).distinct()
+    asked = questions.select(F.explode(F.array_compact(F.array("lookup", "__open"))).alias("lookup"))
+    summary = catalogue_summary(
+        catalogue, fields, catalogue_crop, catalogue_name, catalogue_country,
+        own_country, merged, largest, asked,
+    )
+    best = {f: f"best_{f}" for f in fields if f"best_{f}" in summary.columns}
+    # Answers to both kinds of question, brought together by the name that is asked for.
+    whole = F.struct(*[quoted(c) for c in summary.columns if c != "lookup"])
+    answers = questions.select("lookup", F.explode(F.array_compact(F.array(
+        F.struct(F.col("lookup").alias("q"), F.lit(False).alias("open")),
+        F.when(F.col("__open").isNotNull(), F.struct(F.col("__open").alias("q"), F.lit(True).alias("open"))),
+    ))).alias("asks")).select("lookup", "asks.*")
+    answers = (
+        lookup_join(answers, summary.select(F.col("lookup").alias("q"), whole.alias("answer")), ["q"], "inner")
+        .groupBy("lookup").agg(
+            F.max(F.col("open")).alias("__known"),
+            F.first(F.when(~F.col("open"), F.col("answer")), ignorenulls=True).alias("answer"))
+        .select("lookup", "__known", "answer.*")
     )
+    joined = lookup_join(keyed.drop("__name", "__crop"), answers, ["lookup"], "left")
     found = F.col("match_count").isNotNull()
-    joined = joined.withColumn("__open", F.when(
-        F.col("__has_name") & ~found & ~F.col("__no_crop"), F.col("__name")))
-    joined = lookup_join(joined, names, ["__open"], "left")
 
     any_filled = F.lit(False)
     for column in best.values():

@@ -185,6 +185,6 @@ def extract_name(df: DataFrame, key_column: str | None, mapping: Mapping[str, st
     ]
     for column in df.columns:
         text = filled(column)
-        wordy = ~F.translate(text, "., ", "").rlike(r"^\p{Nd}+$")
+        wordy = ~F.translate(text, "., ", "").rlike(r"^\p{Nd}+\z")
         candidates.append(F.when((F.length(text) > 2) & (F.length(text) < 100) & wordy, text))
     return F.coalesce(*candidates)

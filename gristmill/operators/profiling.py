@@ -181,11 +181,9 @@ def overall_quality(completeness: DataFrame) -> DataFrame:
     mean = F.coalesce(F.avg("percentage"), F.lit(0.0))
     level = F.when(F.col("mean") < 30, "critical").when(F.col("mean") < 60, "warning")
     message = (
-        F.when(F.col("mean") < 30,
-               "Data completeness is critically low. Consider enriching your dataset.")
-        .when(F.col("mean") < 60,
-              "Data completeness can be improved. Focus on filling key fields.")
-        .otherwise("Good data quality! Continue maintaining your catalog.")
+        F.when(F.col("mean") < 30, config.VERDICTS["critical"])
+        .when(F.col("mean") < 60, config.VERDICTS["warning"])
+        .otherwise(config.VERDICTS["success"])
     )
     return completeness.agg(mean.alias("mean")).select(
         F.round("mean", 1).alias("avg_completeness"),

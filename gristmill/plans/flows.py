@@ -47,15 +47,17 @@ def match_and_fill(
     fields: Sequence[str],
     mapping: Mapping[str, str] | None = None,
     order: str | None = None,
+    key_column: str | None = None,
 ) -> DataFrame:
     """Clean an uploaded table, find its key columns and fill it from the catalogue.
 
+    Naming the ``key_column`` saves the look at the first rows that finding one may take.
     ``order`` names the column giving the row order; with it the table's own country, the
     first one in that order, is left out of lists of other countries.
     """
     cleaned = cleaning.clean_frame(uploaded)
     mapping = headers.merged_map(cleaned.columns) if mapping is None else mapping
-    key_column = headers.find_key_column(uploaded, mapping)
+    key_column = key_column or headers.find_key_column(uploaded, mapping)
     name = headers.extract_name(cleaned, key_column, mapping)
     country = headers.column_for(mapping, "country")
     own = None

@@ -11,9 +11,22 @@ from gristmill.queries.registry import Tables, query
 SEGMENT_ALIASES = {"AUTOMOBILE": "VEHICLES", "MACHINERY": "INDUSTRY", "BUILDING": "INDUSTRY"}
 
 
-@query(f"select doc_id, {sql.clean('text')} as cleaned from documents")
+# Line breaks at the end, as cells of uploads have them.
+_BREAKS = "case doc_id % 4 when 1 then chr(10) when 2 then chr(13) || chr(10) when 3 then chr(8232) else '' end"
+
+
+def with_break(value, key):
+    kind = F.col(key) % 4
+    ending = F.when(kind == 1, "\n").when(kind == 2, "\r\n").when(kind == 3, "\u2028").otherwise("")
+    return F.concat(value, ending)
+
+
+@query(f"""select doc_id, {sql.clean('text')} as cleaned, {sql.clean(f"source || {_BREAKS}")} as cleaned_source
+from documents""")
 def clean_text(t: Tables):
-    return t.documents.select("doc_id", text.clean_text("text").alias("cleaned"))
+    return t.documents.select(
+        "doc_id", text.clean_text("text").alias("cleaned"),
+        text.clean_text(with_break(F.col("source"), "doc_id")).alias("cleaned_source"))
 
 
 @query(r"""

@@ -8,6 +8,7 @@ from gristmill.operators import fill
 from gristmill.operators.link import Comparison
 from gristmill.plans import flows
 from gristmill.queries import dialect as sql
+from gristmill.queries.cleaning import with_break
 from gristmill.queries.registry import Tables, query
 
 # --- comparison: orders against line items, keyed by (status, order number) -----------
@@ -100,13 +101,15 @@ select nl as total_file1, nr as total_file2, cast(m as bigint) as matches_found,
   '100%_exact_crop_variety' as matching_method
 from x, c""")
 def compare_stats(t: Tables):
-    return comparison(t).stats()
+    left = _orders(t)
+    broken = with_break(F.col("VARIETY RELEASE NAME"), "o_orderkey")
+    return flows.compare(left.withColumn("VARIETY RELEASE NAME", broken), _lines(t)).stats()
 
 
 @query(f"""select p_partkey, {sql.key('p_type')} || '||' || {sql.key("p_brand || ' & ' || p_name")}
     as key from part""")
 def composite_keys(t: Tables):
-    name = F.concat("p_brand", F.lit(" & "), "p_name")
+    name = with_break(F.concat("p_brand", F.lit(" & "), "p_name"), "p_partkey")
     return t.part.select("p_partkey", text.composite_key("p_type", name).alias("key"))
 
 

@@ -137,7 +137,7 @@ _FACETS = " union all ".join(
     f"""(select '{c}' as column_name, v as value, count(*) as record_count from
         (select cast({e} as varchar) v from orders)
         where v is not null and trim(v) not in ('', 'nan') and v <> 'NaN'
-        group by v order by v limit 100)"""
+        group by v)"""
     for c, e in (*[(c, c) for c in ORDER_FACETS[:4]], ("note", """case when o_orderkey % 2 = 0
         then 'nan' when o_orderkey % 3 = 0 then ' ' else 'n' || (o_custkey % 300) end"""))
 )
@@ -150,11 +150,11 @@ def facet_table(t: Tables):
 
 @query(f"""select column_name, case column_name when 'o_orderstatus' then 'maintenance_status'
         else column_name end as friendly_name,
-    string_agg(value, '|' order by value) as facet_values,
+    string_agg(value, '|' order by value) filter (r <= 100) as facet_values,
     cast(count(*) as integer) as total_values, (select count(*) from orders) as total_records
-  from ({_FACETS}) group by column_name""")
+  from (select *, row_number() over (partition by column_name order by value) r from ({_FACETS})) group by column_name""")
 def facet_view(t: Tables):
-    view = facets.facet_view(faceted_orders(t), mapping={"o_orderstatus": "maintenance_status"})
+    view = facets.facet_view(faceted_orders(t), mapping={"o_orderstatus": "maintenance_status"}, limit=100)
     return view.withColumn("facet_values", F.array_join("facet_values", "|"))
 
 

@@ -113,7 +113,7 @@ def misspelled(t: Tables):
         "page_id",
         F.when(kind == 0, F.array_join(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(1))), " "))
         .when(kind == 1, F.array_join(F.reverse(words), " "))
-        .when(kind == 2, F.concat(F.substring(title, 1, 4), F.substring(title, 6, 1000)))
+        .when(kind == 2, F.concat(F.substring(title, 1, 4), F.substr(title, F.lit(6))))
         .otherwise(F.lower(title)).alias("asked"),
     )
 

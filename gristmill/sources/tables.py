@@ -2,32 +2,27 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
 from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-
 FORMATS = {
     ".parquet": "parquet", ".orc": "orc", ".csv": "csv", ".tsv": "csv",
     ".json": "json", ".jsonl": "json", ".ndjson": "json",
 }
-WORKBOOKS = (".xlsx", ".xls")
 
 
 def table_format(path: str) -> str:
     suffix = PurePosixPath(path).suffix.lower()
-    if suffix in WORKBOOKS:
-        return "workbook"
     if suffix not in FORMATS:
         raise ValueError(f"unsupported table file {path!r}")
     return FORMATS[suffix]
 
 
 def is_supported(path: str) -> bool:
-    return PurePosixPath(path).suffix.lower() in (*FORMATS, *WORKBOOKS)
+    return PurePosixPath(path).suffix.lower() in FORMATS
 
 
 def read_table(
@@ -36,10 +31,6 @@ def read_table(
 ) -> DataFrame:
     """One table.  Text formats are read with a header and, unless given, inferred types."""
     format = format or table_format(path)
-    if format == "workbook":
-        if schema is None:
-            raise ValueError("workbooks need a schema: their headers are not known to the planner")
-        return read_workbooks(spark, [path], schema)
     reader = spark.read.format(format)
     if format == "csv":
         reader = reader.option("header", "true")
@@ -63,35 +54,6 @@ def read_folder(spark: SparkSession, path: str, format: str, **options) -> DataF
     return table.select("*", F.col("_metadata.file_name").alias("source_file"))
 
 
-def read_workbooks(
-    spark: SparkSession, paths: Sequence[str], schema: StructType | str
-) -> DataFrame:
-    """First sheet of each spreadsheet, one file per task, cells by header name as text.
-
-    A spreadsheet cannot be split, but many of them are read in parallel.  Needs a
-    spreadsheet engine for pandas on the executors.
-    """
-    import pandas as pd
-
-    names = spark.createDataFrame([], schema).columns
-    text_schema = ", ".join(f"`{n}` string" for n in names) + ", source_file string"
-
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import io
-
-        for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
-                sheet = pd.read_excel(io.BytesIO(content), dtype=object)
-                cells = sheet.reindex(columns=names)
-                cells = cells.where(cells.notna(), None).map(
-                    lambda value: None if value is None else str(value))
-                cells["source_file"] = PurePosixPath(path).name
-                yield cells
-
-    files = spark.read.format("binaryFile").load(list(paths)).select("path", "content")
-    return files.repartition(max(len(paths), 1)).mapInPandas(parse, text_schema)
-
-
 def write_table(
     df: DataFrame, path: str, format: str = "parquet", mode: str = "overwrite",
     files: int | None = None, **options: str,

@@ -200,7 +200,7 @@ def test_formats_round_trip(spark, tmp_path):
     assert sorted(r.row_position for r in placed.collect()) == [0, 1]
     folder = tables.read_folder(spark, str(tmp_path / "t.csv"), "csv")
     assert folder.where(F.col("source_file").endswith(".csv")).count() == 2
-    assert tables.is_supported("x.XLSX") and not tables.is_supported("x.pdf")
+    assert tables.is_supported("x.CSV") and not tables.is_supported("x.xlsx")
     with pytest.raises(ValueError):
         tables.table_format("x.pdf")
     with pytest.raises(ValueError):
@@ -313,3 +313,28 @@ def test_profiles_on_nan_and_empty(spark):
     exact = {r.column: r.unique_values for r in profiling.column_profile(df).collect()}
     rough = {r.column: r.unique_values for r in profiling.approximate_profile(df).collect()}
     assert exact == rough == {"a": 1, "b": 2}
+
+
+def test_fill_names_counts_and_numbers(spark):
+    """Names of punctuation are no names; numbers keep Python's form; only what is asked for is summed up."""
+    catalogue = spark.createDataFrame(
+        [("maize", "%%", "9"), ("maize", "H1\n", "0.0005"), ("maize", "h1", "0.0001"), ("beans", "B1", "10000000000000000"),
+         ("rice", "R1", "7")], "crop string, variety_release_name string, yield_mt_ha string")
+    rows = spark.createDataFrame(
+        [(1, "Maize", "&&"), (2, "maize", "H1"), (3, None, "b1"), (4, "maize", "B1"), (5, "x", "y"), (6, "x", None)],
+        "row int, crop string, name string")
+    filled = fill.match_and_fill(rows, catalogue, ["yield_mt_ha"], "crop", "name")
+    found = {r["row"]: (r["yield_mt_ha"], r["match_status"], r["match_count"]) for r in filled.collect()}
+    assert found == {
+        1: ("", "empty_name", 0), 2: ("0.0005", "success", 2), 3: ("1e+16", "success", 1),
+        4: ("", "crop_mismatch", 0), 5: ("", "no_match", 0), 6: ("", "empty_name", 0)}
+    plan = filled._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LeftSemi") == 1 and plan.index("Generate inline") < plan.index("LeftSemi")
+
+
+def test_facets_have_no_cap(spark):
+    df = spark.range(250).select((F.col("id") % 150).cast("string").alias("v"))
+    assert facets.facet_table(df).count() == 150
+    assert facets.facet_table(df, limit=20).count() == 20
+    view = facets.facet_view(df, mapping={}, limit=20).first()
+    assert len(view["facet_values"]) == 20 and view["total_values"] == 150 and view["total_records"] == 250

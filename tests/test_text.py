@@ -91,7 +91,16 @@ def test_composite_key(spark):
     assert keys == ["MAIZE||H 614", "||H 614"]
 
 
-@pytest.mark.parametrize("number", [5.0, 4.5, 12345678.0, 12345678.25, 0.1, 999999999999.0])
+@pytest.mark.parametrize("number", [
+    5.0, 4.5, 12345678.0, 12345678.25, 0.1, 999999999999.0, 0.0, 0.001, 0.0005, 0.0001, 0.00012345, 1e-05, 2.5e-07,
+    -0.0005, -12345678.5, 1e7, 123456789.125, 1e15, 9007199254740993.0, 1e16, 1.5e16, 1.25e+300, 1e-100, 3e22])
 def test_float_text(spark, number):
     out = spark.range(1).select(text.python_float_text(F.lit(number))).first()[0]
     assert out == str(number)
+
+
+@pytest.mark.parametrize("ending", ["\n", "\r\n", "\r", "\x0b", "\x85", "\u2028", "\u2029", " \n "])
+def test_breaks_at_the_end_do_not_count(spark, ending):
+    df = spark.createDataFrame([("Maize" + ending, "H614" + ending, "1998" + ending)], "c string, v string, y string")
+    found = df.select(text.clean_text("c"), text.composite_key("c", "v"), text.guard_for_spreadsheet("y")).first()
+    assert tuple(found) == ("MAIZE", "MAIZE||H614", "'1998")
