@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import sys
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import cloudpickle
 
+from gristmill.llm import windows as win
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
@@ -54,7 +57,7 @@ PACKED = pa.schema([
     ("bucket", pa.int32()), ("keys", pa.binary()), ("places", pa.binary()), ("docs", pa.binary()),
     ("texts", pa.binary()), ("counts", pa.binary()), ("known", pa.bool_())])
 #: Places by text: packed unsigned 32-bit numbers.
-BY_TEXT = "id long, text_hash int, starts binary"
+BY_TEXT = "id long, text_hash int, numbers binary"
 
 
 def packed(bucket, keys, places, of, ids, texts, counts, known, buckets) -> tuple:
@@ -101,4 +104,77 @@ def by_text(ids: np.ndarray, texts: np.ndarray, *numbers: np.ndarray) -> pd.Data
     bounds = np.append(edges, len(ids))
     return pd.DataFrame({
         "id": ids[edges], "text_hash": texts[edges],
-        "starts": [table[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])]})
+        "numbers": [table[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])]})
+
+
+#: Numbers by text, packed for the bucket of the text.
+SCATTERED = "dest int, docs binary, texts binary, counts binary, numbers binary"
+
+
+def scattered(buckets: int, ids: np.ndarray, texts: np.ndarray, *numbers: np.ndarray) -> pd.DataFrame:
+    """One row for each bucket of texts, however many texts it holds."""
+    rows = []
+    if len(ids):
+        dest = (win.mix(ids.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+        order = np.lexsort((*reversed(numbers), texts, ids, dest))
+        dest, ids, texts = dest[order], ids[order], texts[order]
+        table = np.column_stack([n[order] for n in numbers]).astype(np.uint32)
+        for a, b in pairwise(np.append(runs(dest), len(dest)).tolist()):
+            new = np.ones(b - a, dtype=bool)
+            new[1:] = (ids[a + 1:b] != ids[a:b - 1]) | (texts[a + 1:b] != texts[a:b - 1])
+            first = np.flatnonzero(new)
+            rows.append((
+                int(dest[a]), planes(steps(ids[a:b][first])), texts[a:b][first].tobytes(),
+                planes(np.diff(np.append(first, b - a)).astype(np.uint32)),
+                b"".join(planes(steps(c)) for c in table[a:b].T)))
+    return pd.DataFrame(rows, columns=["dest", "docs", "texts", "counts", "numbers"])
+
+
+def gathered(rows: pd.DataFrame, width: int) -> list[np.ndarray]:
+    """ids, texts and ``width`` columns of numbers of packed rows."""
+    out = []
+    for r in rows.itertuples():
+        counts = unplaned(r.counts, "u4").astype(np.int64)
+        size = 4 * int(counts.sum())
+        out.append((
+            np.repeat(np.cumsum(unplaned(r.docs, "i8")), counts),
+            np.repeat(np.frombuffer(r.texts, dtype=np.int32), counts),
+            *[np.cumsum(unplaned(r.numbers[i * size:(i + 1) * size], "u4"), dtype=np.uint32).astype(np.int64)
+              for i in range(width)]))
+    return [np.concatenate(c) for c in zip(*out)]
+
+
+def merged(ids, texts, begin, end):
+    """Intervals of the same text that touch or overlap become one."""
+    if not len(ids):
+        return ids, texts, begin, end
+    order = np.lexsort((begin, texts, ids))
+    ids, texts, begin, end = ids[order], texts[order], begin[order], end[order]
+    new = np.ones(len(ids), dtype=bool)
+    new[1:] = (ids[1:] != ids[:-1]) | (texts[1:] != texts[:-1])
+    # Ends grow within a text once each text is moved past the one before it.
+    shift = np.cumsum(new) * (int(end.max()) + 1)
+    reach = np.maximum.accumulate(end + shift)
+    new[1:] |= (begin + shift)[1:] > reach[:-1]
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(ids)) - 1
+    return ids[first], texts[first], begin[first], reach[last] - shift[last]
+
+
+def merged_by_text(rows: pd.DataFrame) -> pd.DataFrame:
+    """Of one bucket of texts: each text's maximal intervals."""
+    return by_text(*merged(*gathered(rows, 2)))
+
+
+def numbers_by_text(rows: pd.DataFrame) -> pd.DataFrame:
+    """Of one bucket of texts: each text's numbers."""
+    return by_text(*gathered(rows, 1))
+
+
+def covered(size: int, spans: bytes) -> np.ndarray:
+    """Which of ``size`` places lie in the packed (begin, end) pairs."""
+    pairs = np.minimum(np.frombuffer(spans, dtype=np.uint32).reshape(-1, 2).astype(np.int64), size)
+    edge = np.zeros(size + 1, dtype=np.int64)
+    np.add.at(edge, pairs[:, 0], 1)
+    np.add.at(edge, pairs[:, 1], -1)
+    return np.cumsum(edge[:-1]) > 0

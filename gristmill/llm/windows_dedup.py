@@ -5,7 +5,8 @@
    in columns.  A passage that a third of all texts share is thus a few rows per task.
 2. A bucket sorts its windows and counts them; of equal ones, only the first (smallest doc_id,
    then earliest start) stays.
-3. The starts of repeated windows return to their text and merge into maximal intervals.
+3. Repeated windows merge into intervals, return packed by bucket of texts, and merge into the
+   maximal intervals of each text.
 
 Two windows are taken as equal when 64 bits of one hash and the bucket, taken from a second
 hash, agree.
@@ -89,53 +90,45 @@ def _hash_windows(width: int, buckets: int):
     return run
 
 
-def _late_windows(rows: pd.DataFrame) -> pd.DataFrame:
-    """Of one bucket: the starts of all windows that are not the first of their hash."""
-    known = [blobs.unpacked(r) for r in rows[rows["known"]].itertuples()]
-    fresh = list(rows[~rows["known"]].itertuples())
-    ids, texts, starts = [[x[i] for x in known] for i in range(3)]
-    if fresh:
-        keys = np.concatenate([np.frombuffer(r.keys, dtype=np.uint64) for r in fresh])
-        order = np.argsort(keys)
-        runs = blobs.runs(keys[order])
-        if len(runs) < len(order):
-            more = [np.concatenate(x) for x in zip(*map(blobs.unpacked, fresh))]
-            # Only windows of runs of two and more are looked at.
-            lengths = np.diff(np.append(runs, len(order)))
-            several = np.repeat(lengths > 1, lengths)
-            order = order[several]
+def _late_windows(width: int, buckets: int):
+    """Of one bucket: intervals of words under windows that are not the first of their hash, by text."""
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        found = [blobs.unpacked(r) for r in rows[rows["known"]].itertuples()]
+        fresh = list(rows[~rows["known"]].itertuples())
+        if fresh:
+            keys = np.concatenate([np.frombuffer(r.keys, dtype=np.uint64) for r in fresh])
+            order = np.argsort(keys)
             runs = blobs.runs(keys[order])
-            late = order[~blobs.least_in_runs(runs, more[0][order], more[2][order])]
-            for have, new in zip((ids, texts, starts), more):
-                have.append(new[late])
-    if not ids:
-        return pd.DataFrame({"id": [], "text_hash": [], "starts": []})
-    return blobs.by_text(np.concatenate(ids), np.concatenate(texts), np.concatenate(starts))
+            if len(runs) < len(order):
+                # Only windows of runs of two and more are looked at.
+                lengths = np.diff(np.append(runs, len(order)))
+                order = order[np.repeat(lengths > 1, lengths)]
+                runs = blobs.runs(keys[order])
+                ids, texts, starts = [np.concatenate(x) for x in zip(*map(blobs.unpacked, fresh))]
+                late = order[~blobs.least_in_runs(runs, ids[order], starts[order])]
+                found.append((ids[late], texts[late], starts[late]))
+        if not found:
+            return blobs.scattered(buckets, np.zeros(0, np.int64), np.zeros(0, np.int32))
+        ids, texts, starts = [np.concatenate(x) for x in zip(*found)]
+        return blobs.scattered(buckets, *blobs.merged(ids, texts, starts, starts + width))
+
+    return run
 
 
 def repeats(docs: DataFrame, width: int = 20) -> DataFrame:
-    """``id, text_hash, starts``: starts (packed, unsigned 32 bits) of windows that also start earlier."""
+    """``id, text_hash, numbers``: (begin, end) pairs of words that a window starting earlier covers."""
     buckets = partitions(session_of(docs))
     hashed = identified(docs).mapInArrow(_hash_windows(width, buckets), blobs.PACKED_COLUMNS)
-    late = hashed.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(_late_windows, blobs.BY_TEXT)
-    return late.groupBy("id", "text_hash").agg(F.collect_list("starts").alias("starts"))
-
-
-def _covered(words: int, starts: list[bytes] | None, width: int) -> np.ndarray:
-    """Which words lie in a removed interval."""
-    edge = np.zeros(words + 1, dtype=np.int64)
-    for part in starts or ():
-        at = np.frombuffer(part, dtype=np.uint32)
-        np.add.at(edge, at, 1)
-        np.add.at(edge, at + np.uint32(width), -1)
-    return np.cumsum(edge[:-1]) > 0
+    late = hashed.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(
+        _late_windows(width, buckets), blobs.SCATTERED)
+    return late.repartition(buckets, "dest").groupBy("dest").applyInPandas(blobs.merged_by_text, blobs.BY_TEXT)
 
 
-def _kept(text: bytes | None, starts: list[bytes] | None, width: int) -> tuple[list[bytes], int]:
+def _kept(text: bytes | None, spans: bytes | None) -> tuple[list[bytes], int]:
     words = (text or b"").split()
-    if not starts:
+    if spans is None:
         return words, 0
-    gone = _covered(len(words), starts, width)
+    gone = blobs.covered(len(words), spans)
     return [w for w, g in zip(words, gone) if not g], int(gone.sum())
 
 
@@ -143,7 +136,7 @@ def with_repeats(docs: DataFrame, width: int) -> DataFrame:
     marked = docs.withColumns({
         "__id": F.coalesce("doc_id", F.lit(FIRST_ID)), "__hash": F.hash("text")})
     found = repeats(docs, width).select(
-        F.col("id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("starts").alias("__starts"))
+        F.col("id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("numbers").alias("__spans"))
     return marked.join(found, ["__id", "__hash"], "left").drop("__id", "__hash")
 
 
@@ -153,8 +146,8 @@ def dedup_report(docs: DataFrame, width: int = 20) -> DataFrame:
         for batch in batches:
             texts = batch.column("text").cast(pa.large_binary()).to_pylist()
             words, removed, digests = [], [], []
-            for text, starts in zip(texts, batch.column("__starts").to_pylist()):
-                kept, gone = _kept(text, starts, width)
+            for text, spans in zip(texts, batch.column("__spans").to_pylist()):
+                kept, gone = _kept(text, spans)
                 words.append(len(kept) + gone)
                 removed.append(gone)
                 digests.append(hashlib.sha256(b" ".join(kept)).hexdigest())
@@ -172,11 +165,9 @@ def remove_repeats(docs: DataFrame, width: int = 20) -> DataFrame:
     A text without removed words stays byte by byte; otherwise the kept words are joined by spaces.
     """
     @F.pandas_udf("string")
-    def cut(texts: pd.Series, starts: pd.Series) -> pd.Series:
-        return pd.Series([
-            b" ".join(_kept((t or "").encode(), None if s is None else list(s), width)[0]).decode()
-            for t, s in zip(texts, starts)])
+    def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
+        return pd.Series([b" ".join(_kept((t or "").encode(), s)[0]).decode() for t, s in zip(texts, spans)])
 
     found = with_repeats(docs, width)
-    text = F.when(F.col("__starts").isNotNull(), cut("text", "__starts")).otherwise(F.col("text"))
+    text = F.when(F.col("__spans").isNotNull(), cut("text", "__spans")).otherwise(F.col("text"))
     return found.withColumn("text", text).select(*docs.columns)
