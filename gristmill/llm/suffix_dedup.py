@@ -110,22 +110,25 @@ def _deal_anchors(depth: int, buckets: int):
     return run
 
 
-def _repeated_anchors(rows: pd.DataFrame) -> pd.DataFrame:
+def _repeated_anchors(buckets: int):
     """Of one bucket: the numbers, within their texts, of anchors that occur more than once."""
-    found = [blobs.unpacked(r) for r in rows[rows["known"]].itertuples()]
-    fresh = list(rows[~rows["known"]].itertuples())
-    if fresh:
-        keys = np.concatenate([np.frombuffer(r.keys, dtype=np.uint64) for r in fresh])
-        order = np.argsort(keys)
-        runs = blobs.runs(keys[order])
-        if len(runs) < len(order):
-            lengths = np.diff(np.append(runs, len(order)))
-            several = order[np.repeat(lengths > 1, lengths)]
-            more = [np.concatenate(x) for x in zip(*map(blobs.unpacked, fresh))]
-            found.append(tuple(x[several] for x in more))
-    if not found:
-        return pd.DataFrame({"id": [], "text_hash": [], "starts": []})
-    return blobs.by_text(*[np.concatenate(x) for x in zip(*found)])
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        found = [blobs.unpacked(r) for r in rows[rows["known"]].itertuples()]
+        fresh = list(rows[~rows["known"]].itertuples())
+        if fresh:
+            keys = np.concatenate([np.frombuffer(r.keys, dtype=np.uint64) for r in fresh])
+            order = np.argsort(keys)
+            runs = blobs.runs(keys[order])
+            if len(runs) < len(order):
+                lengths = np.diff(np.append(runs, len(order)))
+                several = order[np.repeat(lengths > 1, lengths)]
+                more = [np.concatenate(x) for x in zip(*map(blobs.unpacked, fresh))]
+                found.append(tuple(x[several] for x in more))
+        if not found:
+            return blobs.scattered(buckets, np.zeros(0, np.int64), np.zeros(0, np.int32))
+        return blobs.scattered(buckets, *[np.concatenate(x) for x in zip(*found)])
+
+    return run
 
 
 def _contexts(depth: int, buckets: int):
@@ -142,8 +145,8 @@ def _contexts(depth: int, buckets: int):
                     continue
                 base = np.searchsorted(of, np.arange(end - row))
                 chosen = np.unique(np.concatenate([
-                    base[i] + np.frombuffer(part, dtype=np.uint32).astype(np.int64)
-                    for i in range(end - row) for part in numbers[row + i].as_py()]))
+                    base[i] + np.frombuffer(numbers[row + i].as_py(), dtype=np.uint32).astype(np.int64)
+                    for i in range(end - row)]))
                 chosen = chosen[chosen < len(position)]  # two texts of one hash
                 position, of, first, last = position[chosen], of[chosen], first[chosen], last[chosen]
                 ids, texts = all_ids[row:end][of], all_texts[row:end][of]
@@ -198,7 +201,7 @@ def _context_row(bucket, context, left, right, start, ids, texts, known) -> tupl
             blobs.planes(start.astype(np.uint32)), blobs.planes(blobs.steps(ids)), texts.tobytes(), known)
 
 
-def _late_windows(depth: int):
+def _late_windows(depth: int, buckets: int):
     """Of one bucket: intervals of bytes covered by windows that an earlier text holds too."""
     width = 2 * depth - GRAM
 
@@ -245,51 +248,32 @@ def _late_windows(depth: int):
                 begin = start[late] + left[late] - offset
                 out.append((ids[late], texts[late], begin, begin + depth))
         if not out:
-            return pd.DataFrame({"id": [], "text_hash": [], "starts": []})
-        return blobs.by_text(*merged(*[np.concatenate(x) for x in zip(*out)]))
+            return blobs.scattered(buckets, np.zeros(0, np.int64), np.zeros(0, np.int32))
+        return blobs.scattered(buckets, *blobs.merged(*[np.concatenate(x) for x in zip(*out)]))
 
     return run
 
 
-def merged(ids, texts, begin, end):
-    """Intervals of the same text that touch or overlap become one."""
-    if not len(ids):
-        return ids, texts, begin, end
-    order = np.lexsort((begin, texts, ids))
-    ids, texts, begin, end = ids[order], texts[order], begin[order], end[order]
-    new = np.ones(len(ids), dtype=bool)
-    new[1:] = (ids[1:] != ids[:-1]) | (texts[1:] != texts[:-1])
-    # Ends grow within a text once each text is moved past the one before it.
-    shift = np.cumsum(new) * (int(end.max()) + 1)
-    reach = np.maximum.accumulate(end + shift)
-    new[1:] |= (begin + shift)[1:] > reach[:-1]
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(ids)) - 1
-    return ids[first], texts[first], begin[first], reach[last] - shift[last]
-
-
 def repeated_bytes(docs: DataFrame, depth: int = 50) -> DataFrame:
-    """``id, text_hash, spans``: packed (begin, end) pairs of bytes that an earlier text holds too."""
+    """``id, text_hash, numbers``: packed (begin, end) pairs of bytes that an earlier text holds too."""
     buckets = partitions(session_of(docs))
     rows = identified(docs)
     dealt = rows.mapInArrow(_deal_anchors(depth, buckets), blobs.PACKED_COLUMNS)
-    often = dealt.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(_repeated_anchors, blobs.BY_TEXT)
-    often = saved(often.groupBy("id", "text_hash").agg(F.collect_list("starts").alias("numbers")))
+    often = dealt.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(
+        _repeated_anchors(buckets), blobs.SCATTERED)
+    often = saved(often.repartition(buckets, "dest").groupBy("dest").applyInPandas(blobs.numbers_by_text, blobs.BY_TEXT))
     found = rows.join(often, ["id", "text_hash"]).select("id", "text_hash", "text", "numbers")
     around = found.mapInArrow(_contexts(depth, buckets), CONTEXT_ROWS)
-    late = around.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(_late_windows(depth), blobs.BY_TEXT)
-    return saved(late.groupBy("id", "text_hash").agg(F.collect_list("starts").alias("spans")))
+    late = around.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(
+        _late_windows(depth, buckets), blobs.SCATTERED)
+    return saved(late.repartition(buckets, "dest").groupBy("dest").applyInPandas(blobs.merged_by_text, blobs.BY_TEXT))
 
 
-def _cut(text: bytes, spans: list[bytes] | None) -> tuple[bytes, int, int]:
+def _cut(text: bytes, spans: bytes | None) -> tuple[bytes, int, int]:
     """The bytes that stay, how many go, and in how many runs."""
-    if not spans:
+    if spans is None or not text:
         return text, 0, 0
-    pairs = np.concatenate([np.frombuffer(s, dtype=np.uint32).reshape(-1, 2) for s in spans]).astype(np.int64)
-    edge = np.zeros(len(text) + 1, dtype=np.int64)
-    np.add.at(edge, pairs[:, 0], 1)
-    np.add.at(edge, pairs[:, 1], -1)
-    gone = np.cumsum(edge[:-1]) > 0
+    gone = blobs.covered(len(text), spans)
     kept = np.frombuffer(text, dtype=np.uint8)[~gone].tobytes()
     return kept, int(gone.sum()), int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
 
@@ -300,7 +284,7 @@ def dedup_report(docs: DataFrame, depth: int = 50) -> DataFrame:
         for batch in batches:
             texts = batch.column("text").cast(pa.large_binary()).to_pylist()
             sizes, removed, count, digests = [], [], [], []
-            for text, spans in zip(texts, batch.column("spans").to_pylist()):
+            for text, spans in zip(texts, batch.column("numbers").to_pylist()):
                 text = text or b""
                 kept, gone, n = _cut(text, spans)
                 sizes.append(len(text))
@@ -315,5 +299,5 @@ def dedup_report(docs: DataFrame, depth: int = 50) -> DataFrame:
     docs = docs.select("doc_id", "text")
     marked = docs.withColumns({"id": F.coalesce("doc_id", F.lit(FIRST_ID)), "text_hash": F.hash("text")})
     found = marked.join(repeated_bytes(docs, depth), ["id", "text_hash"], "left")
-    return found.select("doc_id", "text", "spans").mapInArrow(
+    return found.select("doc_id", "text", "numbers").mapInArrow(
         run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
