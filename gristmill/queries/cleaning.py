@@ -220,3 +220,21 @@ def row_names(t: Tables):
         "c_custkey", "c_name", "c_mktsegment")
     return named.select(
         "c_custkey", headers.extract_name(named, key_column, mapping).alias("name"))
+
+
+@query("""select p_name as variety_release_name, p_type as crop, p_size as yield_mt_ha,
+    1990 + p_size as year_of_release from part""")
+def detected_headers(t: Tables):
+    """Headers that no list knows, told by the names they contain."""
+    table = t.part.select(
+        F.col("p_name").alias("variety"), F.col("p_type").alias("crop group"), F.col("p_size").alias("yield"),
+        (F.lit(1990) + F.col("p_size")).alias("years"))
+    return headers.apply_mapping(table, headers.detect_columns(table.columns))
+
+
+@query("select doc_id, text as tagged from documents")
+def tagged_column(t: Tables):
+    """The free-text column, asked for under a slightly different name."""
+    table = t.documents.select("doc_id", "lang", F.col("text").alias("special atributes"))
+    column = headers.find_text_column(table.columns, wanted="special attributes")
+    return table.select("doc_id", F.col(f"`{column}`").alias("tagged"))

@@ -270,3 +270,15 @@ def run_log_topn(t: Tables):
     from (select * from {_LOG} order by uploaded_at desc, filename limit 10)""")
 def run_log_accuracy(t: Tables):
     return catalogue.average_accuracy(run_log(t), 10)
+
+
+_ACCURACY = "(case when event_id % 3 = 0 then 0e0 when event_id % 3 = 1 then value end)"
+
+
+@query(f"""select 'file' || event_id as filename, {_ACCURACY} as matching_accuracy,
+    case when {_ACCURACY} >= 90 then 'good' when {_ACCURACY} >= 75 then 'mid' else 'low' end as grade
+  from events""")
+def run_log_grades(t: Tables):
+    """Every run with the grade of its accuracy."""
+    log = run_log(t)
+    return log.select("filename", "matching_accuracy", profiling.accuracy_grade(F.col("matching_accuracy")).alias("grade"))
