@@ -57,25 +57,20 @@ def _vectors(counts: DataFrame, weights: DataFrame) -> DataFrame:
     weighted = lookup_join(counts, weights, ["gram"], "inner").select(
         "clean", "gram", "df", (F.col("tf") * F.col("idf")).alias("weight")
     )
-    gathered = weighted.groupBy("clean").agg(
-        F.array_sort(F.collect_list(F.struct("df", "gram", "weight"))).alias("terms")
+    # Running squared length from the back: entry i covers the grams from i to the end.
+    to_the_end = Window.partitionBy("clean").orderBy(F.desc("df"), F.desc("gram")).rowsBetween(
+        Window.unboundedPreceding, 0)
+    gathered = (
+        weighted.withColumn("rest", F.sum(F.col("weight") * F.col("weight")).over(to_the_end))
+        .groupBy("clean")
+        .agg(F.array_sort(F.collect_list(F.struct("df", "gram", "weight", "rest"))).alias("terms"))
+        .withColumn("length", F.sqrt(F.try_element_at("terms", F.lit(1))["rest"]))
     )
-    length = F.sqrt(F.aggregate(
-        F.col("terms"), F.lit(0.0), lambda acc, t: acc + t["weight"] * t["weight"]))
-    unit = F.transform("terms", lambda t: F.struct(
-        t["gram"].alias("gram"), (t["weight"] / F.col("length")).alias("weight")))
-    # Running squared length from the back; element i covers the grams from i to the end.
-    start = F.struct(F.lit(0.0).alias("sum"), F.array().cast("array<double>").alias("path"))
-
-    def step(acc: Column, term: Column) -> Column:
-        value = acc["sum"] + term["weight"] * term["weight"]
-        return F.struct(value.alias("sum"), F.concat(acc["path"], F.array(value)).alias("path"))
-
-    path = F.aggregate(F.reverse("unit"), start, step, lambda acc: acc["path"])
-    return (
-        gathered.withColumn("length", length)
-        .select("clean", unit.alias("unit"))
-        .withColumn("remainder", F.transform(F.reverse(path), lambda x: F.sqrt(x)))
+    return gathered.select(
+        "clean",
+        F.transform("terms", lambda t: F.struct(
+            t["gram"].alias("gram"), (t["weight"] / F.col("length")).alias("weight"))).alias("unit"),
+        F.transform("terms", lambda t: F.sqrt(t["rest"]) / F.col("length")).alias("remainder"),
     )
 
 
@@ -136,10 +131,12 @@ def _cosine(left: Column, right: Column) -> Column:
 def _pairs(index: NameIndex, queries: DataFrame, lowest: float) -> DataFrame:
     """Pairs with ``cosine >= need``.  ``queries`` has ``clean`` and ``need`` (distinct).
 
-    Partners meet under the leading grams of both.  The products seen there add up to a
-    part of the cosine; what may still be missing lies behind the last shared gram and is
-    bounded by what remains of both vectors.  Only pairs whose bound reaches the minimum
-    fetch their whole vectors for the exact value.
+    Partners meet under the leading grams of both.  From any gram on, the rest of the cosine is
+    at most the product of both remainders; they shrink along the common order, so the places
+    where the product still reaches the minimum are the first that a pair shares, and a pair
+    without such a place leaves before the shuffle.  What these places add up to, and the
+    product behind the last of them, bound the cosine; only pairs whose bound reaches the
+    minimum fetch their whole vectors for the exact value.
     """
     vectors = _vectors(_gram_counts(queries), index.weights).join(queries, "clean")
 
@@ -154,27 +151,21 @@ def _pairs(index: NameIndex, queries: DataFrame, lowest: float) -> DataFrame:
         return df.select("clean", *carried, F.inline(zipped)).where(F.col("remainder") >= reach - SLACK)
 
     theirs = postings(vectors, F.col("need"), "need").select(
-        F.col("clean").alias("query"), "gram", "need",
+        F.col("clean").alias("query"), "gram", "need", F.col("remainder").alias("query_remainder"),
         F.col("weight").alias("query_weight"), F.col("after").alias("query_after"))
     ours = postings(index.vectors, F.lit(lowest)).select(
         F.col("clean").alias("candidate"), "gram", "remainder",
         F.col("weight").alias("candidate_weight"), F.col("after").alias("candidate_after"))
     meet = (
         theirs.join(ours, "gram")
-        .where(F.col("remainder") >= F.col("need") - SLACK)
+        .where(F.col("query_remainder") * F.col("remainder") >= F.col("need") - SLACK)
         .groupBy("query", "candidate", "need")
         .agg(
             F.sum(F.col("query_weight") * F.col("candidate_weight")).alias("seen"),
-            F.min("query_after").alias("query_after"),
-            F.min("candidate_after").alias("candidate_after"),
+            F.min(F.col("query_after") * F.col("candidate_after")).alias("unseen"),
         )
     )
-    # Of the two remainders, one lies behind its own cut and is shorter than ``need``.
-    unseen = F.least(
-        F.col("need") * F.greatest("query_after", "candidate_after"),
-        F.col("query_after") * F.col("candidate_after"),
-    )
-    hopeful = meet.where(F.col("seen") + unseen >= F.col("need") - SLACK).select(
+    hopeful = meet.where(F.col("seen") + F.col("unseen") >= F.col("need") - SLACK).select(
         "query", "candidate", "need")
     asked = vectors.select(F.col("clean").alias("query"), F.col("unit").alias("query_unit"))
     known = index.vectors.select(
