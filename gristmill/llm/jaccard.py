@@ -12,9 +12,10 @@ whole sequence); two documents are linked when ``PARTS * common >= SHARE * toget
    already connect groups of near copies.
 4. Roots whose members are not all connected yet become signature trees: root, bands of like
    sizes, leaves of about ``LEAF`` documents, each with the OR of its members' bitmaps, its range
-   of sizes and of components.  Pairs of nodes are followed downwards from the root as long as
-   their sizes, their components and the largest overlap that the bitmaps allow let them; what
-   reaches documents is checked exactly.
+   of sizes and of components, and the most shingles that a member has from the root's on.  Pairs
+   of nodes are followed downwards from the root as long as their sizes, their components and the
+   largest overlap that bitmaps and remaining shingles allow let them; what reaches documents is
+   checked exactly.
 5. Components of the links by alternating stars.
 
 Equal sets count as one until the end, so copies cost one lookup each.
@@ -29,6 +30,7 @@ from __future__ import annotations
 import math
 import sys
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -47,8 +49,11 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SHINGLE, SHARE, PARTS = 5, 80, 100
 COUNTERS, COUNTER_BLOCK, LEVEL_BITS = 18, 4096, 4
-BITS, LEAF, BAND, LEADERS = 2048, 256, 1.05, 2
-SETS = "doc_id long, n long, a long, b long, first binary"
+#: Bits of a tree node's bitmap, and the fewest of a document's, which has 2 to 4 for each shingle.
+BITS, LEAF, BAND, LEADERS = 1024, 256, 1.25, 2
+SETS = "doc_id long, n long, a long, b long, first binary, bits binary"
+#: Up to so many identifiers are sent to all tasks that read texts; more meet the texts in a shuffle.
+SENT_IDS = 500_000
 
 
 def shingles(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -115,20 +120,49 @@ def order_keys(hashes: np.ndarray, levels: np.ndarray) -> np.ndarray:
     return (level << np.uint64(64 - LEVEL_BITS)) | (win.mix(hashes, 1) >> np.uint64(LEVEL_BITS))
 
 
+def _set_hashes(hashes: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+    """Two hashes of each text's set; together they tell sets apart."""
+    some, begin = np.flatnonzero(n), np.cumsum(n) - n
+    out = []
+    for seed in (4, 5):
+        total = np.zeros(len(n), dtype=np.uint64)
+        if len(some):
+            total[some] = np.add.reduceat(win.mix(hashes, seed), begin[some])
+        out.append(total.view(np.int64))
+    return out
+
+
+def bitmaps(hashes: np.ndarray, n: np.ndarray) -> list[bytes]:
+    """A bitmap for each text, of a power of two of bits that grows with its set."""
+    size = np.maximum(BITS, 1 << np.ceil(np.log2(np.maximum(2 * n, 1))).astype(np.int64))
+    first = np.cumsum(size) - size
+    grid = np.zeros(int(size.sum()), dtype=bool)
+    place = (win.mix(hashes, 9) >> np.uint64(8)).astype(np.int64) % np.repeat(size, n)
+    grid[np.repeat(first, n) + place] = True
+    packed = np.packbits(grid)
+    return [packed[a:b].tobytes() for a, b in zip((first // 8).tolist(), ((first + size) // 8).tolist())]
+
+
+def folded(maps: list[bytes], size: int) -> np.ndarray:
+    """Bitmaps brought to ``size`` bytes, one row each: positions are taken modulo the fewer bits."""
+    out = np.empty((len(maps), size), dtype=np.uint8)
+    for i, x in enumerate(maps):
+        row = np.frombuffer(x, dtype=np.uint8)
+        out[i] = row if len(row) == size else np.bitwise_or.reduce(row.reshape(-1, size), axis=0)
+    return out.view(np.uint64)
+
+
 def _describe(levels: np.ndarray):
-    """Per row: size of the set, two hashes of it, and the first shingles in the global order."""
+    """Per row: size of the set, two hashes of it, the first shingles in the global order, a bitmap."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, a, b, first = [], [], [], []
-            for row, end, raw, at in win.chunks(batch.column(1)):
+            sizes, a, b, first, bits = [], [], [], [], []
+            for _, _, raw, at in win.chunks(batch.column(1)):
                 hashes, of, n = shingles(raw, at)
                 begin = np.cumsum(n) - n
-                some = np.flatnonzero(n)
-                for out, seed in ((a, 4), (b, 5)):
-                    total = np.zeros(len(n), dtype=np.uint64)
-                    if len(some):
-                        total[some] = np.add.reduceat(win.mix(hashes, seed), begin[some])
-                    out.append(total.view(np.int64))
+                for out, total in zip((a, b), _set_hashes(hashes, n)):
+                    out.append(total)
+                bits += bitmaps(hashes, n)
                 keys = order_keys(hashes, levels)
                 keys = keys[np.lexsort((keys, of))]
                 length = np.where(n > 0, n - -(-n * SHARE // PARTS) + 1, 0)
@@ -136,7 +170,8 @@ def _describe(levels: np.ndarray):
                 sizes.append(n)
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), *[pa.array(np.concatenate(c) if c else [], pa.int64()) for c in (sizes, a, b)],
-                pa.array(first, pa.binary())], ["doc_id", "n", "a", "b", "first"])
+                pa.array(first, pa.binary()), pa.array(bits, pa.binary())],
+                ["doc_id", "n", "a", "b", "first", "bits"])
 
     return run
 
@@ -154,11 +189,13 @@ def _first_shingles(buckets: int, hot: bool):
                 continue
             keys = np.concatenate(lists)
             which = np.repeat(once, [len(x) for x in lists])
+            # How many shingles of the set come from this one on in the global order.
+            left = np.concatenate([n[i] - np.arange(len(x)) for i, x in zip(once, lists)])
             chosen = (keys >= limit) if hot else (keys < limit)
-            keys, which = keys[chosen], which[chosen]
+            keys, which, left = keys[chosen], which[chosen], left[chosen]
             if hot:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys.view(np.int64)), pa.array(a[which]), pa.array(n[which])], ["token", "alias", "n"])
+                    [pa.array(keys.view(np.int64)), pa.array(a[which]), pa.array(left)], ["token", "alias", "rest"])
                 continue
             bucket = (win.mix(keys, 6) >> np.uint64(33)) % np.uint64(buckets)
             order = np.argsort(bucket, kind="stable")
@@ -167,11 +204,11 @@ def _first_shingles(buckets: int, hot: bool):
             for x in range(buckets):
                 own = order[edges[x]:edges[x + 1]]
                 if len(own):
-                    rows.append((x, keys[own].tobytes(), a[which[own]].tobytes(), blobs.planes(n[which[own]].astype(np.uint32))))
+                    rows.append((x, keys[own].tobytes(), a[which[own]].tobytes(), blobs.planes(left[own].astype(np.uint32))))
             if rows:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary(), pa.binary()))],
-                    ["bucket", "tokens", "aliases", "sizes"])
+                    ["bucket", "tokens", "aliases", "rests"])
 
     return run
 
@@ -180,18 +217,19 @@ def _shared(rows: pd.DataFrame) -> pd.DataFrame:
     """Of one bucket: shingles of several classes, one for each set of members."""
     tokens = np.concatenate([np.frombuffer(x, dtype=np.uint64) for x in rows["tokens"]])
     aliases = np.concatenate([np.frombuffer(x, dtype=np.int64) for x in rows["aliases"]])
+    rests = np.concatenate([blobs.unplaned(x, "u4") for x in rows["rests"]]).astype(np.int64)
     order = np.argsort(tokens)
     runs = blobs.runs(tokens[order])
     lengths = np.diff(np.append(runs, len(order)))
     order = order[np.repeat(lengths > 1, lengths)]
     order = order[np.lexsort((aliases[order], tokens[order]))]
-    tokens, aliases = tokens[order], aliases[order]
+    tokens, aliases, rests = tokens[order], aliases[order], rests[order]
     new = np.ones(len(order), dtype=bool)
     new[1:] = (tokens[1:] != tokens[:-1]) | (aliases[1:] != aliases[:-1])
-    tokens, aliases = tokens[new], aliases[new]
+    tokens, aliases, rests = tokens[new], aliases[new], rests[new]
     runs = blobs.runs(tokens)
     if not len(runs):
-        return pd.DataFrame({"token": [], "members": [], "who": [], "alias": []})
+        return pd.DataFrame({"token": [], "members": [], "who": [], "alias": [], "rest": []})
     lengths = np.diff(np.append(runs, len(tokens)))
     who = np.bitwise_xor.reduceat(win.mix(aliases.view(np.uint64), 8), runs).view(np.int64)
     _, one = np.unique(np.column_stack([lengths, who]), axis=0, return_index=True)
@@ -200,61 +238,82 @@ def _shared(rows: pd.DataFrame) -> pd.DataFrame:
     kept = np.repeat(kept, lengths)
     return pd.DataFrame({
         "token": tokens[kept].view(np.int64), "members": np.repeat(lengths, lengths)[kept],
-        "who": np.repeat(who, lengths)[kept], "alias": aliases[kept]})
+        "who": np.repeat(who, lengths)[kept], "alias": aliases[kept], "rest": rests[kept]})
 
 
 def _roots(sets: DataFrame) -> DataFrame:
-    """``token, alias``: one shingle for each set of classes that share one of their first shingles."""
+    """``token, alias, rest``: one shingle for each set of classes that share one of their first shingles.
+
+    The first shingle that two sets share, in the global order, is always among these, and there
+    they have nothing in common before it: at most the lesser ``rest`` is common to both.
+    """
     buckets = partitions(session_of(sets))
     usable = sets.where("n > 0 and doc_id is not null")
     packed = usable.select("a", "n", "first").mapInArrow(
-        _first_shingles(buckets, False), "bucket int, tokens binary, aliases binary, sizes binary")
+        _first_shingles(buckets, False), "bucket int, tokens binary, aliases binary, rests binary")
     rare = packed.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(
-        _shared, "token long, members long, who long, alias long")
-    rows = usable.select("a", "n", "first").mapInArrow(_first_shingles(buckets, True), "token long, alias long, n long")
-    rows = saved(rows.select("token", "alias").distinct())
+        _shared, "token long, members long, who long, alias long, rest long")
+    rows = usable.select("a", "n", "first").mapInArrow(_first_shingles(buckets, True), "token long, alias long, rest long")
+    rows = saved(rows.groupBy("token", "alias").agg(F.max("rest").alias("rest")))
     often = rows.groupBy("token").agg(
         F.count(F.lit(1)).alias("members"), F.bit_xor(F.xxhash64("alias")).alias("who")).where("members > 1")
-    often = lookup_join(rows, often, ["token"], "inner").select("token", "members", "who", "alias")
+    often = lookup_join(rows, often, ["token"], "inner").select("token", "members", "who", "alias", "rest")
     shared = saved(rare.union(often))
     # Many shingles have the same members: one of them is enough.
     one = shared.groupBy("members", "who").agg(F.min("token").alias("token"))
-    return saved(lookup_join(shared, one.select("token").distinct(), ["token"], "left_semi").select("token", "alias"))
+    return saved(lookup_join(shared, one.select("token").distinct(), ["token"], "left_semi").select("token", "alias", "rest"))
 
 
-def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sets of the wanted texts; rows that repeat within a task are read once."""
+    seen: set[tuple[int, int]] = set()
     for batch in batches:
-        sizes, a, b, sets, bits = [], [], [], [], []
-        for _, _, raw, at in win.chunks(batch.column(1)):
-            hashes, of, n = shingles(raw, at)
+        ids, want_a, want_b = (batch.column(c).to_numpy() for c in ("doc_id", "a", "b"))
+        nodes, sets = [], []
+        for row, _, raw, at in win.chunks(batch.column("text")):
+            hashes, _, n = shingles(raw, at)
             begin = np.cumsum(n) - n
-            place = (win.mix(hashes, 9) >> np.uint64(40)).astype(np.int64) % BITS
-            grid = np.zeros((len(n), BITS), dtype=bool)
-            grid[of, place] = True
-            bits += [x.tobytes() for x in np.packbits(grid, axis=1)]
-            for x, k in zip(begin.tolist(), n.tolist()):
-                own = hashes[x:x + k]
-                sizes.append(k)
-                a.append(int(win.mix(own, 4).sum(dtype=np.uint64).view(np.int64)))
-                b.append(int(win.mix(own, 5).sum(dtype=np.uint64).view(np.int64)))
-                sets.append(own.view(np.int64))
-        yield pa.RecordBatch.from_arrays([
-            batch.column(0), pa.array(sizes, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()),
-            pa.array(sets, pa.list_(pa.int64())), pa.array(bits, pa.binary())],
-            ["node", "n", "a", "b", "set", "bits"])
+            a, b = _set_hashes(hashes, n)
+            for i in np.flatnonzero((a == want_a[row:row + len(n)]) & (b == want_b[row:row + len(n)])).tolist():
+                key = (int(ids[row + i]), int(a[i]))
+                if key not in seen:
+                    seen.add(key)
+                    nodes.append(key[0])
+                    sets.append(hashes[begin[i]:begin[i] + n[i]].view(np.int64))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["node", "set"])
+
+
+def _whole_sets(docs: DataFrame, signed: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``node, set`` of the nodes in the pairs."""
+    nodes = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
+    wanted = saved(signed.withColumnRenamed("node", "doc_id").join(nodes, "doc_id", "left_semi").select("doc_id", "a", "b"))
+    small = wanted.count() <= SENT_IDS
+    rows = docs.join(F.broadcast(wanted) if small else wanted, "doc_id")
+    return saved(rows.select("doc_id", "text", "a", "b").mapInArrow(_sets, "node long, set array<long>"))
 
 
 def _similar_sizes(n: str, m: str) -> str:
     return f"({PARTS} * least({n}, {m}) >= {SHARE} * greatest({n}, {m}))"
 
 
+def _enough(common: str, both: str) -> str:
+    """Whether so many common shingles can link two sets of so many together."""
+    return f"({PARTS} * {common} >= {SHARE} * ({both} - {common}))"
+
+
 def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs whose bitmaps allow the overlap that they need."""
     for batch in batches:
         n, m = batch.column("n").to_numpy(), batch.column("m").to_numpy()
-        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint64).reshape(-1, BITS // 64)
-                for c in ("x", "y"))
-        kept = _room(n, m, np.bitwise_count(x & ~y).sum(axis=1), np.bitwise_count(y & ~x).sum(axis=1))
+        x, y = batch.column("x").to_pylist(), batch.column("y").to_pylist()
+        size = np.array([min(len(a), len(b)) for a, b in zip(x, y)], dtype=np.int64)
+        kept = np.zeros(len(n), dtype=bool)
+        for k in np.unique(size).tolist():
+            at = np.flatnonzero(size == k)
+            for part in np.array_split(at, max(1, len(at) * k >> 24)):
+                a, b = (folded([z[i] for i in part], k) for z in (x, y))
+                kept[part] = _room(n[part], m[part], np.bitwise_count(a & ~b).sum(axis=1), np.bitwise_count(b & ~a).sum(axis=1))
         yield pa.RecordBatch.from_arrays(
             [batch.column("u").filter(pa.array(kept)), batch.column("v").filter(pa.array(kept))], ["u", "v"])
 
@@ -265,22 +324,23 @@ def _room(n, m, only_x, only_y):
     return PARTS * most >= SHARE * (n + m - most)
 
 
-def _links(pairs: DataFrame, signed: DataFrame, checked: bool = False) -> DataFrame:
-    """The pairs ``(u, v)`` of nodes that are similar: by bitmaps first, then exactly."""
-    if not checked:
-        short = signed.select("node", "n", "bits")
-        both = (
-            pairs.join(short.select(F.col("node").alias("u"), "n", F.col("bits").alias("x")), "u")
-            .join(short.select(F.col("node").alias("v"), F.col("n").alias("m"), F.col("bits").alias("y")), "v")
-            .where(_similar_sizes("n", "m")))
-        pairs = saved(both.select("u", "v", "n", "m", "x", "y").mapInArrow(_possible, "u long, v long"))
-    whole = signed.select("node", "n", "set")
+def _by_bitmaps(pairs: DataFrame, signed: DataFrame) -> DataFrame:
+    """The pairs ``(u, v)`` of nodes that their sizes and bitmaps leave possible."""
+    short = signed.select("node", "n", "bits")
     both = (
-        pairs.join(whole.select(F.col("node").alias("u"), "n", F.col("set").alias("p")), "u")
-        .join(whole.select(F.col("node").alias("v"), F.col("n").alias("m"), F.col("set").alias("q")), "v"))
+        pairs.join(short.select(F.col("node").alias("u"), "n", F.col("bits").alias("x")), "u")
+        .join(short.select(F.col("node").alias("v"), F.col("n").alias("m"), F.col("bits").alias("y")), "v")
+        .where(_similar_sizes("n", "m")))
+    return saved(both.select("u", "v", "n", "m", "x", "y").mapInArrow(_possible, "u long, v long").distinct())
+
+
+def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs that are similar, by their whole sets."""
+    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("set").alias("p")), "u").join(
+        sets.select(F.col("node").alias("v"), F.col("set").alias("q")), "v")
     common = F.size(F.array_intersect("p", "q"))
-    return saved(both.withColumn("common", common)
-                 .where(f"{PARTS} * common >= {SHARE} * (n + m - common)").select("u", "v"))
+    return saved(both.withColumn("common", common).where(
+        f"{PARTS} * common >= {SHARE} * (size(p) + size(q) - common)").select("u", "v"))
 
 
 def _with_components(members: DataFrame, links: DataFrame) -> DataFrame:
@@ -301,20 +361,29 @@ def _leader_pairs(members: DataFrame, turn: int) -> DataFrame:
     """Each member with one leader of its root, unless they are connected."""
     leaders = members.groupBy("token").agg(
         F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node").alias("v"), F.col("n").alias("m"),
-                       F.col("component").alias("c"))).alias("first"))
+                       F.col("rest").alias("r"), F.col("component").alias("c"))).alias("first"))
     met = lookup_join(members, leaders, ["token"], "inner").where(
-        "component <> first.c and " + _similar_sizes("n", "first.m"))
+        "component <> first.c and " + _similar_sizes("n", "first.m")
+        + " and " + _enough("least(rest, first.r)", "n + first.m"))
     return met.select(F.least("node", "first.v").alias("u"), F.greatest("node", "first.v").alias("v")).distinct()
 
 
-def _node(members: DataFrame, keys: list[str]) -> DataFrame:
-    """A tree node for each value of the keys: sizes, components, fewest bits, OR of the bitmaps."""
-    words = F.transform(F.sequence(F.lit(0), F.lit(BITS // 64 - 1)),
-                        lambda i: F.conv(F.hex(F.substring(F.col("bits"), i * 8 + 1, 8)), 16, -10).cast("long"))
-    split = members.withColumn("w", words)
-    return split.groupBy(*keys).agg(
-        F.min("n").alias("low_n"), F.max("n").alias("high_n"), F.min("component").alias("low_c"),
-        F.max("component").alias("high_c"),
+def _narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bitmaps as BITS bits in whole numbers."""
+    for batch in batches:
+        words = folded(batch.column("bits").to_pylist(), BITS // 8).view(np.int64)
+        lists = pa.FixedSizeListArray.from_arrays(pa.array(words.reshape(-1)), BITS // 64).cast(pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays(
+            [*batch.columns[:-1], lists], [*batch.schema.names[:-1], "w"])
+
+
+def _leaves(members: DataFrame) -> DataFrame:
+    """The leaves of the trees: sizes, components, fewest bits, OR of the bitmaps."""
+    split = members.select("token", "band", "leaf", "n", "rest", "component", "bits").mapInArrow(
+        _narrow, "token long, band int, leaf int, n long, rest long, component long, w array<long>")
+    return split.groupBy("token", "band", "leaf").agg(
+        F.min("n").alias("low_n"), F.max("n").alias("high_n"), F.max("rest").alias("most"),
+        F.min("component").alias("low_c"), F.max("component").alias("high_c"),
         F.min(F.aggregate("w", F.lit(0), lambda s, x: s + F.bit_count(x))).alias("fewest"),
         F.array(*[F.bit_or(F.col("w")[i]) for i in range(BITS // 64)]).alias("or"))
 
@@ -337,7 +406,8 @@ def _node_pairs(nodes: DataFrame, keys: list[str], above: DataFrame | None) -> D
     room = F.least(most("x"), most("y")) * PARTS >= F.greatest("x_low_n", "y_low_n") * SHARE
     sizes = f"{PARTS} * least(x_high_n, y_high_n) >= {SHARE} * greatest(x_low_n, y_low_n)"
     apart = "not (x_low_c = x_high_c and y_low_c = y_high_c and x_low_c = y_low_c)"
-    return pairs.where(order).where(sizes).where(apart).where(room).select(
+    rest = _enough("least(x_most, y_most)", "x_low_n + y_low_n")
+    return pairs.where(order).where(sizes).where(rest).where(apart).where(room).select(
         "token", *[f"{s}_{k}" for s in "xy" for k in names])
 
 
@@ -360,10 +430,11 @@ def _document_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _met(rows: pd.DataFrame, edges: np.ndarray) -> pd.DataFrame:
     found = [np.zeros((0, 2), dtype=np.int64)]
     if len(rows):
-        node, n, component, side = (rows[c].to_numpy() for c in ("node", "n", "component", "side"))
-        bits = np.frombuffer(b"".join(rows["bits"]), dtype=np.uint64).reshape(-1, BITS // 64)
+        node, n, rest, component, side = (rows[c].to_numpy() for c in ("node", "n", "rest", "component", "side"))
+        maps = rows["bits"].tolist()
         for a, b in zip(edges[:-1], edges[1:]):
-            x, y = a + np.flatnonzero(side[a:b] == 0), a + np.flatnonzero(side[a:b] == 1)
+            bits = folded(maps[a:b], min(map(len, maps[a:b])))
+            x, y = np.flatnonzero(side[a:b] == 0), np.flatnonzero(side[a:b] == 1)
             if not len(y):  # a leaf with itself
                 y = x
             if not len(x):
@@ -371,15 +442,18 @@ def _met(rows: pd.DataFrame, edges: np.ndarray) -> pd.DataFrame:
             # A document against the whole other leaf, then against its documents.
             other = np.bitwise_or.reduce(bits[y], axis=0)
             alone = np.bitwise_count(bits[x] & ~other).sum(axis=1)
-            x = x[PARTS * (n[x] - alone) >= SHARE * n[x]]
+            own, size, left, where = node[a:b], n[a:b], rest[a:b], component[a:b]
+            x = x[PARTS * (size[x] - alone) >= SHARE * size[x]]
             for i in x:
-                near = y[(component[y] != component[i])
-                         & (PARTS * np.minimum(n[y], n[i]) >= SHARE * np.maximum(n[y], n[i]))]
+                near = y[(where[y] != where[i])
+                         & (PARTS * np.minimum(size[y], size[i]) >= SHARE * np.maximum(size[y], size[i]))]
+                most = np.minimum(left[near], left[i])
+                near = near[PARTS * most >= SHARE * (size[near] + size[i] - most)]
                 if len(near):
-                    here = _room(n[i], n[near], np.bitwise_count(bits[i] & ~bits[near]).sum(axis=1),
+                    here = _room(size[i], size[near], np.bitwise_count(bits[i] & ~bits[near]).sum(axis=1),
                                  np.bitwise_count(bits[near] & ~bits[i]).sum(axis=1))
                     near = near[here]
-                    found.append(np.column_stack([np.minimum(node[i], node[near]), np.maximum(node[i], node[near])]))
+                    found.append(np.column_stack([np.minimum(own[i], own[near]), np.maximum(own[i], own[near])]))
     pairs = np.unique(np.concatenate(found), axis=0)
     return pd.DataFrame({"u": pairs[:, 0], "v": pairs[:, 1]})
 
@@ -390,11 +464,11 @@ def _tree_pairs(members: DataFrame) -> DataFrame:
     counts = members.groupBy("token", "band").agg(F.ceil(F.count(F.lit(1)) / LEAF).alias("leaves"))
     members = saved(lookup_join(members, counts, ["token", "band"], "inner").withColumn(
         "leaf", F.pmod(F.xxhash64("node"), F.col("leaves")).cast("int")).select(
-        "token", "band", "leaf", "node", "n", "component", "bits"))
-    leaves = saved(_node(members, ["token", "band", "leaf"]))
+        "token", "band", "leaf", "node", "n", "rest", "component", "bits"))
+    leaves = saved(_leaves(members))
     bands = leaves.groupBy("token", "band").agg(
-        F.min("low_n").alias("low_n"), F.max("high_n").alias("high_n"), F.min("low_c").alias("low_c"),
-        F.max("high_c").alias("high_c"), F.min("fewest").alias("fewest"),
+        F.min("low_n").alias("low_n"), F.max("high_n").alias("high_n"), F.max("most").alias("most"),
+        F.min("low_c").alias("low_c"), F.max("high_c").alias("high_c"), F.min("fewest").alias("fewest"),
         F.array(*[F.bit_or(F.col("or")[i]) for i in range(BITS // 64)]).alias("or"))
     pairs = _node_pairs(saved(bands), ["token", "band"], None)
     pairs = saved(_node_pairs(leaves, ["token", "band", "leaf"], pairs))
@@ -402,7 +476,7 @@ def _tree_pairs(members: DataFrame) -> DataFrame:
     x = pairs.select("pair", "token", F.col("x_band").alias("band"), F.col("x_leaf").alias("leaf"), F.lit(0).alias("side"))
     y = pairs.where("x_band <> y_band or x_leaf <> y_leaf").select(
         "pair", "token", F.col("y_band").alias("band"), F.col("y_leaf").alias("leaf"), F.lit(1).alias("side"))
-    placed = x.union(y).join(members, ["token", "band", "leaf"]).select("pair", "side", "node", "n", "component", "bits")
+    placed = x.union(y).join(members, ["token", "band", "leaf"]).select("pair", "side", "node", "n", "rest", "component", "bits")
     buckets = partitions(session_of(members))
     return placed.repartition(buckets, "pair").sortWithinPartitions("pair").mapInPandas(
         _document_pairs, "u long, v long").distinct()
@@ -413,24 +487,28 @@ def similar(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     levels = frequency_levels(docs.select("text"))
     sets = saved(docs.mapInArrow(_describe(levels), SETS))
-    classes = saved(sets.where("n > 0 and doc_id is not null").groupBy("a", "b").agg(
-        F.min("doc_id").alias("node")))
     roots = _roots(sets)
-    wanted = classes.join(roots.select(F.col("alias").alias("a")).distinct(), "a").select(
-        F.col("node").alias("doc_id"), F.col("a").alias("want_a"), F.col("b").alias("want_b"))
-    texts = docs.join(wanted.select("doc_id").distinct(), "doc_id").dropDuplicates(["doc_id", "text"])
-    signed = texts.select("doc_id", "text").mapInArrow(
-        _signatures, "node long, n long, a long, b long, set array<long>, bits binary")
-    signed = saved(signed.join(wanted, (F.col("node") == F.col("doc_id")) & (F.col("a") == F.col("want_a"))
-                               & (F.col("b") == F.col("want_b")), "left_semi"))
+    # Of each class of equal sets, the row with the smallest doc_id stands for it.
+    classes = saved(sets.where("n > 0 and doc_id is not null").groupBy("a", "b").agg(
+        F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("bits").alias("bits")))
+    signed = saved(lookup_join(classes, roots.select(F.col("alias").alias("a")).distinct(), ["a"], "left_semi"))
     members = saved(roots.join(signed.select(F.col("a").alias("alias"), "node", "n"), "alias")
-                    .select("token", "node", "n", F.col("node").alias("component")).distinct())
+                    .select("token", "node", "n", "rest", F.col("node").alias("component")).distinct())
     links = session_of(docs).createDataFrame([], "u long, v long")
-    for turn in range(LEADERS):
-        links = links.union(_links(saved(_leader_pairs(_open_roots(members), turn)), signed))
+    read = session_of(docs).createDataFrame([], "node long, set array<long>")
+    if LEADERS:
+        pairs = reduce(DataFrame.union, [_leader_pairs(members, turn) for turn in range(LEADERS)])
+        pairs = _by_bitmaps(pairs.distinct(), signed)
+        read = _whole_sets(docs, signed, pairs)
+        links = _links(pairs, read)
         members = _with_components(members, links)
-    open_ = _open_roots(members).join(signed.select("node", "bits"), "node")
-    links = links.union(_links(saved(_tree_pairs(open_)), signed, checked=True))
+    open_ = lookup_join(_open_roots(members), signed.select("node", "bits"), ["node"], "inner")
+    pairs = saved(_tree_pairs(open_))
+    if pairs.head(1):
+        known = read.select(F.col("node").alias("known"))
+        new = pairs.join(known, F.col("u") == F.col("known"), "left_anti").select("u", F.col("u").alias("v")).union(
+            pairs.join(known, F.col("v") == F.col("known"), "left_anti").select("v", F.col("v").alias("u")))
+        links = links.union(_links(pairs, read.union(_whole_sets(docs, signed, new))))
     found = components(links)
     belongs = saved(classes.join(found, "node", "left").select(
         "a", "b", F.coalesce("component", "node").alias("component")))

@@ -30,11 +30,23 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+#: Spark's setting that removes a query's shuffle files when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def saved(df: DataFrame) -> DataFrame:
-    """Write a table to the shared folder and read it back: a short lineage that outlives executors."""
+    """Write a table to the shared folder and read it back: a short lineage that outlives executors.
+
+    What the table needed from shuffles is then of no use, so their files go at once.
+    """
     spark = session_of(df)
     path = f"{shared_folder(spark)}/gristmill/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
