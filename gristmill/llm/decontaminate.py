@@ -11,6 +11,10 @@
    candidate, checked at once against the words around it: the longest common subsequence must
    reach ``copied`` of the item's words, or ``paraphrased`` of them when the item's answer (its
    rarest words, where no answer is given) is there too.
+4. So is, whatever its cosine, a stretch of one or two passages that holds enough of the item's
+   words, common ones too, counted exactly.  It is checked in the same way, but the subsequence
+   must have ``LEAST_WORDS`` words and lie in a stretch of twice the item's length; every copy or
+   paraphrase no longer than one and a half times the item lies in such a stretch.
 
 The benchmark is worked on in blocks of ``ITEMS`` items, so that what is broadcast is bounded.
 Nothing is shuffled but counts, sums and findings.
@@ -44,6 +48,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 PASSAGE, STRIDE, AROUND = 64, 32, 32
 ITEMS, LEAST_WORDS, EXTRA, TERM_BLOCK = 256, 5, 16, 64
 ANSWER_WORDS = 5
+#: One and a half times an item of so many words lies in one passage, wherever it begins.
+SHORT = 22
 #: Entries that are multiplied at once.
 SLICE = 20_000
 
@@ -68,6 +74,8 @@ class Space:
     weights: np.ndarray
     basis: np.ndarray
     items: np.ndarray
+    counts: np.ndarray  # how often each item holds each word of the vocabulary
+    in_answer: np.ndarray  # whether each item's answer holds it
 
     def lookup(self, hashes: np.ndarray) -> np.ndarray:
         """Places in the vocabulary, -1 for other words."""
@@ -106,7 +114,7 @@ def blocks_of(benchmark: DataFrame, item: str, text: str, answer: str | None) ->
         place = lambda w: np.searchsorted(vocabulary, w)
         none = np.zeros((0, 0), dtype=np.float32)
         yield Space(vocabulary, [h[0] for h in hashed], [place(h[1]) for h in hashed],
-                    [place(h[2]) for h in hashed], np.zeros(len(vocabulary)), none, none)
+                    [place(h[2]) for h in hashed], np.zeros(len(vocabulary)), none, none, none, none)
 
 
 def _counted(space: Space):
@@ -135,21 +143,31 @@ def weigh(space: Space, docs: DataFrame, common: float) -> None:
     texts = found.pop(-1, 0)
     counts = np.zeros(len(space.vocabulary))
     counts[list(found)] = list(found.values())
-    space.weights = np.where(counts <= max(common * texts, 3), np.log((1 + texts) / (1 + counts)) + 1.0, 0.0)
+    rarity = np.log((1 + texts) / (1 + counts)) + 1.0
+    space.weights = np.where(counts <= max(common * texts, 3), rarity, 0.0)
     for i, terms in enumerate(space.item_terms):
         if not len(space.answers[i]):
             distinct = np.unique(terms)
-            rare = distinct[np.argsort(-space.weights[distinct], kind="stable")][:ANSWER_WORDS]
+            rare = distinct[np.argsort(-rarity[distinct], kind="stable")][:ANSWER_WORDS]
             space.answers[i] = rare
         space.answers[i] = np.unique(space.answers[i])
+    space.counts = np.zeros((len(counts), len(space.item_ids)), dtype=np.uint8)
+    space.in_answer = np.zeros_like(space.counts)
+    for i, terms in enumerate(space.item_terms):
+        term, times = np.unique(terms, return_counts=True)
+        space.counts[term, i] = np.minimum(times, 255)
+        space.in_answer[space.answers[i], i] = 1
+
 
+def passages(space: Space, terms: np.ndarray, first: np.ndarray, every: bool = False):
+    """TF-IDF entries of all passages of the texts, by passage: number, term, value; and where texts' passages begin.
 
-def passages(space: Space, terms: np.ndarray, first: np.ndarray):
-    """TF-IDF entries of all passages of the texts, by passage: number, term, value; and where texts' passages begin."""
+    ``every``: also those of value 0.
+    """
     counts = np.diff(first)
     windows = np.maximum(1, -(-counts // STRIDE))
     base = np.cumsum(windows) - windows
-    place = np.flatnonzero((terms >= 0) & (space.weights[np.maximum(terms, 0)] > 0))
+    place = np.flatnonzero((terms >= 0) & (every | (space.weights[np.maximum(terms, 0)] > 0)))
     of = np.searchsorted(first, place, side="right") - 1
     window = (place - first[of]) // STRIDE
     number = base[of] + window
@@ -260,22 +278,65 @@ def common_subsequence(left: list[int], right: list[int]) -> int:
     return len(left) - row.bit_count()
 
 
+def _held(number: np.ndarray, term: np.ndarray, table: np.ndarray, windows: int) -> np.ndarray:
+    """For each passage and column of the table the sum over the passage's distinct words."""
+    out = np.zeros((windows, table.shape[1]), dtype=np.uint8)
+    runs = blobs.runs(number)
+    for some, part, heads in slices(runs, len(number)):
+        out[number[runs[some]]] = np.minimum(np.add.reduceat(table[term[part]], heads, axis=0, dtype=np.uint16), 255)
+    return out
+
+
+def _stretches(space: Space, limits: Thresholds, number, term, windows: int, of: np.ndarray, base: np.ndarray):
+    """(passage, item) where the words of the stretch that begins with the passage allow a finding."""
+    sizes = np.array([len(w) for w in space.item_terms])
+    held = _held(number, term, space.counts, windows).astype(np.uint16)
+    wide = sizes > SHORT
+    held[:-2, wide] += held[2:, wide]
+    which, item = np.nonzero(held >= needed(limits, sizes))
+    # The answer must be around, unless so much is there that it is not asked for.
+    answers = term if not len(term) else space.in_answer.any(axis=1)[term]
+    keys = _held(number[answers], term[answers], space.in_answer, windows) if len(term) else held
+    least, last = base[of[which]], windows - 1
+    around = sum(keys[np.clip(which + step, least, last), item].astype(np.int64) for step in (-2, 0, 2, 4))
+    enough = np.array([limits.answer * len(a) for a in space.answers])
+    possible = (held[which, item] >= limits.copied * sizes[item]) | (around >= enough[item]) | (sizes[item] > PASSAGE)
+    return which[possible], item[possible]
+
+
+def needed(limits: Thresholds, size):
+    """How many words in order make a paraphrase of an item of so many words."""
+    return np.maximum(limits.paraphrased * size, LEAST_WORDS)
+
+
+def _dense_share(words: list[int], stretch: list[int]) -> float:
+    """The item's share of the longest common subsequence in a stretch of twice its length."""
+    size, step = 2 * len(words), -(-len(words) // 2)
+    starts = range(0, max(1, len(stretch) - size + step), step)
+    return max(common_subsequence(words, stretch[a:a + size]) for a in starts) / len(words)
+
+
 def _found(space: Space, limits: Thresholds, texts: pa.Array) -> Iterator[tuple[int, int, float, float, float]]:
     """(row, item, cosine, share of the subsequence, share of the answer) of every confirmed passage."""
     for row, _, raw, at in win.chunks(texts):
         hashes, first = words_of(raw, at)
         terms = space.lookup(hashes)
-        number, term, value, base = passages(space, terms, first)
-        numbers, runs, product = _projected(number, term, value, space.basis)
-        if not len(runs):
+        all_number, all_term, all_value, base = passages(space, terms, first, every=True)
+        if not len(all_number):
             continue
-        # A passage's own length counts whole, also what lies outside of the latent space.
-        length = np.sqrt(np.add.reduceat(value * value, runs))
-        near = [product[a:a + SLICE] @ space.items.T for a in range(0, len(product), SLICE)]
-        near = np.concatenate(near) / np.maximum(length, 1e-12)[:, None]
+        windows = int(base[-1] + max(1, -(-(first[-1] - first[-2]) // STRIDE)))
+        text_of = np.searchsorted(base, np.arange(windows), side="right") - 1
+        weighed = all_value > 0
+        number, term, value = all_number[weighed], all_term[weighed], all_value[weighed]
+        numbers, runs, product = _projected(number, term, value, space.basis)
+        near = np.zeros((0, len(space.item_ids)), dtype=np.float32)
+        if len(runs):
+            # A passage's own length counts whole, also what lies outside of the latent space.
+            length = np.sqrt(np.add.reduceat(value * value, runs))
+            near = [product[a:a + SLICE] @ space.items.T for a in range(0, len(product), SLICE)]
+            near = np.concatenate(near) / np.maximum(length, 1e-12)[:, None]
         which, item = np.nonzero(near >= limits.cosine)
-        of = np.searchsorted(base, numbers[which], side="right") - 1
-        for w, i, text in zip(which.tolist(), item.tolist(), of.tolist()):
+        for w, i, text in zip(which.tolist(), item.tolist(), text_of[numbers[which]].tolist()):
             words = space.item_terms[i]
             around = max(AROUND, len(words))
             begin = first[text] + (numbers[w] - base[text]) * STRIDE
@@ -286,6 +347,21 @@ def _found(space: Space, limits: Thresholds, texts: pa.Array) -> Iterator[tuple[
             answer = float(np.isin(space.answers[i], region).mean())
             if share >= limits.copied or answer >= limits.answer:
                 yield row + text, i, float(near[w, i]), share, answer
+        rows_of = np.full(windows, -1)
+        rows_of[numbers] = np.arange(len(numbers))
+        which, item = _stretches(space, limits, all_number, all_term, windows, text_of, base)
+        for w, i, text in zip(which.tolist(), item.tolist(), text_of[which].tolist()):
+            words = space.item_terms[i]
+            begin, end = first[text] + (w - base[text]) * STRIDE, first[text + 1]
+            width = PASSAGE if len(words) <= SHORT else max(2 * PASSAGE, 2 * len(words))
+            share = _dense_share(words.tolist(), terms[begin:min(end, begin + width)].tolist())
+            if share * len(words) < needed(limits, len(words)):
+                continue
+            around = max(AROUND, len(words))
+            region = terms[max(first[text], begin - around):min(end, begin + width + around)]
+            answer = float(np.isin(space.answers[i], region).mean())
+            if share >= limits.copied or answer >= limits.answer:
+                yield row + text, i, float(near[rows_of[w], i]) if rows_of[w] >= 0 else 0.0, share, answer
 
 
 def spaces(docs: DataFrame, benchmark: DataFrame, limits: Thresholds, item: str, text: str, answer: str | None):

@@ -71,3 +71,30 @@ def test_odd_inputs(spark, odd_docs, no_docs):
     assert decontaminate.contaminated(no_docs, odd).collect() == []
     assert {r["item_id"] for r in decontaminate.contaminated(odd_docs, odd).collect()} <= {4}
     assert decontaminate.keep_clean(odd_docs, odd).columns == odd_docs.columns
+
+
+def words_at_random(rng, count):
+    return ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(4, 8))) for _ in range(count)]
+
+
+def found_in(spark, docs, items):
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    return {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(frame, bench).collect()}
+
+
+def test_frequent_items(spark):
+    """An item that a third of the documents holds has only common words, and is found in each."""
+    rng = random.Random(4)
+    words = words_at_random(rng, 2000)
+    say = lambda n: [rng.choice(words) for _ in range(n)]
+    items = [(i, say(20 + 3 * i)) for i in range(12)]
+    docs, truth = [], set()
+    for d in range(240):
+        text = say(150)
+        if d % 3 == 0:
+            at = rng.randint(0, 150)
+            text[at:at] = items[0][1] if d % 2 else items[11][1]
+            truth.add((d, 0 if d % 2 else 11))
+        docs.append((d, " ".join(text)))
+    assert found_in(spark, docs, [(i, " ".join(t)) for i, t in items]) == truth
