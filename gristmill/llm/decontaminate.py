@@ -15,8 +15,11 @@
    words, common ones too, counted exactly.  It is checked in the same way, but the subsequence
    must have ``LEAST_WORDS`` words and lie in a stretch of twice the item's length; every copy or
    paraphrase no longer than one and a half times the item lies in such a stretch.
+   Items of more than ``PASSAGE`` words are compared by their own passages (cosine) and pieces
+   (counts); the subsequence is still that of the whole item.
 
-The benchmark is worked on in blocks of ``ITEMS`` items, so that what is broadcast is bounded.
+The benchmark is worked on in blocks of ``ITEMS`` passages of items (a longer item is a block of
+its own), so that what is broadcast is bounded.
 Nothing is shuffled but counts, sums and findings.
 
 Defined results: null and empty texts match nothing; items with fewer than ``LEAST_WORDS`` words
@@ -73,8 +76,9 @@ class Space:
     answers: list[np.ndarray]
     weights: np.ndarray
     basis: np.ndarray
-    items: np.ndarray
-    counts: np.ndarray  # how often each item holds each word of the vocabulary
+    items: np.ndarray  # one row for each passage of an item, item by item
+    pieces: np.ndarray  # item, begin, end of the pieces whose words are counted
+    counts: np.ndarray  # how often each piece holds each word of the vocabulary
     in_answer: np.ndarray  # whether each item's answer holds it
 
     def lookup(self, hashes: np.ndarray) -> np.ndarray:
@@ -108,13 +112,28 @@ def blocks_of(benchmark: DataFrame, item: str, text: str, answer: str | None) ->
         own = rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(number)) == block).orderBy("item", "text").collect()
         hashed = [(r["item"], _hashes(r["text"]), _hashes(r["answer"])) for r in own]
         hashed = [h for h in hashed if len(h[1]) >= LEAST_WORDS]
-        if not hashed:
-            continue
-        vocabulary = np.unique(np.concatenate([w for _, words, answers in hashed for w in (words, answers)]))
-        place = lambda w: np.searchsorted(vocabulary, w)
-        none = np.zeros((0, 0), dtype=np.float32)
-        yield Space(vocabulary, [h[0] for h in hashed], [place(h[1]) for h in hashed],
-                    [place(h[2]) for h in hashed], np.zeros(len(vocabulary)), none, none, none, none)
+        while hashed:
+            total = np.cumsum([len(passages_of_item(len(h[1]))) for h in hashed])
+            some = max(1, int(np.searchsorted(total, ITEMS, side="right")))
+            yield _space(hashed[:some])
+            hashed = hashed[some:]
+
+
+def _space(hashed: list[tuple]) -> Space:
+    vocabulary = np.unique(np.concatenate([w for _, words, answers in hashed for w in (words, answers)]))
+    place = lambda w: np.searchsorted(vocabulary, w)
+    none = np.zeros((0, 0), dtype=np.float32)
+    pieces = []
+    for i, (_, words, _) in enumerate(hashed):
+        edges = np.linspace(0, len(words), -(-len(words) // PASSAGE) + 1).astype(int)
+        pieces += [(i, a, b) for a, b in zip(edges[:-1], edges[1:])]
+    return Space(vocabulary, [h[0] for h in hashed], [place(h[1]) for h in hashed],
+                 [place(h[2]) for h in hashed], np.zeros(len(vocabulary)), none, none, np.array(pieces), none, none)
+
+
+def passages_of_item(size: int) -> range:
+    """Where the passages of an item of so many words begin."""
+    return range(0, max(1, size - STRIDE), STRIDE)
 
 
 def _counted(space: Space):
@@ -151,11 +170,11 @@ def weigh(space: Space, docs: DataFrame, common: float) -> None:
             rare = distinct[np.argsort(-rarity[distinct], kind="stable")][:ANSWER_WORDS]
             space.answers[i] = rare
         space.answers[i] = np.unique(space.answers[i])
-    space.counts = np.zeros((len(counts), len(space.item_ids)), dtype=np.uint8)
-    space.in_answer = np.zeros_like(space.counts)
-    for i, terms in enumerate(space.item_terms):
-        term, times = np.unique(terms, return_counts=True)
-        space.counts[term, i] = np.minimum(times, 255)
+    space.counts = np.zeros((len(counts), len(space.pieces)), dtype=np.uint8)
+    space.in_answer = np.zeros((len(counts), len(space.item_ids)), dtype=np.uint8)
+    for x, (i, begin, end) in enumerate(space.pieces):
+        term, times = np.unique(space.item_terms[i][begin:end], return_counts=True)
+        space.counts[term, x] = times
         space.in_answer[space.answers[i], i] = 1
 
 
@@ -238,16 +257,18 @@ def _summed(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def item_vectors(space: Space) -> np.ndarray:
-    """The items' TF-IDF vectors, of length one."""
-    out = np.zeros((len(space.item_ids), len(space.vocabulary)), dtype=np.float32)
-    for i, terms in enumerate(space.item_terms):
+    """TF-IDF vectors of the items' passages, of length one."""
+    own = [terms[a:a + PASSAGE] for terms in space.item_terms for a in passages_of_item(len(terms))]
+    out = np.zeros((len(own), len(space.vocabulary)), dtype=np.float32)
+    for i, terms in enumerate(own):
         np.add.at(out[i], terms, space.weights[terms])
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
 
 def fit(space: Space, docs: DataFrame, seed: int = 17) -> None:
     """A basis of the latent space: randomised SVD of the passages and the items."""
-    width = min(len(space.vocabulary), len(space.item_ids) + EXTRA)
+    parts = sum(len(passages_of_item(len(terms))) for terms in space.item_terms)
+    width = min(len(space.vocabulary), min(parts, ITEMS) + EXTRA)
     salts = max(1, math.isqrt(docs.rdd.getNumPartitions()))
     kind = "block int, salt int, sums binary"
     parts = docs.select("text").mapInArrow(_back(space, width, seed, salts), kind)
@@ -288,20 +309,21 @@ def _held(number: np.ndarray, term: np.ndarray, table: np.ndarray, windows: int)
 
 
 def _stretches(space: Space, limits: Thresholds, number, term, windows: int, of: np.ndarray, base: np.ndarray):
-    """(passage, item) where the words of the stretch that begins with the passage allow a finding."""
-    sizes = np.array([len(w) for w in space.item_terms])
+    """(passage, piece) where the words of the stretch that begins with the passage allow a finding."""
+    sizes = space.pieces[:, 2] - space.pieces[:, 1]
     held = _held(number, term, space.counts, windows).astype(np.uint16)
     wide = sizes > SHORT
     held[:-2, wide] += held[2:, wide]
-    which, item = np.nonzero(held >= needed(limits, sizes))
+    which, piece = np.nonzero(held >= needed(limits, sizes))
+    item, whole = space.pieces[piece, 0], np.array([len(w) for w in space.item_terms])
     # The answer must be around, unless so much is there that it is not asked for.
     answers = term if not len(term) else space.in_answer.any(axis=1)[term]
     keys = _held(number[answers], term[answers], space.in_answer, windows) if len(term) else held
     least, last = base[of[which]], windows - 1
     around = sum(keys[np.clip(which + step, least, last), item].astype(np.int64) for step in (-2, 0, 2, 4))
     enough = np.array([limits.answer * len(a) for a in space.answers])
-    possible = (held[which, item] >= limits.copied * sizes[item]) | (around >= enough[item]) | (sizes[item] > PASSAGE)
-    return which[possible], item[possible]
+    possible = (held[which, piece] >= limits.copied * sizes[piece]) | (around >= enough[item]) | (whole[item] > PASSAGE)
+    return which[possible], piece[possible]
 
 
 def needed(limits: Thresholds, size):
@@ -318,6 +340,8 @@ def _dense_share(words: list[int], stretch: list[int]) -> float:
 
 def _found(space: Space, limits: Thresholds, texts: pa.Array) -> Iterator[tuple[int, int, float, float, float]]:
     """(row, item, cosine, share of the subsequence, share of the answer) of every confirmed passage."""
+    parts = np.array([len(passages_of_item(len(words))) for words in space.item_terms])
+    heads = np.cumsum(parts) - parts
     for row, _, raw, at in win.chunks(texts):
         hashes, first = words_of(raw, at)
         terms = space.lookup(hashes)
@@ -335,6 +359,7 @@ def _found(space: Space, limits: Thresholds, texts: pa.Array) -> Iterator[tuple[
             length = np.sqrt(np.add.reduceat(value * value, runs))
             near = [product[a:a + SLICE] @ space.items.T for a in range(0, len(product), SLICE)]
             near = np.concatenate(near) / np.maximum(length, 1e-12)[:, None]
+            near = np.maximum.reduceat(near, heads, axis=1)
         which, item = np.nonzero(near >= limits.cosine)
         for w, i, text in zip(which.tolist(), item.tolist(), text_of[numbers[which]].tolist()):
             words = space.item_terms[i]
@@ -349,18 +374,29 @@ def _found(space: Space, limits: Thresholds, texts: pa.Array) -> Iterator[tuple[
                 yield row + text, i, float(near[w, i]), share, answer
         rows_of = np.full(windows, -1)
         rows_of[numbers] = np.arange(len(numbers))
-        which, item = _stretches(space, limits, all_number, all_term, windows, text_of, base)
-        for w, i, text in zip(which.tolist(), item.tolist(), text_of[which].tolist()):
-            words = space.item_terms[i]
+        which, piece = _stretches(space, limits, all_number, all_term, windows, text_of, base)
+        whole: set[tuple[int, int]] = set()
+        for w, x, text in zip(which.tolist(), piece.tolist(), text_of[which].tolist()):
+            i, before, after = space.pieces[x].tolist()
+            words = space.item_terms[i].tolist()
+            if (text, i) in whole:
+                continue
             begin, end = first[text] + (w - base[text]) * STRIDE, first[text + 1]
-            width = PASSAGE if len(words) <= SHORT else max(2 * PASSAGE, 2 * len(words))
-            share = _dense_share(words.tolist(), terms[begin:min(end, begin + width)].tolist())
-            if share * len(words) < needed(limits, len(words)):
+            width = PASSAGE if after - before <= SHORT else 2 * PASSAGE
+            share = _dense_share(words[before:after], terms[begin:min(end, begin + width)].tolist())
+            if share * (after - before) < needed(limits, after - before):
                 continue
+            low, high = begin, begin + width
+            if len(words) > PASSAGE:  # a piece is there; now the whole item around it
+                low, high = max(first[text], begin - 2 * before), high + 2 * (len(words) - after)
+                share = common_subsequence(words, terms[low:min(end, high)].tolist()) / len(words)
+                if share < limits.paraphrased:
+                    continue
             around = max(AROUND, len(words))
-            region = terms[max(first[text], begin - around):min(end, begin + width + around)]
-            answer = float(np.isin(space.answers[i], region).mean())
+            answer = float(np.isin(space.answers[i], terms[max(first[text], low - around):min(end, high + around)]).mean())
             if share >= limits.copied or answer >= limits.answer:
+                if share == 1.0 and len(words) > PASSAGE:
+                    whole.add((text, i))
                 yield row + text, i, float(near[rows_of[w], i]) if rows_of[w] >= 0 else 0.0, share, answer
 
 

@@ -98,3 +98,22 @@ def test_frequent_items(spark):
             truth.add((d, 0 if d % 2 else 11))
         docs.append((d, " ".join(text)))
     assert found_in(spark, docs, [(i, " ".join(t)) for i, t in items]) == truth
+
+
+def test_long_items(spark):
+    """Items of many passages, copied and with every fourth word changed."""
+    rng = random.Random(5)
+    words = words_at_random(rng, 6000)
+    say = lambda n: [rng.choice(words) for _ in range(n)]
+    items = [(i, say(n)) for i, n in enumerate([65, 130, 520, 1000, 2000, 4000])]
+    docs, truth = [], set()
+    for d in range(36):
+        text = say(300)
+        if d % 3:
+            i, item = items[d % 6]
+            if d % 3 == 2:
+                item = [w if x % 4 else rng.choice(words) for x, w in enumerate(item)]
+            text[100:100] = item
+            truth.add((d, i))
+        docs.append((d, " ".join(text)))
+    assert found_in(spark, docs, [(i, " ".join(t)) for i, t in items]) == truth
