@@ -53,6 +53,7 @@ ITEMS, LEAST_WORDS, EXTRA, TERM_BLOCK = 256, 5, 16, 64
 ANSWER_WORDS = 5
 #: One and a half times an item of so many words lies in one passage, wherever it begins.
 SHORT = 22
+ROUNDING = 1e-9
 #: Entries that are multiplied at once.
 SLICE = 20_000
 
@@ -321,21 +322,33 @@ def _stretches(space: Space, limits: Thresholds, number, term, windows: int, of:
     keys = _held(number[answers], term[answers], space.in_answer, windows) if len(term) else held
     least, last = base[of[which]], windows - 1
     around = sum(keys[np.clip(which + step, least, last), item].astype(np.int64) for step in (-2, 0, 2, 4))
-    enough = np.array([limits.answer * len(a) for a in space.answers])
-    possible = (held[which, piece] >= limits.copied * sizes[piece]) | (around >= enough[item]) | (whole[item] > PASSAGE)
+    enough = np.array([limits.answer * len(a) - ROUNDING for a in space.answers])
+    possible = (held[which, piece] >= limits.copied * sizes[piece] - ROUNDING) | (around >= enough[item]) | (whole[item] > PASSAGE)
     return which[possible], piece[possible]
 
 
 def needed(limits: Thresholds, size):
     """How many words in order make a paraphrase of an item of so many words."""
-    return np.maximum(limits.paraphrased * size, LEAST_WORDS)
+    return np.maximum(limits.paraphrased * size, LEAST_WORDS) - ROUNDING
 
 
-def _dense_share(words: list[int], stretch: list[int]) -> float:
-    """The item's share of the longest common subsequence in a stretch of twice its length."""
+def _dense_share(words: np.ndarray, stretch: np.ndarray, held: np.ndarray, least: float) -> float:
+    """The item's share of the longest common subsequence in a stretch of twice its length; 0 where it is below ``least`` words.
+
+    ``held``: how often the item holds each word of the vocabulary; other words of the stretch match nothing.
+    """
     size, step = 2 * len(words), -(-len(words) // 2)
-    starts = range(0, max(1, len(stretch) - size + step), step)
-    return max(common_subsequence(words, stretch[a:a + size]) for a in starts) / len(words)
+    hits = np.flatnonzero((stretch >= 0) & (held[stretch] > 0))
+    if len(hits) < least:
+        return 0.0
+    starts = np.arange(0, max(1, len(stretch) - size + step), step)
+    low, high = np.searchsorted(hits, starts), np.searchsorted(hits, starts + size)
+    spans = {(a, b) for a, b in zip(low.tolist(), high.tolist()) if b - a >= least}
+    if not spans:
+        return 0.0
+    matching, own = stretch[hits].tolist(), words.tolist()
+    best = max(common_subsequence(own, matching[a:b]) for a, b in spans)
+    return best / len(own) if best >= least else 0.0
 
 
 def _found(space: Space, limits: Thresholds, texts: pa.Array) -> Iterator[tuple[int, int, float, float, float]]:
@@ -378,28 +391,39 @@ def _found(space: Space, limits: Thresholds, texts: pa.Array) -> Iterator[tuple[
         whole: set[tuple[int, int]] = set()
         for w, x, text in zip(which.tolist(), piece.tolist(), text_of[which].tolist()):
             i, before, after = space.pieces[x].tolist()
-            words = space.item_terms[i].tolist()
+            words = space.item_terms[i]
             if (text, i) in whole:
                 continue
             begin, end = first[text] + (w - base[text]) * STRIDE, first[text + 1]
             width = PASSAGE if after - before <= SHORT else 2 * PASSAGE
-            share = _dense_share(words[before:after], terms[begin:min(end, begin + width)].tolist())
-            if share * (after - before) < needed(limits, after - before):
-                continue
+            around = max(AROUND, len(words))
             low, high = begin, begin + width
+            least = needed(limits, after - before)
+            if len(words) <= PASSAGE:
+                answer = _answer_share(space, i, terms[max(first[text], low - around):min(end, high + around)])
+                if answer < limits.answer:
+                    least = max(least, limits.copied * len(words) - ROUNDING)
+            share = _dense_share(words[before:after], terms[low:min(end, high)], space.counts[:, x], least)
+            if not share:
+                continue
             if len(words) > PASSAGE:  # a piece is there; now the whole item around it
-                low, high = max(first[text], begin - 2 * before), high + 2 * (len(words) - after)
-                share = common_subsequence(words, terms[low:min(end, high)].tolist()) / len(words)
+                low, high = max(first[text], low - 2 * before), high + 2 * (len(words) - after)
+                share = common_subsequence(words.tolist(), terms[low:min(end, high)].tolist()) / len(words)
                 if share < limits.paraphrased:
                     continue
-            around = max(AROUND, len(words))
-            answer = float(np.isin(space.answers[i], terms[max(first[text], low - around):min(end, high + around)]).mean())
+                answer = _answer_share(space, i, terms[max(first[text], low - around):min(end, high + around)])
             if share >= limits.copied or answer >= limits.answer:
                 if share == 1.0 and len(words) > PASSAGE:
                     whole.add((text, i))
                 yield row + text, i, float(near[rows_of[w], i]) if rows_of[w] >= 0 else 0.0, share, answer
 
 
+def _answer_share(space: Space, i: int, region: np.ndarray) -> float:
+    """The share of the item's answer that is among the words."""
+    there = set(region.tolist())
+    return sum(x in there for x in space.answers[i].tolist()) / len(space.answers[i])
+
+
 def spaces(docs: DataFrame, benchmark: DataFrame, limits: Thresholds, item: str, text: str, answer: str | None):
     for space in blocks_of(benchmark, item, text, answer):
         weigh(space, docs, limits.common)

@@ -117,3 +117,33 @@ def test_long_items(spark):
             truth.add((d, i))
         docs.append((d, " ".join(text)))
     assert found_in(spark, docs, [(i, " ".join(t)) for i, t in items]) == truth
+
+
+def short_items(seed=7):
+    """Short items whole, and twenty-word items of which ten words and the answer stay, among words of the benchmark."""
+    rng = random.Random(seed)
+    words = words_at_random(rng, 1500)
+    say = lambda n: [rng.choice(words) for _ in range(n)]
+    items = [(i, say([5, 6, 7, 8, 10, 20][i % 6])) for i in range(240)]
+    bench, docs, truth = [], [], set()
+    used = [w for _, t in items for w in t]
+    for i, item in items:
+        stay = sorted(rng.sample(range(len(item)), 10 if len(item) == 20 else len(item)))
+        bench.append((i, " ".join(item), " ".join(item[x] for x in stay[:3])))
+        text = [rng.choice(used) for _ in range(150)]
+        at = rng.randint(20, 130)
+        text[at:at] = [w if x in stay else rng.choice(used) for x, w in enumerate(item)]
+        docs.append((i, " ".join(text)))
+        truth.add((i, i))
+    return bench, docs, truth
+
+
+def test_short_items(spark):
+    bench, docs, truth = short_items()
+    found = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(
+        spark.createDataFrame(docs, "doc_id long, text string"),
+        spark.createDataFrame(bench, "item_id long, text string, answer string"), answer="answer").collect()}
+    missed = [len(bench[i][1].split()) for i, _ in truth - found]
+    print("missed by length", {n: missed.count(n) for n in (5, 6, 7, 8, 10, 20)}, "others", len(found - truth))
+    assert truth <= found
+    assert len(found) <= 1.05 * len(truth)
