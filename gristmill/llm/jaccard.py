@@ -259,8 +259,10 @@ def _roots(sets: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("members"), F.bit_xor(F.xxhash64("alias")).alias("who")).where("members > 1")
     often = lookup_join(rows, often, ["token"], "inner").select("token", "members", "who", "alias", "rest")
     shared = saved(rare.union(often))
-    # Many shingles have the same members: one of them is enough.
-    one = shared.groupBy("members", "who").agg(F.min("token").alias("token"))
+    # Many shingles have the same members: the first in the global order is enough.  Its numbers
+    # have no sign, so the top bit is turned for the comparison.
+    place = F.col("token").bitwiseXOR(F.lit(-(2**63)))
+    one = shared.groupBy("members", "who").agg(F.min_by("token", place).alias("token"))
     return saved(lookup_join(shared, one.select("token").distinct(), ["token"], "left_semi").select("token", "alias", "rest"))
 
 

@@ -2,6 +2,7 @@ import random
 import re
 from itertools import combinations
 
+import numpy as np
 import pytest
 
 from gristmill.llm import jaccard
@@ -83,3 +84,11 @@ def test_keep_one(odd_docs, odd_rows):
     want = {c for i, _, c in brute(odd_rows) if i is not None}
     assert sorted(i for i in ids if i is not None) == sorted(want)
     assert ids.count(None) == sum(i is None for i, _ in odd_rows)
+
+
+def test_first_of_frequent_shingles_stays(spark):
+    """Levels on both sides of 8: the root is the first shingle in unsigned order, with all that comes after it."""
+    keys = np.array([(3 << 60) + 5, (9 << 60) + 1, (15 << 60) + 7], dtype=np.uint64)
+    sets = spark.createDataFrame([(i, 10, 100 + i, 0, bytearray(keys.tobytes()), bytearray(128)) for i in (1, 2)], jaccard.SETS)
+    roots = sorted(tuple(r) for r in jaccard._roots(sets).select("token", "alias", "rest").collect())
+    assert roots == [((3 << 60) + 5, 101, 10), ((3 << 60) + 5, 102, 10)]
