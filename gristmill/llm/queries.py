@@ -112,3 +112,13 @@ def op2_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     from gristmill.llm.jaccard import similar
 
     return similar(table(spark, folder, "documents"))
+
+
+@query()
+def op12_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    from gristmill.llm.alignment import align
+
+    return align(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                 public_tokenizers.path("piece_bpe_32k.model"))
