@@ -122,3 +122,53 @@ def op12_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
 
     return align(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
                  public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("""
+WITH RECURSIVE steps AS (
+    SELECT range AS byte, range::BIGINT AS v, 0 AS step FROM range(256)
+    UNION ALL
+    SELECT byte, xor(v >> 1, 3988292384 * (v & 1)), step + 1 FROM steps WHERE step < 8),
+crc AS (SELECT list(v ORDER BY byte) AS entry FROM steps WHERE step = 8),
+turns AS (
+    SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+           row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS place
+    FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (
+    SELECT conv_id, xor(list_reduce(
+               list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+               lambda acc, c: xor(acc >> 8, entry[xor(acc & 255, c) + 1])), 4294967295) % 9 AS h
+    FROM (SELECT DISTINCT conv_id FROM turns), crc),
+rebuilt AS (
+    SELECT c.conv_id, 0 AS part, t.place, t.role, t.text
+    FROM convs c JOIN turns t ON t.conv_id = c.conv_id - c.conv_id % 5 AND t.place <= c.h
+    UNION ALL
+    SELECT c.conv_id, 1, t.place, t.role, t.text
+    FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND t.place > c.h),
+lists AS (
+    SELECT c.conv_id, coalesce(list([r.role, r.text] ORDER BY part, place) FILTER (place IS NOT NULL), []) AS said
+    FROM convs c LEFT JOIN rebuilt r ON r.conv_id = c.conv_id GROUP BY c.conv_id),
+prefixes AS (
+    SELECT conv_id, len(said) AS total, depth, said[1:depth] AS key, coalesce(strlen(said[depth][2]), 0) AS size
+    FROM (SELECT *, unnest(range(0, len(said) + 1)) AS depth FROM lists)),
+nodes AS (
+    SELECT depth, key, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(size) AS size,
+           coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (total = depth), '') AS ends
+    FROM prefixes GROUP BY depth, key),
+children AS (
+    SELECT depth - 1 AS depth, key[1:depth - 1] AS key, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1, 2),
+counted AS (
+    SELECT n.*, coalesce(c.n_children, 0) AS n_children
+    FROM nodes n LEFT JOIN children c ON c.depth = n.depth AND c.key = n.key),
+subtrees AS (
+    SELECT above AS depth, key[1:above] AS key, sum((n_convs - 1) * size) AS saved, count_if(n_children = 0) AS leaves
+    FROM (SELECT *, unnest(range(0, depth + 1)) AS above FROM counted) GROUP BY 1, 2)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, s.leaves::BIGINT AS n_leaves,
+       s.saved::BIGINT AS saved_tokens, sha256(n.ends) AS ends_sha256
+FROM counted n JOIN subtrees s ON s.depth = n.depth AND s.key = n.key
+LEFT JOIN nodes p ON p.depth = n.depth - 1 AND p.key = n.key[1:n.depth - 1]
+""")
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    from gristmill.llm.trie import prefix_trie
+
+    return prefix_trie(table(spark, folder, "conversations"))
