@@ -172,3 +172,10 @@ def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
     from gristmill.llm.trie import prefix_trie
 
     return prefix_trie(table(spark, folder, "conversations"))
+
+
+@query()
+def op11_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    from gristmill.llm.language import report
+
+    return report(table(spark, folder, "documents"))
