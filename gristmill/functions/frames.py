@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -81,3 +83,25 @@ def lookup_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str
     left = left.withColumn(digest, on_key if how == "inner" else spread)
     right = right.withColumn(digest, on_key)
     return left.join(right, [digest, *keys], how).drop(digest)
+
+
+def _shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; a local session without it gets a temporary one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="checkpoints-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
+
+def materialised(df: DataFrame) -> DataFrame:
+    """The table written to the shared folder and read back: computed once, with a short lineage.
+
+    For steps that need the result of the one before; it survives lost executors.
+    """
+    spark = df.sparkSession
+    path = f"{_shared_folder(spark)}/gristmill/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -1,33 +1,46 @@
 """Hybrid name matching: TF-IDF cosine over character n-grams plus edit similarity.
 
 A score is a weighted sum of both parts, and edit similarity is at most one.  A pair that
-reaches a threshold therefore has a known minimum cosine, and only pairs that can have it
-are compared:
+reaches a score therefore has a known minimum cosine, and only pairs that can have it are
+compared:
 
 * grams of a name are put in one global order, rarest first;
 * if two unit vectors share nothing before some gram, their cosine is at most the length
   of either vector's remainder from there on;
-* so each name is indexed only under the grams whose remainder still reaches the minimum,
+* so each name is met only under the grams whose remainder still reaches the minimum,
   and partners meet under a rare gram or not at all.
 
-The cut is exact: every pair at or above the threshold is found.
+The best name of a query needs no threshold: the minimum falls from level to level, and a
+query leaves as soon as no name below the level could beat the best that it has.  All cuts
+are exact.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import sys
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gristmill.functions.frames import lookup_join, percent, quoted
-from gristmill.functions.similarity import similarity_column
+from gristmill.functions.frames import lookup_join, materialised, percent, quoted
+from gristmill.functions.similarity import Masks, best_similarity, characters, similarity_bound, squeezed_length
 from gristmill.functions.text import clean_text, is_blank
 
+# The functions travel with the plan, so executors need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 GRAM_SIZES = (2, 3, 4)
 SHORT_QUERY = 5
 SLACK = 1e-9
+#: How far behind the places that a minimum needs grams are followed, as a share of it.
+DEPTH = 0.85
+#: The cosines down to which the best names are looked for, one after the other.
+LEVELS = (0.7, 0.3, 0.0)
 
 
 def word_grams(clean: Column) -> Column:
@@ -79,7 +92,8 @@ class NameIndex:
     """A fitted set of names.
 
     ``names``: clean name, how it was first written, its position.  ``weights``: gram,
-    document count, inverse document frequency.  ``vectors``: unit vector per clean name.
+    document count, inverse document frequency.  ``vectors``: unit vector per clean name,
+    under a number of its own.
     """
 
     names: DataFrame
@@ -97,9 +111,12 @@ class NameIndex:
 
 
 def fit_names(df: DataFrame, name: str, position: str | Column) -> NameIndex:
-    """Index the distinct clean names; copies only raise the document counts."""
+    """Index the distinct clean names; copies only raise the document counts.
+
+    The three tables are written to the shared folder once, whatever asks them later.
+    """
     position = quoted(position) if isinstance(position, str) else position
-    names = (
+    names = materialised(
         df.where(~is_blank(quoted(name)))
         .select(quoted(name).cast("string").alias("name"), position.alias("position"))
         .withColumn("clean", clean_text("name"))
@@ -113,11 +130,16 @@ def fit_names(df: DataFrame, name: str, position: str | Column) -> NameIndex:
     counts = _gram_counts(names, "copies")
     documents = names.agg(F.sum("copies")).scalar().cast("double")
     frequency = F.col("df").cast("double")
-    weights = (
+    weights = materialised(
         counts.groupBy("gram").agg(F.sum("copies").alias("df"))
         .withColumn("idf", F.ln((documents + 1.0) / (frequency + 1.0)) + 1.0)
     )
-    return NameIndex(names.select("clean", "name", "position"), weights, _vectors(counts, weights))
+    return NameIndex(names.select("clean", "name", "position"), weights, _numbered(_vectors(counts, weights)))
+
+
+def _numbered(vectors: DataFrame) -> DataFrame:
+    """The vectors written, under numbers that stand for their names in tables of pairs."""
+    return materialised(vectors.withColumn("id", F.monotonically_increasing_id()))
 
 
 def _cosine(left: Column, right: Column) -> Column:
@@ -128,56 +150,66 @@ def _cosine(left: Column, right: Column) -> Column:
     return F.aggregate(shared, F.lit(0.0), lambda acc, p: acc + p)
 
 
-def _pairs(index: NameIndex, queries: DataFrame, lowest: float) -> DataFrame:
-    """Pairs with ``cosine >= need``.  ``queries`` has ``clean`` and ``need`` (distinct).
+def _postings(vectors: DataFrame, reach: Column, side: str, *carried: str) -> DataFrame:
+    """The leading grams of each vector, as far as the remainder reaches ``reach``."""
+    after = F.concat(F.slice("remainder", 2, F.greatest(F.size("remainder") - 1, F.lit(0))),
+                     F.array(F.lit(0.0)))
+    zipped = F.arrays_zip(
+        F.transform("unit", lambda t: t["gram"]).alias("gram"),
+        F.transform("unit", lambda t: t["weight"]).alias(f"{side}_weight"),
+        F.col("remainder").alias(f"{side}_remainder"), after.alias(f"{side}_after"),
+    )
+    return vectors.select(F.col("id").alias(side), *carried, F.inline(zipped)).where(
+        F.col(f"{side}_remainder") >= reach - SLACK)
+
+
+def candidates(names: DataFrame, asked: DataFrame, lowest: float) -> DataFrame:
+    """``query, candidate, need``: numbers of the pairs whose cosine may reach the query's ``need``.
 
-    Partners meet under the leading grams of both.  From any gram on, the rest of the cosine is
-    at most the product of both remainders; they shrink along the common order, so the places
-    where the product still reaches the minimum are the first that a pair shares, and a pair
-    without such a place leaves before the shuffle.  What these places add up to, and the
-    product behind the last of them, bound the cosine; only pairs whose bound reaches the
-    minimum fetch their whole vectors for the exact value.
+    Partners meet under the leading grams of both, and what these add up to is known.  Behind the
+    last place that they share, one of the two has been cut off, so its remainder is below ``cut``:
+    the rest is at most ``cut`` times the other's remainder there, and at most the product of both
+    remainders.  Only pairs whose sum and rest reach ``need`` are left.  Grams are followed to a
+    share of ``need`` (DEPTH), which costs some rows and saves most whole vectors.
     """
-    vectors = _vectors(_gram_counts(queries), index.weights).join(queries, "clean")
-
-    def postings(df: DataFrame, reach: Column, *carried: str) -> DataFrame:
-        after = F.concat(F.slice("remainder", 2, F.greatest(F.size("remainder") - 1, F.lit(0))),
-                         F.array(F.lit(0.0)))
-        zipped = F.arrays_zip(
-            F.transform("unit", lambda t: t["gram"]).alias("gram"),
-            F.transform("unit", lambda t: t["weight"]).alias("weight"),
-            F.col("remainder"), after.alias("after"),
-        )
-        return df.select("clean", *carried, F.inline(zipped)).where(F.col("remainder") >= reach - SLACK)
-
-    theirs = postings(vectors, F.col("need"), "need").select(
-        F.col("clean").alias("query"), "gram", "need", F.col("remainder").alias("query_remainder"),
-        F.col("weight").alias("query_weight"), F.col("after").alias("query_after"))
-    ours = postings(index.vectors, F.lit(lowest)).select(
-        F.col("clean").alias("candidate"), "gram", "remainder",
-        F.col("weight").alias("candidate_weight"), F.col("after").alias("candidate_after"))
-    meet = (
-        theirs.join(ours, "gram")
-        .where(F.col("query_remainder") * F.col("remainder") >= F.col("need") - SLACK)
+    asked = asked.withColumn("cut", DEPTH * F.col("need"))
+    theirs = _postings(asked, F.col("cut"), "query", "need", "cut")
+    ours = _postings(names, F.lit(DEPTH * lowest), "candidate")
+    rest = F.least(
+        F.col("cut") * F.greatest("query_after", "candidate_after"),
+        F.col("query_after") * F.col("candidate_after"))
+    return (
+        theirs.join(ours, "gram").where(F.col("candidate_remainder") >= F.col("cut") - SLACK)
         .groupBy("query", "candidate", "need")
-        .agg(
-            F.sum(F.col("query_weight") * F.col("candidate_weight")).alias("seen"),
-            F.min(F.col("query_after") * F.col("candidate_after")).alias("unseen"),
-        )
+        .agg(F.sum(F.col("query_weight") * F.col("candidate_weight")).alias("seen"), F.min(rest).alias("unseen"))
+        .where(F.col("seen") + F.col("unseen") >= F.col("need") - SLACK)
+        .select("query", "candidate", "need")
     )
-    hopeful = meet.where(F.col("seen") + F.col("unseen") >= F.col("need") - SLACK).select(
-        "query", "candidate", "need")
-    asked = vectors.select(F.col("clean").alias("query"), F.col("unit").alias("query_unit"))
-    known = index.vectors.select(
-        F.col("clean").alias("candidate"), F.col("unit").alias("candidate_unit"))
-    scored = hopeful.join(known, "candidate").join(asked, "query")
+
+
+def _pairs(names: DataFrame, asked: DataFrame, lowest: float) -> DataFrame:
+    """``query, candidate, cosine`` of the pairs with ``cosine >= need``, both as clean names.
+
+    ``names`` and ``asked`` are tables of vectors; ``asked`` has a ``need`` for each query.
+    """
+    hopeful = candidates(names, asked, lowest)
+    known = names.select(F.col("id").alias("candidate"), F.col("clean").alias("candidate_clean"),
+                         F.col("unit").alias("candidate_unit"))
+    wanted = asked.select(F.col("id").alias("query"), F.col("clean").alias("query_clean"),
+                          F.col("unit").alias("query_unit"))
     return (
-        scored.withColumn("cosine", _cosine(F.col("query_unit"), F.col("candidate_unit")))
+        hopeful.join(known, "candidate").join(wanted, "query")
+        .withColumn("cosine", _cosine(F.col("query_unit"), F.col("candidate_unit")))
         .where(F.col("cosine") >= F.col("need") - SLACK)
-        .select("query", "candidate", "cosine")
+        .select(F.col("query_clean").alias("query"), F.col("candidate_clean").alias("candidate"), "cosine")
     )
 
 
+def _asked(df: DataFrame, query: str, index: NameIndex) -> DataFrame:
+    """The vectors of the distinct clean queries."""
+    return _numbered(_vectors(_gram_counts(_distinct_queries(df, query)), index.weights))
+
+
 def _distinct_queries(df: DataFrame, query: str) -> DataFrame:
     return (
         df.select(clean_text(quoted(query)).alias("clean"))
@@ -193,8 +225,8 @@ def top_cosine(
     """Per distinct query the ``top`` names by TF-IDF cosine, as far as they reach ``at_least``."""
     if not 0 < at_least <= 1:
         raise ValueError("at_least must lie above 0: names without a shared gram score 0")
-    queries = _distinct_queries(df, query).withColumn("need", F.lit(float(at_least)))
-    pairs = _pairs(index, queries, at_least)
+    asked = _asked(df, query, index).withColumn("need", F.lit(float(at_least)))
+    pairs = _pairs(index.vectors, asked, at_least)
     named = lookup_join(pairs.withColumnRenamed("candidate", "clean"), index.names, ["clean"], "inner")
     # Scores that differ by rounding only count as equal; the first name then wins.
     best = Window.partitionBy("query").orderBy(F.round("cosine", 9).desc(), "position")
@@ -210,51 +242,105 @@ def _cosine_share(clean: Column) -> Column:
     return F.when(F.length(clean) < SHORT_QUERY, 0.4).otherwise(0.6)
 
 
-def fuzzy_match(
-    df: DataFrame,
-    query: str,
-    index: NameIndex,
-    threshold: float = 0.7,
-    report_from: float | None = None,
-) -> DataFrame:
-    """The best name for every row, or none when it stays below ``threshold``.
+def _texts(clean: DataFrame, side: str, *carried: str) -> DataFrame:
+    """What the bound of the similarity needs of each name."""
+    text = F.col("clean")
+    return clean.select(text.alias(side), *carried, characters(text).alias(f"{side}_characters"),
+                        squeezed_length(text).alias(f"{side}_length"))
 
-    Adds ``cleaned_input``, ``matched_name``, ``confidence_score`` and ``is_match``.  The
-    best score of a row without a match is known exactly when it reaches ``report_from``
-    (default: the threshold) and null below; lowering it means comparing more pairs.
-    Thresholds up to 0.6 cannot be pruned, as short queries reach them on edit similarity
-    alone.
-    """
-    floor = threshold if report_from is None else min(report_from, threshold)
-    if floor <= 0.6:
-        raise ValueError("threshold and report_from must be above 0.6")
-    needs = {share: (floor - (1 - share)) / share for share in (0.4, 0.6)}
-    queries = _distinct_queries(df, query).withColumn(
-        "need", F.when(F.length("clean") < SHORT_QUERY, needs[0.4]).otherwise(needs[0.6])
-    )
-    pairs = _pairs(index, queries, min(needs.values()))
+
+def bounded(pairs: DataFrame, names: DataFrame, asked: DataFrame) -> DataFrame:
+    """The pairs with the ``best`` so far of the query, of ``asked``, and ``most``, the score that
+    they reach if all common characters lie well."""
     share = _cosine_share(F.col("query"))
-    score = share * F.col("cosine") + (1 - share) * F.col("similarity")
-    compared = pairs.withColumn(
-        "similarity", similarity_column(F.col("query"), F.col("candidate"))
-    ).withColumn("score", F.round(score, 12))
-    eligible = compared.where(F.col("score") >= floor - SLACK)
+    known = lookup_join(pairs, _texts(names, "candidate"), ["candidate"], "inner")
+    both = lookup_join(known, _texts(asked, "query", "best"), ["query"], "inner")
+    similar = similarity_bound(*[F.col(f"{side}_{part}") for part in ("characters", "length")
+                                 for side in ("query", "candidate")])
+    return both.select("query", "candidate", "cosine", share.alias("share"), "best",
+                       (share * F.col("cosine") + (1 - share) * similar).alias("most"))
+
+
+def _score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Scores of the pairs that can be their query's best, nearest names first."""
+    query, best, masks = None, 0.0, Masks()
+    for batch in batches:
+        scored = []
+        for asked, candidate, cosine, share, known, most in batch.itertuples(index=False, name=None):
+            if asked != query:
+                query, best = asked, known
+                masks.clear()
+            if most < best - SLACK:
+                continue
+            least = (best - share * cosine) / (1 - share) - 1e-6
+            score = round(share * cosine + (1 - share) * best_similarity(asked, candidate, least, masks), 12)
+            if score >= best - SLACK:
+                scored.append((asked, candidate, score))
+                best = max(best, score)
+        yield pd.DataFrame(scored, columns=["query", "candidate", "score"])
+
+
+def scores(pairs: DataFrame, names: DataFrame, asked: DataFrame) -> DataFrame:
+    """``query, candidate, score`` of the pairs that can be their query's best name.
+
+    ``pairs`` has ``query, candidate, cosine``, and ``asked`` the ``best`` score of each query so far.
+    The names of a query come nearest first, so that the similarity of most others need not be found;
+    a query with very many names is worked on in several tasks.
+    """
+    dealt = bounded(pairs, names, asked).where(F.col("most") >= F.col("best") - SLACK).repartition(
+        "query", F.pmod(F.xxhash64("candidate"), F.lit(4)))
+    return dealt.sortWithinPartitions("query", F.desc("cosine"), "candidate").mapInPandas(
+        _score, "query string, candidate string, score double")
+
+
+def best_names(index: NameIndex, asked: DataFrame) -> DataFrame:
+    """``query, name, score``: the best name of every query that shares a gram with any name.
+
+    ``asked`` is a table of vectors.  On each level the open queries meet the names with a cosine
+    from there on; a query is done once even full similarity would not lift a name below the level
+    above its best.  The first name wins a tie.
+    """
+    found = []
+    open_ = asked.withColumn("best", F.lit(0.0))
+    share = _cosine_share(F.col("clean"))
+    for level in LEVELS:
+        need = F.greatest(F.lit(level), (F.col("best") - (1 - share)) / share)
+        pairs = _pairs(index.vectors, open_.withColumn("need", need), level)
+        found.append(materialised(scores(pairs, index.names, open_)))
+        if level <= 0:
+            break
+        now = found[-1].groupBy(F.col("query").alias("clean")).agg(F.max("score").alias("now"))
+        open_ = materialised(
+            lookup_join(open_, now, ["clean"], "left")
+            .withColumn("best", F.greatest("best", "now")).drop("now")
+            .where(F.col("best") < share * level + (1 - share) + SLACK))
+        if open_.isEmpty():
+            break
     named = lookup_join(
-        eligible.withColumnRenamed("candidate", "clean"), index.names, ["clean"], "inner")
-    best = Window.partitionBy("query").orderBy(F.round("score", 9).desc(), "position")
-    chosen = (
-        named.withColumn("__rank", F.row_number().over(best)).where(F.col("__rank") == 1)
-        .select(F.col("query").alias("cleaned_input"), F.col("name").alias("__name"), "score")
-    )
+        reduce(DataFrame.unionByName, found).withColumnRenamed("candidate", "clean"), index.names, ["clean"], "inner")
+    first = Window.partitionBy("query").orderBy(F.round("score", 9).desc(), "position")
+    return named.withColumn("__rank", F.row_number().over(first)).where("__rank = 1").select("query", "name", "score")
+
+
+def fuzzy_match(df: DataFrame, query: str, index: NameIndex, threshold: float = 0.7) -> DataFrame:
+    """The best name for every row, or none when it stays below ``threshold``.
+
+    Adds ``cleaned_input``, ``matched_name``, ``confidence_score`` and ``is_match``.  The score is
+    that of the best name, also below the threshold.  Names that share no gram with a query are no
+    candidates (edit similarity alone gives them at most 0.4, or 0.6 for short queries); the score
+    is null where there is no other name, and 0 for queries of fewer than two characters.
+    """
+    chosen = best_names(index, _asked(df, query, index)).select(
+        F.col("query").alias("cleaned_input"), F.col("name").alias("__name"), F.col("score").alias("__score"))
     rows = df.withColumn("cleaned_input", clean_text(quoted(query)))
     joined = lookup_join(rows, chosen, ["cleaned_input"], "left")
-    is_match = F.coalesce(F.col("score") >= threshold - SLACK, F.lit(False))
+    is_match = F.coalesce(F.col("__score") >= threshold - SLACK, F.lit(False))
     too_short = F.length("cleaned_input") < 2
     return joined.select(
-        *[quoted(c) for c in df.columns],
+        *[quoted(c) for c in df.columns if c != "cleaned_input"],
         "cleaned_input",
         F.when(is_match, F.col("__name")).alias("matched_name"),
-        F.when(too_short, 0.0).otherwise(F.col("score")).alias("confidence_score"),
+        F.when(too_short, 0.0).otherwise(F.col("__score")).alias("confidence_score"),
         is_match.alias("is_match"),
     )
 

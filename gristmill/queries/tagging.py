@@ -134,8 +134,8 @@ def _gram_rows(source: str, value: str) -> str:
         where w <> '  ') group by c, g)"""
 
 
-@query(f"""
-with names as materialized (select c, arg_min(title, page_id) as name, min(page_id) as pos, count(*) as copies
+# Unit vectors of the names and of the queries, and all cosines above zero.
+_COSINES = f"""names as materialized (select c, arg_min(title, page_id) as name, min(page_id) as pos, count(*) as copies
     from (select *, {sql.clean('title')} as c from {_TITLES}) where length(c) >= 2 group by c),
 ng as materialized (select * from {_gram_rows(_TITLES, 'title')} where length(c) >= 2),
 idf as materialized (select g, ln((1.0e0 + (select sum(copies) from names)) / (1.0e0 + sum(copies))) + 1.0e0 as w
@@ -143,28 +143,102 @@ idf as materialized (select g, ln((1.0e0 + (select sum(copies) from names)) / (1
 nv as materialized (select c, g, tf * w / sqrt(sum((tf * w) * (tf * w)) over (partition by c)) as x from ng join idf using (g)),
 qg as (select * from {_gram_rows(_ASKED, 'asked')} where length(c) >= 2),
 qv as materialized (select c, g, tf * w / sqrt(sum((tf * w) * (tf * w)) over (partition by c)) as x from qg join idf using (g)),
-s as (select qv.c as q, nv.c as c, sum(qv.x * nv.x) as cosine from qv join nv using (g) group by 1, 2
-      having sum(qv.x * nv.x) >= 0.5e0)
+s as materialized (select qv.c as q, nv.c as c, sum(qv.x * nv.x) as cosine from qv join nv using (g) group by 1, 2)"""
+
+
+@query(f"""
+with {_COSINES}
 select q as query, cast(r as integer) as rank, name as matched_name, round(cosine, 6) as cosine
 from (select *, row_number() over (partition by q order by round(cosine, 9) desc, pos) r
-      from s join names using (c)) where r <= 2""")
+      from s join names using (c) where cosine >= 0.5e0) where r <= 2""")
 def tfidf_topk(t: Tables):
     index = fuzzy.fit_names(titles(t), "title", "page_id")
     best = fuzzy.top_cosine(misspelled(t), "asked", index, at_least=0.5, top=2)
     return best.withColumn("cosine", F.round("cosine", 6))
 
 
-def matched_titles(t: Tables):
+def _ordered(text: str) -> str:
+    return f"array_to_string(list_sort(list_filter(string_split({text}, ' '), lambda t: t <> '')), ' ')"
+
+
+def _common(masks: str, width: str) -> str:
+    """Length of the longest common subsequence, from the places of each character in a text of ``width``."""
+    full = f"((1::bigint << {width}) - 1)"
+    step = f"((row + (row & m)) | (row - (row & m))) & {full}"
+    return f"({width} - bit_count(list_reduce(list_prepend({full}, {masks}), lambda row, m: {step})))"
+
+
+def _places(entry: str, text: str) -> str:
+    return f"list_transform(string_split({text}, ''), lambda ch: coalesce({entry}[ch], 0::bigint))"
+
+
+def _window_ratio(entry: str, short: str, long: str) -> str:
+    """The best ratio of a text and any window of a longer one."""
+    part = (f"list_slice({_places(entry, long)}, greatest(spot, 0) + 1, least(spot + length({short}), length({long})))")
+    size = f"(least(spot + length({short}), length({long})) - greatest(spot, 0))"
+    return (f"list_max(list_transform(range(1 - length({short}), length({long})), lambda spot: "
+            f"2.0e0 * {_common(part, f'length({short})')} / (length({short}) + {size})))")
+
+
+# Titles have at most 60 characters, so a bit for each fits a big integer.
+_BEST = f"""
+{_COSINES},
+texts as (select q as t from s union select c from s union select {_ordered('q')} from s union select {_ordered('c')} from s),
+chars as (select t, unnest(string_split(t, '')) as ch, unnest(range(length(t))) as spot from texts),
+masks as materialized (select t, map(list(ch), list(mask)) as entry
+    from (select t, ch, sum(1::bigint << spot)::bigint as mask from chars group by all) group by t),
+whole as materialized (select q, c, cosine, entry, case when length(q) < 5 then 0.4e0 else 0.6e0 end as share,
+    2.0e0 * {_common(_places('entry', 'c'), 'length(q)')} / (length(q) + length(c)) as ratio
+  from s join masks on t = q),
+near as materialized (select * from (select *, max(share * cosine + (1 - share) * ratio) over (partition by q) as least_best
+    from whole) where share * cosine + (1 - share) >= least_best - 1e-9),
+alike as (select q, c, cosine, share, greatest(ratio,
+    2.0e0 * {_common(_places('o.entry', _ordered('c')), 'length(o.t)')} / (length(o.t) + length({_ordered('c')})),
+    case when length(q) <= length(c) then {_window_ratio('near.entry', 'q', 'c')} else 0 end,
+    case when length(c) <= length(q) then {_window_ratio('m.entry', 'c', 'q')} else 0 end) as similarity
+  from near join masks m on m.t = c join masks o on o.t = {_ordered('q')}),
+scored as (select *, round(share * cosine + (1 - share) * similarity, 12) as score from alike),
+best as materialized (select q, arg_min(name, pos) as name, max(score) as score from (
+    select *, max(round(score, 9)) over (partition by q) as top from scored join names using (c))
+  where round(score, 9) = top group by q)"""
+
+
+def _matched(threshold: float) -> str:
+    return f"""(select page_id, asked, ci as cleaned_input, case when score >= {threshold} - 1e-9 then name end as matched_name,
+    case when length(ci) < 2 then 0 else score end as confidence_score, coalesce(score >= {threshold} - 1e-9, false) as is_match
+  from (select *, {sql.clean('asked')} as ci from {_ASKED}) left join best on q = ci)"""
+
+
+def matched_titles(t: Tables, threshold: float):
     index = fuzzy.fit_names(titles(t), "title", "page_id")
-    return fuzzy.fuzzy_match(misspelled(t), "asked", index, threshold=0.8)
+    return fuzzy.fuzzy_match(misspelled(t), "asked", index, threshold)
 
 
-@query()
+@query(f"""with {_BEST} select page_id, asked, cleaned_input, matched_name, is_match,
+  round(confidence_score, 6) as confidence_score from {_matched(0.8)}""")
 def fuzzy_match(t: Tables):
-    matched = matched_titles(t)
-    return matched.withColumn("confidence_score", F.round("confidence_score", 6))
+    return matched_titles(t, 0.8).withColumn("confidence_score", F.round("confidence_score", 6))
 
 
-@query()
+@query(f"""with {_BEST} select count(*) as total_queries, count(*) filter (is_match) as matches_found,
+  {sql.percent('count(*) filter (is_match)', 'count(*)', 4)} as match_rate,
+  round(coalesce(avg(confidence_score) filter (is_match), 0.0e0), 6) as average_confidence from {_matched(0.3)}""")
 def fuzzy_stats(t: Tables):
-    return fuzzy.fuzzy_stats(matched_titles(t))
+    """Also below the thresholds that edit similarity alone can reach."""
+    return fuzzy.fuzzy_stats(matched_titles(t, 0.3))
+
+
+# A handful of names given by hand: the titles of two pages, cut and turned around, and some others.
+BY_HAND = ("Onor the of it", "thly on Toanensting", "no such title", "x", "")
+_BY_HAND = "(select unnest([" + ", ".join(f"'{n}'" for n in BY_HAND) + "]) as asked, 0 as page_id)"
+
+
+@query(f"""with {_BEST.replace(_ASKED, _BY_HAND)} select input, cleaned_input, matched_name, is_match,
+  round(confidence_score, 6) as confidence_score
+from (select asked as input, ci as cleaned_input, case when score >= 0.7e0 - 1e-9 then name end as matched_name,
+    case when length(ci) < 2 then 0 else score end as confidence_score, coalesce(score >= 0.7e0 - 1e-9, false) as is_match
+  from (select *, {sql.clean('asked')} as ci from {_BY_HAND}) left join best on q = ci)""")
+def match_names(t: Tables):
+    index = fuzzy.fit_names(titles(t), "title", "page_id")
+    return fuzzy.match_names(t.pages.sparkSession, BY_HAND, index).withColumn(
+        "confidence_score", F.round("confidence_score", 6))

@@ -207,8 +207,8 @@ def test_formats_round_trip(spark, tmp_path):
         tables.read_table(spark, "x.xlsx")
 
 
-def brute_force(names, queries, threshold):
-    """Every query against every name, all in Python."""
+def brute_force(names, queries):
+    """Every query against every name that shares a gram with it, all in Python."""
     import math
     from collections import Counter
 
@@ -241,9 +241,9 @@ def brute_force(names, queries, threshold):
             cosine = sum(w * v.get(g, 0) for g, w in mine.items())
             share = .4 if short else .6
             score = share * cosine + (1 - share) * best_similarity(q.upper(), c)
-            if score > best_score + 1e-9:
+            if cosine > 0 and score > best_score + 1e-9:
                 best, best_score = name, score
-        out[q] = (best, round(best_score, 6)) if best_score >= threshold else None
+        out[q] = (best, round(best_score, 6)) if best else None
     return out
 
 
@@ -262,13 +262,71 @@ def test_fuzzy_match_agrees_with_brute_force(spark):
     table = spark.createDataFrame(list(enumerate(names)), "i int, name string")
     index = fuzzy.fit_names(table, "name", "i")
     asked = spark.createDataFrame([(q,) for q in sorted(set(queries))], "q string")
-    for threshold in (0.7, 0.9, 1.0):
-        want = brute_force(names, sorted(set(queries)), threshold - 1e-9)
-        got = {
-            r.q: (r.matched_name, round(r.confidence_score, 6)) if r.is_match else None
-            for r in fuzzy.fuzzy_match(asked, "q", index, threshold).collect()
-        }
-        assert got == want
+    want = brute_force(names, sorted(set(queries)))
+    assert {None} < {w and w[0] for w in want.values()} and min(w[1] for w in want.values() if w) < 0.6
+    for threshold in (0.2, 0.7, 1.0):
+        got = {r.q: r for r in fuzzy.fuzzy_match(asked, "q", index, threshold).collect()}
+        assert got.keys() == want.keys()
+        for q, r in got.items():
+            assert (r.confidence_score and round(r.confidence_score, 6)) == (want[q] and want[q][1])
+            assert r.is_match == bool(want[q] and want[q][1] >= threshold - 1e-6)
+            assert r.matched_name == (want[q][0] if r.is_match else None)
+
+
+def made_names(count, seed):
+    import random
+
+    rng = random.Random(seed)
+    words = ["".join(rng.choice("aeiounrtslkm") for _ in range(rng.randint(2, 8))) for _ in range(400)]
+    return [" ".join(rng.choices(words, k=rng.randint(3, 8))) for _ in range(count)]
+
+
+def test_few_pairs_fetch_whole_vectors(spark):
+    """The bound of the partial sums leaves hardly more pairs than those that count."""
+    names = made_names(400, 3)
+    table = spark.createDataFrame(list(enumerate(names)), "i int, name string")
+    asked = spark.createDataFrame([(n[:-3] + n[-2:],) for n in names], "q string")
+    index = fuzzy.fit_names(table, "name", "i")
+    vectors = fuzzy._asked(asked, "q", index).withColumn("need", fuzzy.F.lit(0.5))
+    final = fuzzy._pairs(index.vectors, vectors, 0.5).count()
+    assert final >= 400
+    assert fuzzy.candidates(index.vectors, vectors, 0.5).count() < 2 * final
+
+
+def test_characters_bound_the_similarity(spark):
+    """No pair is lost by the bound, and most pairs need no subsequence at all."""
+    from gristmill.functions.similarity import best_similarity
+
+    F = fuzzy.F
+    names = [n.upper() for n in made_names(40, 4)] + ["AB", "B A", "AAAA", "A  B", "ÉA"]
+    pairs = [(a, b) for a in names for b in names]
+    df = spark.createDataFrame(pairs, "query string, candidate string").withColumn("cosine", F.lit(0.1))
+    asked = spark.createDataFrame([(n, 0.4) for n in names], "clean string, best double")
+    rows = fuzzy.bounded(df, spark.createDataFrame([(n,) for n in names], "clean string"), asked).collect()
+    assert len(rows) == len(pairs)
+    for r in rows:
+        assert r.most >= r.share * 0.1 + (1 - r.share) * best_similarity(r.query, r.candidate) - 1e-9
+    behind = [r for r in rows if r.most >= 0.4]
+    assert 0 < len(behind) < 0.9 * len(rows)
+
+
+def test_similarity_above_a_least_value_is_exact():
+    import random
+
+    from gristmill.functions.similarity import Masks, best_similarity, partial_ratio, ratio
+
+    rng, masks = random.Random(8), Masks()
+    for _ in range(400):
+        a, b = ("".join(rng.choice("ab c") for _ in range(rng.randint(1, 12))) for _ in range(2))
+        short, long = sorted((a, b), key=len)
+        windows = [long[max(i, 0):i + len(short)] for i in range(1 - len(short), len(long))]
+        plain = max(ratio(short, w) for w in windows)
+        if len(a) == len(b):
+            plain = max(plain, *(ratio(long, short[max(i, 0):i + len(long)]) for i in range(1 - len(long), len(short))))
+        assert partial_ratio(a, b) == plain
+        true, least = best_similarity(a, b), rng.random()
+        found = best_similarity(a, b, least, masks)
+        assert found == true if true > least + 1e-12 else found <= max(least, true) + 1e-12
 
 
 def test_fuzzy_edges(spark, tmp_path):
@@ -282,8 +340,9 @@ def test_fuzzy_edges(spark, tmp_path):
     assert got["beans"].matched_name is None and got["beans"].confidence_score is None
     stats = fuzzy.fuzzy_stats(fuzzy.match_names(spark, ["maize h614", "beans"], stored)).first()
     assert tuple(stats) == (2, 1, 50.0, 1.0)
-    with pytest.raises(ValueError):
-        fuzzy.fuzzy_match(table, "name", index, 0.5)
+    low = fuzzy.fuzzy_match(table, "name", index, 0.1).collect()
+    assert [(r.i, r.matched_name, r.is_match) for r in sorted(low)] == [
+        (0, "Maize H614", True), (1, None, False), (2, None, False)]
 
 
 def test_search_literal_and_levels(spark):
