@@ -86,6 +86,12 @@ def trait_tags(t: Tables):
     return traits.extract_traits(noted_documents(t)).drop("special_attributes")
 
 
+@query(f"select * from {_TAGGED}")
+def trait_tags_of_repeated(t: Tables):
+    """The same traits, each distinct text scanned once."""
+    return traits.extract_traits_once(noted_documents(t)).drop("special_attributes")
+
+
 @query(f"""
 with d as materialized (select * from {_TAGGED} join {_NOTED} using (doc_id))
 select trait, yes as yes_count, n - yes as no_count, {sql.percent('yes', 'n', 4)} as yes_percentage,

@@ -91,9 +91,34 @@ def test_report(spark):
     assert row.enrichment_rate == 83.3
 
 
-def test_overlapping_phrase_is_refused(spark):
-    import pytest
+def test_phrases_that_overlap_themselves(spark):
+    rng = random.Random(9)
+    phrases = {"a": {"YES": ["so and so", "l'or", "x.y", "été sec"], "NO": ["so", "\\Q"]}}
+    parts = ["so", "and", "so and so", "not", "\n", "l'or", "x.y", "xzy", "été sec", "\\Q", "and so", "é", "z" * 25]
+    texts = [" ".join(rng.choice(parts) for _ in range(rng.randint(1, 16))) for _ in range(150)]
+    negation = re.compile(r"\b(?:" + "|".join(config.NEGATION_WORDS) + r")\b")
+
+    def plain(text):
+        yes = negated = 0
+        for phrase in phrases["a"]["YES"]:
+            for hit in re.finditer(r"(.{0,30})\b" + re.escape(phrase) + r"\b", text.strip()):
+                turned = negation.search(hit.group(1))
+                negated, yes = negated + bool(turned), yes + (not turned)
+        explicit = sum(len(re.findall(r".{0,30}\b" + re.escape(p) + r"\b", text.strip())) for p in phrases["a"]["NO"])
+        need = explicit * 3 if explicit else negated * 2
+        return "YES" if yes and yes >= need else "NO"
 
-    df = spark.createDataFrame([("x",)], "note string")
-    with pytest.raises(ValueError):
-        traits.extract_traits(df, "note", {"a": {"YES": ["so and so"]}})
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, note string")
+    got = [r.a for r in traits.extract_traits(df, "note", phrases).orderBy("i").collect()]
+    assert got == [plain(t) for t in texts] and set(got) == {"YES", "NO"}
+
+
+def test_repeated_texts_are_scanned_once(spark):
+    rows = [(i, GOLDEN[i % len(GOLDEN)][0], "x") for i in range(60)]
+    df = spark.createDataFrame(rows, "i int, note string, drought_tolerant string")
+    once = traits.extract_traits_once(df, "note")
+    plain = traits.extract_traits(df, "note")
+    assert once.columns == plain.columns
+    assert sorted(map(str, once.collect())) == sorted(map(str, plain.collect()))
+    absent = traits.extract_traits_once(df, "absent").select(*config.TRAITS).distinct().collect()
+    assert [tuple(r) for r in absent] == [("NO",) * 5]
