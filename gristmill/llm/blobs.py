@@ -57,7 +57,7 @@ PACKED = pa.schema([
     ("bucket", pa.int32()), ("keys", pa.binary()), ("places", pa.binary()), ("docs", pa.binary()),
     ("texts", pa.binary()), ("counts", pa.binary()), ("known", pa.bool_())])
 #: Places by text: packed unsigned 32-bit numbers.
-BY_TEXT = "id long, text_hash int, numbers binary"
+BY_TEXT = "id long, text_hash long, numbers binary"
 
 
 def packed(bucket, keys, places, of, ids, texts, counts, known, buckets) -> tuple:
@@ -86,7 +86,7 @@ def unpacked(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """id, text hash and place within its text of each packed place."""
     places = np.cumsum(unplaned(row.places, "u4"), dtype=np.uint32).astype(np.int64)
     ids = np.cumsum(unplaned(row.docs, "i8"))
-    texts = np.frombuffer(row.texts, dtype=np.int32)
+    texts = np.frombuffer(row.texts, dtype=np.int64)
     counts = unplaned(row.counts, "u4").astype(np.int64)
     first = np.cumsum(counts) - counts
     doc = np.searchsorted(first, places, side="right") - 1
@@ -138,7 +138,7 @@ def gathered(rows: pd.DataFrame, width: int) -> list[np.ndarray]:
         size = 4 * int(counts.sum())
         out.append((
             np.repeat(np.cumsum(unplaned(r.docs, "i8")), counts),
-            np.repeat(np.frombuffer(r.texts, dtype=np.int32), counts),
+            np.repeat(np.frombuffer(r.texts, dtype=np.int64), counts),
             *[np.cumsum(unplaned(r.numbers[i * size:(i + 1) * size], "u4"), dtype=np.uint32).astype(np.int64)
               for i in range(width)]))
     return [np.concatenate(c) for c in zip(*out)]

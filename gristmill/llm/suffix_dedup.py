@@ -125,7 +125,7 @@ def _repeated_anchors(buckets: int):
                 more = [np.concatenate(x) for x in zip(*map(blobs.unpacked, fresh))]
                 found.append(tuple(x[several] for x in more))
         if not found:
-            return blobs.scattered(buckets, np.zeros(0, np.int64), np.zeros(0, np.int32))
+            return blobs.scattered(buckets, np.zeros(0, np.int64), np.zeros(0, np.int64))
         return blobs.scattered(buckets, *[np.concatenate(x) for x in zip(*found)])
 
     return run
@@ -212,7 +212,7 @@ def _late_windows(depth: int, buckets: int):
         for r in rows[rows["known"]].itertuples():
             left, right = (np.frombuffer(x, dtype=np.uint8).astype(np.int64) for x in (r.lefts, r.rights))
             start = blobs.unplaned(r.places, "u4").astype(np.int64)
-            out.append((np.cumsum(blobs.unplaned(r.docs, "i8")), np.frombuffer(r.texts, dtype=np.int32),
+            out.append((np.cumsum(blobs.unplaned(r.docs, "i8")), np.frombuffer(r.texts, dtype=np.int64),
                         start, start + left - right + depth))
         fresh = list(rows[~rows["known"]].itertuples())
         if fresh:
@@ -221,7 +221,7 @@ def _late_windows(depth: int, buckets: int):
             right = np.concatenate([np.frombuffer(r.rights, dtype=np.uint8) for r in fresh]).astype(np.int64)
             start = np.concatenate([blobs.unplaned(r.places, "u4") for r in fresh]).astype(np.int64)
             ids = np.concatenate([np.cumsum(blobs.unplaned(r.docs, "i8")) for r in fresh])
-            texts = np.concatenate([np.frombuffer(r.texts, dtype=np.int32) for r in fresh])
+            texts = np.concatenate([np.frombuffer(r.texts, dtype=np.int64) for r in fresh])
             context = np.concatenate([
                 np.frombuffer(expand.decompress(r.contexts), dtype=np.uint8).reshape(-1, width) for r in fresh])
             totals = []
@@ -248,7 +248,7 @@ def _late_windows(depth: int, buckets: int):
                 begin = start[late] + left[late] - offset
                 out.append((ids[late], texts[late], begin, begin + depth))
         if not out:
-            return blobs.scattered(buckets, np.zeros(0, np.int64), np.zeros(0, np.int32))
+            return blobs.scattered(buckets, np.zeros(0, np.int64), np.zeros(0, np.int64))
         return blobs.scattered(buckets, *blobs.merged(*[np.concatenate(x) for x in zip(*out)]))
 
     return run
@@ -297,7 +297,7 @@ def dedup_report(docs: DataFrame, depth: int = 50) -> DataFrame:
             ], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     docs = docs.select("doc_id", "text")
-    marked = docs.withColumns({"id": F.coalesce("doc_id", F.lit(FIRST_ID)), "text_hash": F.hash("text")})
+    marked = docs.withColumns({"id": F.coalesce("doc_id", F.lit(FIRST_ID)), "text_hash": F.xxhash64("text")})
     found = marked.join(repeated_bytes(docs, depth), ["id", "text_hash"], "left")
     return found.select("doc_id", "text", "numbers").mapInArrow(
         run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

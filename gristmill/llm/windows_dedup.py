@@ -44,7 +44,7 @@ def identified(docs: DataFrame) -> DataFrame:
     """``id, text_hash, text``: what tells rows apart."""
     return docs.select(
         F.coalesce("doc_id", F.lit(FIRST_ID)).alias("id"),
-        F.hash("text").alias("text_hash"), "text")
+        F.xxhash64("text").alias("text_hash"), "text")
 
 
 def _hash_windows(width: int, buckets: int):
@@ -108,7 +108,7 @@ def _late_windows(width: int, buckets: int):
                 late = order[~blobs.least_in_runs(runs, ids[order], starts[order])]
                 found.append((ids[late], texts[late], starts[late]))
         if not found:
-            return blobs.scattered(buckets, np.zeros(0, np.int64), np.zeros(0, np.int32))
+            return blobs.scattered(buckets, np.zeros(0, np.int64), np.zeros(0, np.int64))
         ids, texts, starts = [np.concatenate(x) for x in zip(*found)]
         return blobs.scattered(buckets, *blobs.merged(ids, texts, starts, starts + width))
 
@@ -134,7 +134,7 @@ def _kept(text: bytes | None, spans: bytes | None) -> tuple[list[bytes], int]:
 
 def with_repeats(docs: DataFrame, width: int) -> DataFrame:
     marked = docs.withColumns({
-        "__id": F.coalesce("doc_id", F.lit(FIRST_ID)), "__hash": F.hash("text")})
+        "__id": F.coalesce("doc_id", F.lit(FIRST_ID)), "__hash": F.xxhash64("text")})
     found = repeats(docs, width).select(
         F.col("id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("numbers").alias("__spans"))
     return marked.join(found, ["__id", "__hash"], "left").drop("__id", "__hash")

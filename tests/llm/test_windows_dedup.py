@@ -56,3 +56,14 @@ def test_remove_keeps_columns(odd_docs, odd_rows):
             assert hashlib.sha256((r["text"] or "").encode()).hexdigest() == digest
         else:
             assert r["text"] in [t for i, t in odd_rows if i == r["doc_id"]]
+
+
+def test_many_rows_without_identifier(spark):
+    """Texts are told apart by 64 bits: among so many, 32 bits would give some text another one's spans."""
+    docs = spark.range(120_000).selectExpr(
+        "CAST(NULL AS LONG) AS doc_id",
+        "concat_ws(' ', transform(sequence(0, CAST(id % 50 AS INT)), k -> concat('w', id, '_', k)), "
+        "array_join(transform(sequence(1, 20), k -> concat('same', k)), ' ')) AS text")
+    rows = windows_dedup.dedup_report(docs).groupBy("n_removed").count().collect()
+    # Without identifiers the window that starts first in its text is the first one, 2400 times.
+    assert sorted(map(tuple, rows)) == [(0, 2_400), (20, 117_600)]
