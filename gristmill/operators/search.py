@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gristmill import config
-from gristmill.functions.frames import any_of, present, quoted
+from gristmill.functions.frames import any_of, materialised, present, quoted
 from gristmill.functions.text import contains_ci, is_blank
 
 
@@ -89,7 +90,7 @@ def page(
     """One page of rows with the total row and page counts.
 
     An explicit order makes pages repeatable.  Spark keeps ``number * size`` rows while
-    it selects them; walk far into a table with a filter on the order key instead.
+    it selects them; far into a table :func:`search_after` and :func:`page_of_index` read less.
     """
     total = df.agg(F.count(F.lit(1))).scalar()
     rows = df.orderBy(*order).offset((max(number, 1) - 1) * size).limit(size)
@@ -101,6 +102,71 @@ def page(
     )
 
 
+def search_after(
+    df: DataFrame, order: Sequence[str], after: Sequence[object] | None = None, size: int = 50
+) -> DataFrame:
+    """The ``size`` rows that follow the key ``after``, or the first ones.
+
+    ``order`` names columns that tell rows apart and hold no nulls.  The key reaches the file scan
+    as a range, so a page far into the table costs as much as the first one; tasks hand on ``size``
+    rows each.
+    """
+    if after is not None:
+        df = df.where(_behind(order, after, False))
+    return df.orderBy(*order).limit(size)
+
+
+def _behind(order: Sequence[str], key: Sequence[object], included: bool) -> Column:
+    """Rows behind a key, or at it.  The first column by itself is a range that files are pruned by."""
+    columns = [quoted(c) for c in order]
+    last = len(columns) - 1
+
+    def step(i: int) -> Column:
+        return columns[i] >= key[i] if included and i == last else columns[i] > key[i]
+
+    behind = any_of([reduce(lambda a, b: a & b, [columns[j] == key[j] for j in range(i)] + [step(i)])
+                     for i in range(len(columns))]) if last else step(0)
+    return (columns[0] >= key[0]) & behind if last else behind
+
+
+def _before(order: Sequence[str], key: Sequence[object]) -> Column:
+    columns = [quoted(c) for c in order]
+    before = [reduce(lambda a, b: a & b, [columns[j] == key[j] for j in range(i)] + [columns[i] < key[i]])
+              for i in range(len(columns))]
+    return (columns[0] <= key[0]) & any_of(before) if len(columns) > 1 else before[0]
+
+
+def page_index(df: DataFrame, order: Sequence[str], size: int = 50) -> DataFrame:
+    """``page``, the first key of each page in the columns of ``order``, and ``rows``: one row a page.
+
+    To be written beside a table (or a stored search) whose pages are asked for again.  Keys only
+    are sorted, in ranges; a row's place follows from the counts of the ranges before its own.
+    """
+    keys = df.select(*[quoted(c) for c in order]).orderBy(*order)
+    at = materialised(keys.withColumn("__at", F.monotonically_increasing_id()))
+    part = F.shiftright("__at", 33)
+    parts = at.groupBy(part.alias("__part")).agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    # One row a task: few enough for one window.
+    before = F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")
+    shift = parts.select("__part", (before - F.col("__first")).alias("__shift"), F.sum("__n").over(
+        Window.partitionBy()).alias("__total"))
+    placed = at.withColumn("__part", part).join(shift, "__part").withColumn("__place", F.col("__at") + F.col("__shift"))
+    return placed.where(F.col("__place") % size == 0).select(
+        (F.expr(f"__place DIV {size}") + 1).alias("page"), *[quoted(c) for c in order],
+        F.least(F.lit(size), F.col("__total") - F.col("__place")).cast("long").alias("rows"))
+
+
+def page_of_index(df: DataFrame, index: DataFrame, order: Sequence[str], number: int) -> DataFrame:
+    """One page, read as one range of keys by a :func:`page_index`; empty where there is no such page."""
+    edges = {r["page"]: r for r in index.where(F.col("page").isin(number, number + 1)).collect()}  # two rows at most
+    if number not in edges:
+        return df.limit(0)
+    rows = df.where(_behind(order, [edges[number][c] for c in order], True))
+    if number + 1 in edges:
+        rows = rows.where(_before(order, [edges[number + 1][c] for c in order]))
+    return rows.orderBy(*order).limit(edges[number]["rows"])
+
+
 def page_info(df: DataFrame, number: int = 1, size: int = 50) -> DataFrame:
     """Total, pages and the range of items that a page shows."""
     total = F.col("total")

@@ -1,7 +1,9 @@
 """Queries over profiles, completeness, distributions, splits, loading and the run log."""
 
 from datetime import datetime
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.operators import profiling, split
@@ -70,6 +72,29 @@ def approximate_profile(t: Tables):
     return profiling.approximate_profile(t.lineitem)
 
 
+_STORED = ("l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_shipdate", "note")
+
+
+def _load(t: Tables, part: int):
+    """A fourth of the line items, one of whose columns has gaps."""
+    note = F.when(F.col("l_linenumber") > 2, F.col("l_linestatus"))
+    return t.lineitem.where(F.col("l_orderkey") % 4 == part).withColumn("note", note).select(*_STORED)
+
+
+@query(" union all ".join(f"""select '{c}' as "column", count({c}) as non_null, count(*) as total_rows,
+    {sql.percent(f'count({c})', 'count(*)')} as completeness, true as within_error
+  from (select *, case when l_linenumber > 2 then l_linestatus end as note from lineitem)""" for c in _STORED))
+def stored_profile(t: Tables):
+    """Four loads, each with a sketch of its own; the distinct counts are held against exact ones."""
+    loads = [profiling.profile_sketches(_load(t, part), f"load {part}") for part in range(4)]
+    merged = profiling.stored_profile(reduce(DataFrame.unionByName, loads))
+    whole = reduce(DataFrame.unionByName, [_load(t, part) for part in range(4)])
+    exact = profiling.column_profile(whole).select("column", F.col("unique_values").alias("exact"))
+    off = F.abs(F.col("unique_values") - F.col("exact")) / F.greatest("exact", F.lit(1))
+    return merged.join(exact, "column").select(
+        "column", "non_null", "total_rows", "completeness", (off <= profiling.SKETCH_ERROR).alias("within_error"))
+
+
 # --- dashboard ------------------------------------------------------------------------
 
 

@@ -97,6 +97,28 @@ def search_page(t: Tables):
     return search.page(rows, [F.col("o_totalprice").desc(), "o_orderkey"], 3, 50)
 
 
+@query("""select o_orderkey, o_orderstatus, o_custkey from orders
+  where (o_custkey, o_orderkey) > (700, 0) order by o_custkey, o_orderkey limit 40""")
+def search_after(t: Tables):
+    rows = t.orders.select("o_orderkey", "o_orderstatus", "o_custkey")
+    return search.search_after(rows, ["o_custkey", "o_orderkey"], (700, 0), 40)
+
+
+@query("""select n // 100 + 1 as page, o_custkey, o_orderkey, least(100, total - n) as rows
+  from (select o_custkey, o_orderkey, row_number() over (order by o_custkey, o_orderkey) - 1 as n,
+               count(*) over () as total from orders) where n % 100 = 0""")
+def page_index(t: Tables):
+    return search.page_index(t.orders, ["o_custkey", "o_orderkey"], 100)
+
+
+@query("""select o_orderkey, o_orderstatus, o_custkey from orders order by o_custkey, o_orderkey limit 100 offset 1100""")
+def page_of_index(t: Tables):
+    order = ["o_custkey", "o_orderkey"]
+    index = search.page_index(t.orders, order, 100)
+    rows = t.orders.select("o_orderkey", "o_orderstatus", "o_custkey")
+    return search.page_of_index(rows, index, order, 12)
+
+
 @query("""select count(*) as total, cast(ceil(count(*) / 20.0e0) as bigint) as pages,
     4 as current_page, 20 as per_page, cast(61 as bigint) as start_item,
     least(80, count(*)) as end_item from customer""")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping
 from datetime import datetime
 
@@ -69,12 +70,67 @@ def load_stats(df: DataFrame, mapping: Mapping[str, str]) -> DataFrame:
     )
 
 
+CURRENT = "CURRENT"
+
+
+def _hadoop(spark: SparkSession, path: str):
+    """Spark's own file system for a path, and the path."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def _point_to(spark: SparkSession, path: str, version: str) -> None:
+    """Name the version that readers take: a new pointer file takes the old one's place in one step."""
+    fresh = f"{path}/.{CURRENT}-{version}"
+    files, where = _hadoop(spark, fresh)
+    out = files.create(where, True)
+    try:
+        out.write(version.encode())
+    finally:
+        out.close()
+    jvm = spark._jvm
+    renames = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    renames[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(
+        files.makeQualified(where).toUri(), spark._jsc.hadoopConfiguration())
+    context.rename(files.makeQualified(where), files.makeQualified(_hadoop(spark, f"{path}/{CURRENT}")[1]), renames)
+
+
+def current_version(spark: SparkSession, path: str) -> str | None:
+    """The name of the stored version; none before the first load."""
+    files, where = _hadoop(spark, f"{path}/{CURRENT}")
+    return spark.read.text(f"{path}/{CURRENT}").first()[0] if files.exists(where) else None
+
+
 def replace_catalogue(
     df: DataFrame, mapping: Mapping[str, str], path: str, **options
-) -> None:
-    """Replace the stored catalogue by a new upload."""
+) -> str:
+    """Replace the stored catalogue by a new upload; the name of its version.
+
+    The upload becomes a version folder of its own.  Only once that is whole does the pointer move
+    to it, so a job that fails leaves the old catalogue as it was, and readers never see half of
+    one.  The version before it stays for those who still read it; older ones go.
+    """
     check_essentials(mapping)
-    catalogue_records(df, mapping, **options).write.mode("overwrite").parquet(path)
+    spark = df.sparkSession
+    old = current_version(spark, path)
+    version = f"v{datetime.now():%Y%m%d%H%M%S%f}-{uuid.uuid4().hex[:8]}"
+    catalogue_records(df, mapping, **options).write.parquet(f"{path}/{version}")
+    _point_to(spark, path, version)
+    files, where = _hadoop(spark, path)
+    names = [f.getPath().getName() for f in files.listStatus(where) if f.isDirectory()]
+    for name in names:
+        if old is not None and name < old:
+            files.delete(_hadoop(spark, f"{path}/{name}")[1], True)
+    return version
+
+
+def read_catalogue(spark: SparkSession, path: str, version: str | None = None) -> DataFrame:
+    """The stored catalogue, or one of its versions."""
+    version = version or current_version(spark, path)
+    if version is None:
+        raise FileNotFoundError(f"no catalogue has been stored at {path}")
+    return spark.read.parquet(f"{path}/{version}")
 
 
 def log_run(
@@ -82,7 +138,7 @@ def log_run(
     matching_accuracy: float | None = None, processing_time: float | None = None,
     uploaded_at: datetime | None = None,
 ) -> None:
-    """Append one line to the run log."""
+    """Append one line to the run log; readers see it once its file is whole, or not at all."""
     entry = (filename, file_type, record_count, matching_accuracy, processing_time,
              uploaded_at or datetime.now())
     spark.createDataFrame([entry], RUN_LOG_SCHEMA).coalesce(1).write.mode("append").parquet(path)

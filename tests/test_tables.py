@@ -169,6 +169,74 @@ def test_split(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out" / "summary")).count() == 3
 
 
+def test_failed_load_leaves_the_catalogue(spark, tmp_path):
+    F = fuzzy.F
+    up = spark.range(100).select(F.concat(F.lit("V"), "id").alias("v"), F.lit("Maize").alias("c"),
+                                 F.lit("KE").alias("k"), F.lit("2001").alias("y"))
+    mapping = {"v": "variety_release_name", "c": "crop", "k": "country", "y": "year_of_release"}
+    path = str(tmp_path / "catalogue")
+    with pytest.raises(FileNotFoundError):
+        catalogue.read_catalogue(spark, path)
+    first = catalogue.replace_catalogue(up, mapping, path)
+    broken = up.repartition(4).withColumn("c", F.when(F.col("v") == "V77", F.raise_error(F.lit("lost"))).otherwise("Beans"))
+    reader = catalogue.read_catalogue(spark, path)
+    with pytest.raises(Exception, match="lost"):
+        catalogue.replace_catalogue(broken, mapping, path)
+    assert catalogue.current_version(spark, path) == first
+    assert catalogue.read_catalogue(spark, path).count() == reader.count() == 100
+    second = catalogue.replace_catalogue(up.limit(3), mapping, path)
+    assert catalogue.read_catalogue(spark, path).count() == 3 and reader.count() == 100
+    assert catalogue.read_catalogue(spark, path, first).count() == 100
+    third = catalogue.replace_catalogue(up.limit(4), mapping, path)
+    kept = sorted(p.name for p in (tmp_path / "catalogue").iterdir() if p.is_dir())
+    assert kept == [second, third]
+
+
+def test_pages_by_key(spark):
+    F = fuzzy.F
+    df = spark.range(1000, numPartitions=7).select((F.col("id") * 37 % 10).alias("a"), "id", F.lit("x").alias("t"))
+    want = sorted((r.a, r.id) for r in df.collect())
+    index = search.page_index(df, ["a", "id"], 64).cache()
+    assert sorted(map(tuple, index.collect())) == [
+        (i // 64 + 1, *want[i], min(64, 1000 - i)) for i in range(0, 1000, 64)]
+    for number in (1, 2, 9, 16):
+        page = search.page_of_index(df, index, ["a", "id"], number)
+        assert [(r.a, r.id) for r in page.collect()] == want[(number - 1) * 64:number * 64]
+    assert search.page_of_index(df, index, ["a", "id"], 17).collect() == []
+    assert search.page_index(df.limit(0), ["a", "id"], 64).collect() == []
+    seen, key = [], None
+    while rows := search.search_after(df, ["a", "id"], key, 300).collect():
+        seen += [(r.a, r.id) for r in rows]
+        key = seen[-1]
+    assert seen == want
+
+
+def test_later_pages_read_a_range(spark, tmp_path):
+    F = fuzzy.F
+    path = str(tmp_path / "rows")
+    spark.range(10_000).select("id", (F.col("id") % 7).alias("x")).write.parquet(path)
+    df = spark.read.parquet(path)
+    index = search.page_index(df, ["id"], 50).cache()
+    page = search.page_of_index(df, index, ["id"], 150)
+    assert [r.id for r in page.collect()] == list(range(7450, 7500))
+    plan = page._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(id,7450)" in plan and "LessThan(id,7500)" in plan
+    assert "TakeOrderedAndProject" in plan and "Exchange" not in plan
+
+
+def test_stored_profile_counts_a_load_once(spark):
+    F = fuzzy.F
+    parts = [spark.range(i * 5000, i * 5000 + 8000).select("id", F.when(F.col("id") % 2 == 0, F.lit("a")).alias("x"))
+             for i in range(3)]
+    sketches = [profiling.profile_sketches(p, f"l{i}") for i, p in enumerate(parts)]
+    sketches.append(sketches[0])
+    rows = {r["column"]: r for r in profiling.stored_profile(
+        sketches[0].unionByName(sketches[1]).unionByName(sketches[2]).unionByName(sketches[3])).collect()}
+    assert (rows["id"].total_rows, rows["id"].non_null, rows["x"].non_null, rows["x"].unique_values) == (
+        24_000, 24_000, 12_000, 1)
+    assert abs(rows["id"].unique_values / 18_000 - 1) <= profiling.SKETCH_ERROR
+
+
 def test_catalogue_round_trip(spark, tmp_path):
     up = spark.createDataFrame(
         [("H1", "Maize", "KE", "2001", "rust"), (None, None, "KE", "1", None), (None,) * 5],
@@ -177,7 +245,7 @@ def test_catalogue_round_trip(spark, tmp_path):
                "s": "special_attributes"}
     path = str(tmp_path / "catalogue")
     catalogue.replace_catalogue(up, mapping, path, with_traits=True)
-    stored = spark.read.parquet(path)
+    stored = catalogue.read_catalogue(spark, path)
     assert stored.count() == 1 and stored.first().disease_tolerant == "YES"
     assert tuple(catalogue.load_stats(up, mapping).first()) == (1, 2)
     with pytest.raises(ValueError):
