@@ -91,6 +91,24 @@ def missing_essentials(
     return [name for name in essential if name not in mapping.values()]
 
 
+def essentials_report(
+    df: DataFrame, mapping: Mapping[str, str], essential: Sequence[str] = config.ESSENTIAL_COLUMNS
+) -> DataFrame:
+    """One row for each essential column: which column stands for it, and how many of its cells are filled.
+
+    ``source`` is null and ``filled`` 0 where no column of the table is mapped to it.
+    """
+    sources = {name: column_for(mapping, name, last=True) for name in essential}
+    sources = {name: source if source in df.columns else None for name, source in sources.items()}
+    counts = df.agg(F.count(F.lit(1)).alias("total_rows"), *[
+        F.count_if(~is_blank(cell_text(df, source)) if source else F.lit(False)).alias(f"n{i}")
+        for i, source in enumerate(sources.values())])
+    entries = [F.struct(F.lit(name).alias("column"), F.lit(source).cast("string").alias("source"),
+                        F.lit(source is not None).alias("mapped"), F.col(f"n{i}").alias("filled"))
+               for i, (name, source) in enumerate(sources.items())]
+    return counts.select(F.inline(F.array(*entries)), "total_rows")
+
+
 def column_for(mapping: Mapping[str, str], target: str, last: bool = False) -> str | None:
     """The incoming column mapped to ``target`` (the first one unless ``last``)."""
     hits = [column for column, mapped in mapping.items() if mapped == target]

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
 from gristmill import config
-from gristmill.operators import cleaning, combine, fill, headers, link, profiling, traits
+from gristmill.operators import cleaning, combine, facets, fill, headers, link, profiling, traits
 
 
 @dataclass(frozen=True)
@@ -105,3 +105,26 @@ def quality_dashboard(catalogue: DataFrame) -> Dashboard:
         years=profiling.with_relative_bar(
             profiling.distribution(catalogue, "year_of_release", by="value")),
     )
+
+
+@dataclass(frozen=True)
+class Faceted:
+    """A filtered table and what can be chosen from it."""
+
+    records: DataFrame
+    mapping: dict[str, str]
+    limit: int | None
+
+    @property
+    def values(self) -> DataFrame:
+        return facets.facet_table(self.records, limit=self.limit)
+
+    @property
+    def view(self) -> DataFrame:
+        return facets.facet_view(self.records, mapping=self.mapping, limit=self.limit)
+
+
+def facet(df: DataFrame, choices: Mapping[str, Iterable] | None = None, limit: int | None = None) -> Faceted:
+    """Clean an upload, read its headers, and keep the rows that the choices allow."""
+    records = cleaning.clean_frame(df, drop_blank=True)
+    return Faceted(facets.facet_filter(records, choices or {}), headers.map_headers(records.columns), limit)

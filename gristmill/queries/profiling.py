@@ -6,7 +6,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.operators import profiling, split
+from gristmill.operators import headers, profiling, split
 from gristmill.plans import flows
 from gristmill.queries import dialect as sql
 from gristmill.queries.cleaning import GAPPY_CUSTOMER_SQL, gappy_customer
@@ -307,3 +307,12 @@ def run_log_grades(t: Tables):
     """Every run with the grade of its accuracy."""
     log = run_log(t)
     return log.select("filename", "matching_accuracy", profiling.accuracy_grade(F.col("matching_accuracy")).alias("grade"))
+
+
+@query("""select unnest(['variety_release_name', 'crop', 'country', 'year_of_release']) as "column",
+    unnest(['name', 'kind', null, null]) as source, unnest([true, true, false, false]) as mapped,
+    unnest([count(*) filter (p_partkey % 5 <> 0 and trim(p_name) <> ''),
+            count(*) filter (p_partkey % 7 <> 0 and p_partkey % 4 <> 0), 0, 0]) as filled,
+    unnest([count(*), count(*), count(*), count(*)]) as total_rows from part""")
+def essentials_report(t: Tables):
+    return headers.essentials_report(upload(t), _LOAD_MAPPING)

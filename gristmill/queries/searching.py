@@ -3,6 +3,8 @@
 from pyspark.sql import functions as F
 
 from gristmill.operators import facets, search
+from gristmill.plans import flows
+from gristmill.queries import dialect as sql
 from gristmill.queries.registry import Tables, query
 
 
@@ -155,6 +157,7 @@ def faceted_orders(t: Tables):
                            note.alias("note"))
 
 
+_NOTE = """case when o_orderkey % 2 = 0 then 'nan' when o_orderkey % 3 = 0 then ' ' else 'n' || (o_custkey % 300) end"""
 _FACETS = " union all ".join(
     f"""(select '{c}' as column_name, v as value, count(*) as record_count from
         (select cast({e} as varchar) v from orders)
@@ -197,3 +200,19 @@ def facet_filter_long(t: Tables):
 def facet_counts(t: Tables):
     return facets.facet_counts(
         t.events, {"event_type": ["click", "view"], "user_id": [1, 7, 42], "props": []})
+
+
+_CLEAN_FACETS = " union all ".join(
+    f"""(select '{c}' as column_name, v as value, count(*) as record_count from (select {sql.clean(e) if text
+        else f'cast({e} as varchar)'} v from orders where o_orderstatus in ('O', 'P')) where v is not null and v <> ''
+        group by v)"""
+    for c, e, text in (("o_custkey", "o_custkey", False), ("o_orderstatus", "o_orderstatus", True),
+                       ("o_orderpriority", "o_orderpriority", True), ("note", _NOTE, True))
+)
+
+
+@query(f"select * from {_CLEAN_FACETS}")
+def facet_flow(t: Tables):
+    """Facets of a table as it is uploaded: cleaned first, then filtered."""
+    rows = faceted_orders(t).drop("o_orderkey").withColumn("o_orderstatus", F.lower("o_orderstatus"))
+    return flows.facet(rows, {"o_orderstatus": ["O", "P"]}).values

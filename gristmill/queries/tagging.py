@@ -6,6 +6,7 @@ from gristmill import config
 from gristmill.operators import fuzzy, traits
 from gristmill.queries import dialect as sql
 from gristmill.queries.registry import Tables, query
+from gristmill.sources import catalogue
 
 # The given documents are invented words.  Each gets one of these notes before and one
 # after its own text, so that every rule has something to decide.
@@ -92,6 +93,17 @@ def trait_tags_of_repeated(t: Tables):
     return traits.extract_traits_once(noted_documents(t)).drop("special_attributes")
 
 
+@query(f"""select cast(doc_id as varchar) as variety_release_name, {', '.join(config.TRAITS)},
+    4.5e0 as data_quality_score, source as country from {_TAGGED} join documents using (doc_id)""")
+def load_with_traits(t: Tables):
+    """Documents loaded as catalogue entries, their traits taken from the text on the way."""
+    rows = noted_documents(t).join(t.documents.select("doc_id", "source"), "doc_id")
+    loaded = catalogue.catalogue_records(rows, {
+        "doc_id": "variety_release_name", "source": "country", "special_attributes": "special_attributes",
+    }, with_traits=True)
+    return loaded.select("variety_release_name", *config.TRAITS, "data_quality_score", "country")
+
+
 @query(f"""
 with d as materialized (select * from {_TAGGED} join {_NOTED} using (doc_id))
 select trait, yes as yes_count, n - yes as no_count, {sql.percent('yes', 'n', 4)} as yes_percentage,
