@@ -3,7 +3,7 @@
 1. Subwords are the runs of 2 to 5 bytes within a word, the blank on either side included, in lower
    case; whatever is no letter is a blank.  Each is hashed to one of ``2**BITS`` rows of a table.
 2. The mean of a text's rows goes through a linear softmax.  Both are trained by stochastic gradient
-   descent on a bounded sample: of every language the first documents by a hash, SAMPLE in all, at
+   descent on a bounded sample: of every language documents drawn by a hash, SAMPLE in all, at
    most FEATURES of the commonest subwords of each.
 3. A fifth of the sample is kept back.  On it a temperature is fitted, so that the score is an honest
    probability, and the least score from which on PRECISION of the predictions are right; lower ones
@@ -29,6 +29,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gristmill.functions.frames import lookup_join
 from gristmill.llm import windows as win
 from gristmill.llm.shared import crc_modulus, session_of
 
@@ -203,11 +204,17 @@ def fit(docs: DataFrame, lang: str = "lang", sample: int = SAMPLE, epochs: int =
         (crc_modulus(F.col("id"), FOLDS) != HELD) & F.col("id").isNotNull() & F.col("lang").isNotNull()
         & F.col("text").rlike(r"\p{L}")
     ).withColumn("hash", F.xxhash64("id", "text"))
+    # By its hash about twice the sample of a language goes on, however large the language is and
+    # however often a row repeats, so that ranking within a language is no large task.
+    sizes = usable.groupBy("lang").agg(F.approx_count_distinct("hash").alias("size"))
+    drawn = lookup_join(usable.select("id", "lang", "hash"), sizes, ["lang"], "inner").where(
+        F.pmod("hash", F.lit(1 << 20)) * F.col("size") < (2 * sample) << 20
+    ).select("id", "lang", "hash").distinct()
     spread = Window.partitionBy("lang").orderBy("hash", "id")
     chosen = (
-        usable.select("id", "lang", "hash").withColumn("place", F.row_number().over(spread))
+        drawn.withColumn("place", F.row_number().over(spread))
         .where(F.col("place") <= sample).orderBy("place", "lang").limit(sample)
-        .select("id", "lang", "hash").distinct()
+        .select("id", "lang", "hash")
     )
     # At most ``sample`` rows of three values; of rows that repeat one text goes on.
     texts = usable.join(F.broadcast(chosen), ["id", "lang", "hash"]).groupBy("id", "lang", "hash").agg(
