@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +35,31 @@ def shared_folder(spark: SparkSession) -> str:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+_WRITTEN: list[list[str]] = []
+
+
+@contextmanager
+def written() -> Iterator[list[str]]:
+    """Collects the folders of the tables that are saved meanwhile."""
+    folders: list[str] = []
+    _WRITTEN.append(folders)
+    try:
+        yield folders
+    finally:
+        _WRITTEN.remove(folders)
+
+
+def remove_unread(folders: list[str], keep: DataFrame) -> None:
+    """Remove saved tables, but for those that ``keep`` reads, and take them off the list."""
+    spark = session_of(keep)
+    read = keep.inputFiles() if folders else []
+    for folder in list(folders):
+        if not any(f"/{folder.rsplit('/', 1)[1]}/" in file for file in read):
+            where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            folders.remove(folder)
+
+
 def saved(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it back: a short lineage that outlives executors.
 
@@ -47,6 +73,8 @@ def saved(df: DataFrame) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
+    for folders in _WRITTEN:
+        folders.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
