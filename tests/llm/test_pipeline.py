@@ -55,3 +55,17 @@ def test_odd_inputs(spark, odd_docs, no_docs):
             docs = corpus_pipeline.saved(stage(spark, docs, FOLDER))
             assert docs.columns[-1] == "extra"
         assert corpus_pipeline.STAGES[-1][1](spark, docs, FOLDER).count() >= docs.count()
+
+
+def test_a_stage_removes_the_tables_of_the_one_before(spark, odd_docs):
+    from pathlib import Path
+
+    docs = odd_docs.select("doc_id", "text")
+    apart = corpus_pipeline.saved(corpus_pipeline.drop_similar(spark, docs, FOLDER))
+    needed = [Path(f.removeprefix("file://")) for f in corpus_pipeline._NEEDED]
+    assert len(needed) > 3 and all(f.exists() for f in needed)
+    lazy = corpus_pipeline.cut_repeats(spark, apart, FOLDER)
+    assert not any(f.exists() for f in needed) and lazy.count() == apart.count()
+    # What a table still reads stays.
+    unwritten = corpus_pipeline.drop_similar(spark, docs, FOLDER)
+    assert corpus_pipeline.cut_repeats(spark, unwritten, FOLDER).count() == unwritten.count() == apart.count()
