@@ -7,6 +7,7 @@ may look at data, and then at five values of a column.
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -127,11 +128,16 @@ def find_key_column(df: DataFrame, mapping: Mapping[str, str]) -> str | None:
     named = column_by_words(df.columns, config.NAME_COLUMN_WORDS)
     if named:
         return named
-    for column in string_columns(df):
-        value = quoted(column)
-        first = df.where(value.isNotNull()).select(is_blank(value).alias("blank")).take(5)
-        if first and not any(row.blank for row in first):
-            return column
+    texts = string_columns(df)
+    # The first values of every column, in one job; no more rows than columns come back.
+    heads = [
+        df.where(quoted(c).isNotNull()).select(F.lit(at).alias("at"), is_blank(quoted(c)).alias("blank")).limit(5)
+        for at, c in enumerate(texts)]
+    if heads:
+        full = reduce(DataFrame.unionByName, heads).groupBy("at").agg(F.bool_or("blank").alias("blank"))
+        given = [row["at"] for row in full.where(~F.col("blank")).collect()]
+        if given:
+            return texts[min(given)]
     return df.columns[0] if df.columns else None
 
 
