@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pathlib import PurePosixPath
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from gristmill.functions.frames import lookup_join, quoted
+
 FORMATS = {
     ".parquet": "parquet", ".orc": "orc", ".csv": "csv", ".tsv": "csv",
     ".json": "json", ".jsonl": "json", ".ndjson": "json",
@@ -43,9 +45,27 @@ def read_table(
     return reader.options(**options).load(path)
 
 
-def read_with_position(spark: SparkSession, path: str, **options) -> DataFrame:
-    """A Parquet table with each row's 0-based place in its file as ``row_position``."""
-    return read_table(spark, path, **options).select("*", F.col("_metadata.row_index").alias("row_position"))
+def read_with_position(spark: SparkSession, path: str, format: str | None = None, **options) -> DataFrame:
+    """A table with each row's 0-based place in its file as ``row_position``.
+
+    Parquet knows its rows' places.  Of other formats each part of a file that a task reads is
+    counted first; a row's place is its place in its part and the rows of the parts before it.
+    It does not depend on how files are cut into parts.  Blank lines and headers are no rows.
+    """
+    format = format or table_format(path)
+    table = read_table(spark, path, format=format, **options)
+    if format == "parquet":
+        return table.select("*", F.col("_metadata.row_index").alias("row_position"))
+    part = ["__file", "__start"]
+    rows = table.select(
+        "*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__start"),
+        F.monotonically_increasing_id().alias("__at"))
+    counts = rows.groupBy(*part).agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    in_file = Window.partitionBy("__file").orderBy("__start")
+    # One row for each part of a file.
+    shifts = counts.select(*part, (F.sum("__n").over(in_file) - F.col("__n") - F.col("__first")).alias("__shift"))
+    placed = lookup_join(rows, shifts, part, "inner")
+    return placed.select(*[quoted(c) for c in table.columns], (F.col("__at") + F.col("__shift")).alias("row_position"))
 
 
 def read_folder(spark: SparkSession, path: str, format: str, **options) -> DataFrame:

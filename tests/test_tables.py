@@ -169,6 +169,29 @@ def test_split(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out" / "summary")).count() == 3
 
 
+def test_row_numbers_of_text_files(spark, tmp_path):
+    """Places of rows in CSV and JSON files, however the files are cut."""
+    folder = tmp_path / "many"
+    folder.mkdir()
+    lines = [f"{i},{'x' * (i % 40)}" for i in range(3000)]
+    lines.insert(100, "")  # a blank line is no row
+    (folder / "a.csv").write_text("n,t\n" + "\n".join(lines) + "\n")
+    (folder / "b.csv").write_text("n,t\n" + "\n".join(f"{5000 + i},y" for i in range(500)) + "\n")
+    (tmp_path / "c.jsonl").write_text("".join(f'{{"n": {i}}}\n' for i in range(2000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in (before, "7000b", "1000b"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            rows = tables.read_with_position(spark, str(folder), format="csv", schema="n int, t string")
+            assert rows.columns == ["n", "t", "row_position"]
+            got = {r.n: r.row_position for r in rows.collect()}
+            assert got == {**{i: i for i in range(3000)}, **{5000 + i: i for i in range(500)}}
+            rows = tables.read_with_position(spark, str(tmp_path / "c.jsonl"))
+            assert all(r.n == r.row_position for r in rows.collect()) and rows.count() == 2000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_failed_load_leaves_the_catalogue(spark, tmp_path):
     F = fuzzy.F
     up = spark.range(100).select(F.concat(F.lit("V"), "id").alias("v"), F.lit("Maize").alias("c"),
