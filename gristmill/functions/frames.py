@@ -85,23 +85,39 @@ def lookup_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str
     return left.join(right, [digest, *keys], how).drop(digest)
 
 
+#: Temporary folders of local sessions that name none.
+_LOCAL_FOLDERS: dict[str, str] = {}
+
+
 def _shared_folder(spark: SparkSession) -> str:
     """The folder that ``spark.checkpoint.dir`` names; a local session without it gets a temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="checkpoints-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    name = spark.sparkContext.applicationId
+    if name not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[name] = "file://" + tempfile.mkdtemp(prefix="checkpoints-")
+    return _LOCAL_FOLDERS[name]
+
+
+def _own_folder(spark: SparkSession) -> str:
+    return f"{_shared_folder(spark)}/gristmill/tables/{spark.sparkContext.applicationId}"
 
 
 def materialised(df: DataFrame) -> DataFrame:
     """The table written to the shared folder and read back: computed once, with a short lineage.
 
-    For steps that need the result of the one before; it survives lost executors.
+    For steps that need the result of the one before; it survives lost executors.  It stays until
+    :func:`remove_materialised`, as results may still read it.
     """
-    spark = df.sparkSession
-    path = f"{_shared_folder(spark)}/gristmill/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    path = f"{_own_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove_materialised(spark: SparkSession) -> None:
+    """Remove all tables that this application has materialised, once their results are written."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

@@ -169,6 +169,40 @@ def test_split(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out" / "summary")).count() == 3
 
 
+def test_materialised_tables_can_be_removed(spark, tmp_path, monkeypatch):
+    from pathlib import Path
+
+    from gristmill.functions import frames
+
+    monkeypatch.setattr(frames, "_shared_folder", lambda spark: str(tmp_path))
+    kept = frames.materialised(spark.range(5))
+    folder = Path(frames._own_folder(spark))
+    assert kept.count() == 5 and len(list(folder.iterdir())) == 1 and tmp_path in folder.parents
+    frames.remove_materialised(spark)
+    frames.remove_materialised(spark)
+    assert not folder.exists()
+
+
+class Unset:
+    """A session that names no folder."""
+
+    def __init__(self, spark, master):
+        self.conf, self.sparkContext = self, self
+        self.applicationId, self.master = spark.sparkContext.applicationId, master
+
+    def get(self, name, default):
+        return default
+
+
+def test_shared_folder_of_sessions_that_name_none(spark):
+    from gristmill.functions import frames
+
+    folder = frames._shared_folder(Unset(spark, "local[2]"))
+    assert folder.startswith("file:///") and folder == frames._shared_folder(Unset(spark, "local[2]"))
+    with pytest.raises(ValueError):
+        frames._shared_folder(Unset(spark, "spark://host:7077"))
+
+
 def test_row_numbers_of_text_files(spark, tmp_path):
     """Places of rows in CSV and JSON files, however the files are cut."""
     folder = tmp_path / "many"
