@@ -18,6 +18,8 @@ from gristmill.functions.frames import cell_text, lookup_join, percent, present,
 
 ROWS = "__rows"
 DELIMITERS = "[;,|]"
+#: The values of a name with more rows than this are counted apart, in many tasks.
+OFTEN = 100_000
 
 
 def merge_lists(values: Column) -> Column:
@@ -26,11 +28,9 @@ def merge_lists(values: Column) -> Column:
     return F.nullif(F.array_join(members, "; "), F.lit(""))
 
 
-def is_own(value: Column, own: Column | str) -> Column:
-    """Whether a list member is the table's own country, compared in clean form."""
-    own = F.lit(own) if isinstance(own, str) else own
-    same = (own != "") & (text.clean_text(value) == text.clean_text(own))
-    return F.coalesce(same, F.lit(False))
+def is_own(value: Column, own: Column) -> Column:
+    """Whether a list member is the table's own country, given in clean form; an empty one owns nothing."""
+    return (own != "") & (text.clean_text(value) == own)
 
 
 def looks_numeric(value: Column) -> Column:
@@ -62,65 +62,92 @@ def catalogue_summary(
 
     Lookups are ``K:crop||name``, ``N:name`` and, with the count alone, ``E:name``.  Only those
     in ``asked`` (a table with the column ``lookup``) are summed up: rows that nothing asks for
-    leave before their fields are expanded.
+    leave before their fields are looked at.  Names are counted first, which answers ``E``.
     """
     fields = present(catalogue, fields)
-
-    def entry(field: str, value: Column) -> Column:
-        return F.struct(F.lit(field).alias("field"), value.alias("value"))
-
     listed = [f for f in fields if f in merged]
-    cells = [entry(f, cell_text(catalogue, f)) for f in fields]
-    if country is not None and country in catalogue.columns:
-        # every match adds its own country to the list
-        cells += [entry(f, cell_text(catalogue, country)) for f in listed]
-    members = F.when(F.col("field").isin(*listed), F.split("value", DELIMITERS)).otherwise(
-        F.array("value")) if listed else F.array("value")
+    # every match adds its own country to the list
+    home = [cell_text(catalogue, country)] if country is not None and country in catalogue.columns else []
+    raw = {f: f"__raw_{i}" for i, f in enumerate(fields)}
     # Keys first, on their own: below the expansion they are computed once per row.
     keyed = catalogue.select(
         (F.lit("") if crop is None else text.key_text(cell_text(catalogue, crop))).alias("crop_key"),
         text.key_text(cell_text(catalogue, name)).alias("name_key"),
-        F.array(entry(ROWS, F.lit(".")), *cells).alias("cells"),
-    ).where(F.col("name_key") != "")  # a name of punctuation alone is no name
-    lookups = keyed.select(
+        *[cell_text(catalogue, f).alias(c) for f, c in raw.items()], *[c.alias("__home") for c in home])
+    # A name of punctuation alone is no name; nobody asks for one.
+    named = F.col("name_key") != "" if asked is None else F.lit(True)
+    counts = keyed.where(named).groupBy("name_key").agg(F.count(F.lit(1)).alias("n"))
+    often = counts.where(F.col("n") > OFTEN).agg(F.collect_list("name_key")).scalar()
+    known = counts.select(F.concat(F.lit("E:"), "name_key").alias("lookup"), F.col("n").alias("match_count"))
+    lookups = keyed.where(named).select(
         F.explode(F.array(
-            F.concat(F.lit("K:"), "crop_key", F.lit("||"), "name_key"),
-            F.concat(F.lit("N:"), "name_key"), F.concat(F.lit("E:"), "name_key"),
-        )).alias("lookup"), "cells")
+            F.concat(F.lit("K:"), "crop_key", F.lit("||"), "name_key"), F.concat(F.lit("N:"), "name_key"),
+        )).alias("lookup"), F.array_contains(often, F.col("name_key")).alias("__often"),
+        *raw.values(), *["__home" for _ in home])
     if asked is not None:
-        lookups = lookup_join(lookups, asked.select("lookup").distinct(), ["lookup"], "left_semi")
-    per_lookup = (
-        lookups.select("lookup", F.when(F.col("lookup").startswith("E:"), F.slice("cells", 1, 1))
-                       .otherwise(F.col("cells")).alias("cells"))
-        .select("lookup", F.inline("cells"))
-        .where(F.col("value").isNotNull())
-        .select("lookup", "field", F.explode(members).alias("value"))
-        .withColumn("value", text.strip("value"))
-        .where(F.col("value") != "")
-        .groupBy("lookup", "field", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    if own_country is not None:
-        in_list = F.col("field").isin(*merged)
-        per_lookup = per_lookup.where(~(in_list & is_own(F.col("value"), own_country)))
+        wanted = asked.select("lookup").distinct()
+        lookups = lookup_join(lookups, wanted, ["lookup"], "left_semi")
+        known = lookup_join(known, wanted, ["lookup"], "inner")
+
+    # What a row says of a field: a filled text, or a list whose members are parted at the end.
+    said = {f: f"__said_{i}" for i, f in enumerate(fields)}
+    rows = lookups.select("lookup", "__often", *[
+        F.nullif(F.concat_ws(";", c, *["__home" for _ in home]) if f in listed else text.strip(c), F.lit("")).alias(said[f])
+        for f, c in raw.items()])
+
+    def packet(field: str | None, value: Column, wide: bool = False) -> Column:
+        return F.struct(F.lit(field).cast("string").alias("field"), value.cast("string").alias("value"), *[
+            (F.col(c) if wide else F.lit(None).cast("string")).alias(c) for c in said.values()])
+
+    # A row is one packet with all its fields.  Those of a frequent name are taken apart, so that
+    # however many values such a name has, they are counted in many tasks.
+    packets = rows.select("lookup", F.inline_outer(F.when(F.col("__often"), F.array(
+        packet(ROWS, F.lit(".")), *[packet(f, F.col(c)) for f, c in said.items()],
+    )).otherwise(F.array(packet(None, F.lit(None), True)))))
+
+    def gathered(field: str, i: int) -> list[Column]:
+        value = F.col(said[field])
+        if field in merged:
+            return [F.collect_set(value).alias(f"__members_{i}")]
+        found = [F.mode(value, True).alias(f"__mode_{i}")]
+        if field in largest:
+            number = F.when(looks_numeric(value), parsed_number(value))
+            found += [F.max(number).alias(f"__top_{i}"),
+                      F.count_if(looks_numeric(value) & number.isNull()).alias(f"__unreadable_{i}")]
+        return found
 
-    def best(field: str) -> Column:
-        here = F.col("field") == field
-        # most frequent value, the smallest one on a tie
-        mode = F.min(F.when(here, F.struct((-F.col("n")).alias("n"), F.col("value")))).getField("value")
+    per_lookup = packets.groupBy("lookup", "field", "value").agg(
+        F.count(F.lit(1)).alias("n"), *[c for i, f in enumerate(fields) for c in gathered(f, i)])
+
+    def best(field: str, i: int) -> Column:
+        here = (F.col("field") == field) & F.col("value").isNotNull()
         if field in merged:
-            return merge_lists(F.collect_list(F.when(here, F.col("value"))))
+            return F.concat(F.flatten(F.collect_list(f"__members_{i}")), F.collect_list(F.when(here, F.col("value"))))
+        # most frequent value, the smallest one on a tie
+        counted = F.min(F.when(here, F.struct((-F.col("n")).alias("n"), F.col("value")))).getField("value")
+        mode = F.coalesce(F.max(f"__mode_{i}"), counted)
         if field in largest:
             numeric = here & looks_numeric(F.col("value"))
-            unreadable = F.count_if(numeric & parsed_number(F.col("value")).isNull())
-            top = F.max(F.when(numeric, parsed_number(F.col("value"))))
+            unreadable = F.sum(f"__unreadable_{i}") + F.count_if(numeric & parsed_number(F.col("value")).isNull())
+            top = F.max(F.coalesce(F.col(f"__top_{i}"), F.when(numeric, parsed_number(F.col("value")))))
             return F.when((unreadable == 0) & top.isNotNull(), text.python_float_text(top)).otherwise(mode)
         return mode
 
-    return per_lookup.groupBy("lookup").agg(
-        F.sum(F.when(F.col("field") == ROWS, F.col("n"))).alias("match_count"),
-        *[best(f).alias(f"best_{f}") for f in fields],
+    summed = per_lookup.groupBy("lookup").agg(
+        F.sum(F.when(F.col("field").isNull() | (F.col("field") == ROWS), F.col("n"))).alias("match_count"),
+        *[best(f, i).alias(f"best_{f}") for i, f in enumerate(fields)],
     )
+    if listed:
+        own = F.lit(own_country) if isinstance(own_country, str) or own_country is None else own_country
+        summed = summed.withColumn("__own", text.clean_text(own))
+
+    def parted(lists: Column) -> Column:
+        members = F.array_distinct(F.transform(F.split(F.array_join(lists, ";"), DELIMITERS), text.strip))
+        return merge_lists(F.filter(members, lambda v: (v != "") & ~is_own(v, F.col("__own"))))
+
+    return summed.select("lookup", "match_count", *[
+        (parted(quoted(f"best_{f}")) if f in listed else quoted(f"best_{f}")).alias(f"best_{f}") for f in fields
+    ]).union(known.select("lookup", "match_count", *[F.lit(None).cast("string") for _ in fields]))
 
 
 def match_and_fill(
