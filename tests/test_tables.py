@@ -418,6 +418,25 @@ def test_few_pairs_fetch_whole_vectors(spark):
     assert fuzzy.candidates(index.vectors, vectors, 0.5).count() < 2 * final
 
 
+def test_pairs_meet_in_memory(spark, monkeypatch):
+    """No pair is shuffled to be counted, and none is lost between the parts of the tables."""
+    names = made_names(300, 6) + ["ab", "ab ab"]
+    table = spark.createDataFrame(list(enumerate(names)), "i int, name string")
+    asked = spark.createDataFrame([(n[:-3] + n[-2:],) for n in names], "q string")
+    index = fuzzy.fit_names(table, "name", "i")
+    vectors = fuzzy._asked(asked, "q", index).withColumn("need", fuzzy.F.lit(0.2))
+    plan = fuzzy.candidates(index.vectors, vectors, 0.2)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
+    ours, theirs = ({r.id: {t.gram: t.weight for t in r.unit} for r in t.collect()} for t in (index.vectors, vectors))
+    cosines = {(q, n): sum(w * y.get(g, 0.0) for g, w in x.items()) for q, x in theirs.items() for n, y in ours.items()}
+    want = {pair for pair, cosine in cosines.items() if cosine >= 0.2}
+    monkeypatch.setattr(fuzzy, "PART_ROWS", 64)
+    for common in (0, 5, 512):
+        monkeypatch.setattr(fuzzy, "COMMON", common)
+        got = {(r.query, r.candidate) for r in fuzzy.candidates(index.vectors, vectors, 0.2).collect()}
+        assert want <= got and all(cosines[pair] >= 0.2 - 1e-4 for pair in got)
+
+
 def test_characters_bound_the_similarity(spark):
     """No pair is lost by the bound, and most pairs need no subsequence at all."""
     from gristmill.functions.similarity import best_similarity
@@ -516,6 +535,26 @@ def test_fill_names_counts_and_numbers(spark):
     assert plan.count("LeftSemi") == 1 and plan.index("Generate inline") < plan.index("LeftSemi")
 
 
+def test_fill_sums_up_rows_not_cells(spark, monkeypatch):
+    """A catalogue row is one row up to its sum, unless its name is frequent; the results are the same."""
+    catalogue = spark.createDataFrame(
+        [(c, n, k, y, s, o) for i, (c, n) in enumerate([("m", "a b"), ("m", "A  B"), ("b", "a b"), ("m", "z")] * 3)
+         for k, y, s, o in [("KE" if i % 2 else "UG", ["7", "1.2.3", "high", None][i % 4], "ts"[i % 2], ["X; Y|KE", " ; ", None][i % 3])]],
+        MASTER)
+    rows = spark.createDataFrame([("m", "A B"), (None, "a b"), ("b", "a b"), ("x", "a b"), ("m", "z"), (None, "%")], "c string, v string")
+    fields = ["yield_mt_ha", "seed_type", "other_countries_of_release"]
+
+    def filled():
+        return fill.match_and_fill(rows, catalogue, fields, "c", "v", own_country="ke")
+
+    plan = filled()._jdf.queryExecution().optimizedPlan().toString()
+    assert "mode(" in plan and "generate explode(split" not in plan.lower()
+    got = sorted(map(str, filled().collect()))
+    assert "other_countries_of_release='UG; X; Y', match_status='success', match_type='crop_and_variety', match_count=6" in str(got)
+    monkeypatch.setattr(fill, "OFTEN", 2)
+    assert sorted(map(str, filled().collect())) == got
+
+
 def test_facets_have_no_cap(spark):
     df = spark.range(250).select((F.col("id") % 150).cast("string").alias("v"))
     assert facets.facet_table(df).count() == 150
