@@ -6,6 +6,7 @@ on all rows that the one before it kept, and all but the last return the columns
 
 A stage's result is written before the next stage begins.  That one then removes the tables which
 the stage before it needed on the way, so the shared folder holds those of one stage at a time.
+Python gets at most ``BATCH_ROWS`` rows at once: whole texts lie there and in Spark several times over.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from gristmill.llm.shared import CLEANUP, remove_unread, saved, written
 
 #: Sequential fitting, similarity of sets and packing have no SQL form.
 ORACLE_SQL = None
-WINDOW = 20
+WINDOW, BATCH_ROWS = 20, 1000
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 #: Folders of the tables that the last stage needed on the way.
 _NEEDED: list[str] = []
@@ -34,6 +35,7 @@ def stage(work: Stage) -> Stage:
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         remove_unread(_NEEDED, docs)
         spark.conf.set(CLEANUP, "true")
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
         with written() as folders:
             result = work(spark, docs, sf_dir)
         if run_stage is not STAGES[-1][1]:  # nothing tells when the last result has been read

@@ -54,8 +54,8 @@ ANSWER_WORDS = 5
 #: One and a half times an item of so many words lies in one passage, wherever it begins.
 SHORT = 22
 ROUNDING = 1e-9
-#: Entries that are multiplied at once.
-SLICE = 20_000
+#: Entries that are multiplied at once, and bytes of text: their rows of numbers stay in a core's cache.
+SLICE, CHUNK = 2_000, 1 << 20
 
 
 @dataclass(frozen=True)
@@ -142,7 +142,7 @@ def _counted(space: Space):
         counts, texts = np.zeros(len(space.vocabulary), dtype=np.int64), 0
         for batch in batches:
             texts += batch.num_rows
-            for row, end, raw, at in win.chunks(batch.column(0)):
+            for row, end, raw, at in win.chunks(batch.column(0), CHUNK):
                 hashes, first = words_of(raw, at)
                 terms = space.lookup(hashes)
                 known = np.flatnonzero(terms >= 0)
@@ -225,7 +225,7 @@ def _back(space: Space, width: int, seed: int, salts: int):
         chance = random_matrix(space, width, seed)
         total = np.zeros((len(space.vocabulary), width), dtype=np.float32)
         for batch in batches:
-            for _, _, raw, at in win.chunks(batch.column(0)):
+            for _, _, raw, at in win.chunks(batch.column(0), CHUNK):
                 hashes, first = words_of(raw, at)
                 number, term, value, _ = passages(space, space.lookup(hashes), first)
                 _, runs, product = _projected(number, term, value, chance)
@@ -301,9 +301,17 @@ def common_subsequence(left: list[int], right: list[int]) -> int:
 
 
 def _held(number: np.ndarray, term: np.ndarray, table: np.ndarray, windows: int) -> np.ndarray:
-    """For each passage and column of the table the sum over the passage's distinct words."""
-    out = np.zeros((windows, table.shape[1]), dtype=np.uint8)
+    """For each passage and column of the table the sum over the passage's distinct words, 255 at most."""
     runs = blobs.runs(number)
+    if table.sum(axis=0, dtype=np.int64).max(initial=0) <= 255:  # no sum exceeds a byte: eight are added at once
+        eights = np.zeros((len(table), -(-table.shape[1] // 8) * 8), dtype=np.uint8)
+        eights[:, :table.shape[1]] = table
+        eights = eights.view(np.uint64)
+        out = np.zeros((windows, eights.shape[1]), dtype=np.uint64)
+        for some, part, heads in slices(runs, len(number)):
+            out[number[runs[some]]] = np.add.reduceat(eights[term[part]], heads, axis=0)
+        return out.view(np.uint8)[:, :table.shape[1]]
+    out = np.zeros((windows, table.shape[1]), dtype=np.uint8)
     for some, part, heads in slices(runs, len(number)):
         out[number[runs[some]]] = np.minimum(np.add.reduceat(table[term[part]], heads, axis=0, dtype=np.uint16), 255)
     return out
@@ -315,7 +323,7 @@ def _stretches(space: Space, limits: Thresholds, number, term, windows: int, of:
     held = _held(number, term, space.counts, windows).astype(np.uint16)
     wide = sizes > SHORT
     held[:-2, wide] += held[2:, wide]
-    which, piece = np.nonzero(held >= needed(limits, sizes))
+    which, piece = np.nonzero(held >= np.ceil(needed(limits, sizes)).astype(np.uint16))
     item, whole = space.pieces[piece, 0], np.array([len(w) for w in space.item_terms])
     # The answer must be around, unless so much is there that it is not asked for.
     answers = term if not len(term) else space.in_answer.any(axis=1)[term]
@@ -332,6 +340,25 @@ def needed(limits: Thresholds, size):
     return np.maximum(limits.paraphrased * size, LEAST_WORDS) - ROUNDING
 
 
+def _most_hits(space: Space, terms: np.ndarray, begin: np.ndarray, end: np.ndarray, piece: np.ndarray) -> np.ndarray:
+    """For each stretch how many words of its piece the fullest span of ``_dense_share`` holds; no subsequence is longer."""
+    out = np.zeros(len(piece), dtype=np.int64)
+    sizes = (space.pieces[:, 2] - space.pieces[:, 1])[piece]
+    for size in np.unique(sizes).tolist():
+        own, step = np.flatnonzero(sizes == size), -(-size // 2)
+        for part in np.array_split(own, max(1, 8 * len(own) // SLICE)):
+            place = begin[part, None] + np.arange(2 * PASSAGE)
+            word = terms[np.minimum(place, len(terms) - 1)]
+            hit = (place < end[part, None]) & (word >= 0) & (space.counts[word, piece[part, None]] > 0)
+            before = np.zeros((len(part), 2 * PASSAGE + 1), dtype=np.int16)
+            np.cumsum(hit, axis=1, out=before[:, 1:])
+            starts = np.maximum(1, end[part] - begin[part] - 2 * size + step)
+            for start in range(0, 2 * PASSAGE, step):
+                here = before[:, min(start + 2 * size, 2 * PASSAGE)] - before[:, start]
+                out[part] = np.maximum(out[part], np.where(start < starts, here, 0))
+    return out
+
+
 def _dense_share(words: np.ndarray, stretch: np.ndarray, held: np.ndarray, least: float) -> float:
     """The item's share of the longest common subsequence in a stretch of twice its length; 0 where it is below ``least`` words.
 
@@ -355,7 +382,9 @@ def _found(space: Space, limits: Thresholds, texts: pa.Array) -> Iterator[tuple[
     """(row, item, cosine, share of the subsequence, share of the answer) of every confirmed passage."""
     parts = np.array([len(passages_of_item(len(words))) for words in space.item_terms])
     heads = np.cumsum(parts) - parts
-    for row, _, raw, at in win.chunks(texts):
+    whole_sizes = np.array([len(words) for words in space.item_terms])
+    onto_items = space.basis @ space.items.T  # a passage's projection times the projected items, in one step
+    for row, _, raw, at in win.chunks(texts, CHUNK):
         hashes, first = words_of(raw, at)
         terms = space.lookup(hashes)
         all_number, all_term, all_value, base = passages(space, terms, first, every=True)
@@ -365,14 +394,13 @@ def _found(space: Space, limits: Thresholds, texts: pa.Array) -> Iterator[tuple[
         text_of = np.searchsorted(base, np.arange(windows), side="right") - 1
         weighed = all_value > 0
         number, term, value = all_number[weighed], all_term[weighed], all_value[weighed]
-        numbers, runs, product = _projected(number, term, value, space.basis)
-        near = np.zeros((0, len(space.item_ids)), dtype=np.float32)
+        numbers, runs, near = _projected(number, term, value, onto_items)
         if len(runs):
             # A passage's own length counts whole, also what lies outside of the latent space.
             length = np.sqrt(np.add.reduceat(value * value, runs))
-            near = [product[a:a + SLICE] @ space.items.T for a in range(0, len(product), SLICE)]
-            near = np.concatenate(near) / np.maximum(length, 1e-12)[:, None]
-            near = np.maximum.reduceat(near, heads, axis=1)
+            near /= np.maximum(length, 1e-12)[:, None]
+            if len(heads) < near.shape[1]:
+                near = np.maximum.reduceat(near, heads, axis=1)
         which, item = np.nonzero(near >= limits.cosine)
         for w, i, text in zip(which.tolist(), item.tolist(), text_of[numbers[which]].tolist()):
             words = space.item_terms[i]
@@ -388,8 +416,23 @@ def _found(space: Space, limits: Thresholds, texts: pa.Array) -> Iterator[tuple[
         rows_of = np.full(windows, -1)
         rows_of[numbers] = np.arange(len(numbers))
         which, piece = _stretches(space, limits, all_number, all_term, windows, text_of, base)
+        sizes, texts_of = (space.pieces[:, 2] - space.pieces[:, 1])[piece], text_of[which]
+        begins = first[texts_of] + (which - base[texts_of]) * STRIDE
+        ends = np.minimum(first[texts_of + 1], begins + np.where(sizes <= SHORT, PASSAGE, 2 * PASSAGE))
+        hits, least = _most_hits(space, terms, begins, ends, piece), needed(limits, sizes)
+        full = np.flatnonzero(hits >= least)
+        which, piece, texts_of, begins, ends, hits, least = (
+            x[full] for x in (which, piece, texts_of, begins, ends, hits, least))
+        # The answer of an item that is one piece; without it, more words are asked for.
+        items, lengths = space.pieces[piece, 0], whole_sizes[space.pieces[piece, 0]]
+        margin = np.maximum(AROUND, lengths)
+        short = lengths <= PASSAGE
+        answers = _answers(space, terms, np.maximum(first[texts_of], begins - margin),
+                           np.minimum(first[texts_of + 1], ends + margin), np.where(short, items, -1))
+        least = np.where(short & (answers < limits.answer), np.maximum(least, limits.copied * lengths - ROUNDING), least)
+        full = np.flatnonzero(hits >= least)
         whole: set[tuple[int, int]] = set()
-        for w, x, text in zip(which.tolist(), piece.tolist(), text_of[which].tolist()):
+        for w, x, text, least, answer in zip(*(y[full].tolist() for y in (which, piece, texts_of, least, answers))):
             i, before, after = space.pieces[x].tolist()
             words = space.item_terms[i]
             if (text, i) in whole:
@@ -398,11 +441,6 @@ def _found(space: Space, limits: Thresholds, texts: pa.Array) -> Iterator[tuple[
             width = PASSAGE if after - before <= SHORT else 2 * PASSAGE
             around = max(AROUND, len(words))
             low, high = begin, begin + width
-            least = needed(limits, after - before)
-            if len(words) <= PASSAGE:
-                answer = _answer_share(space, i, terms[max(first[text], low - around):min(end, high + around)])
-                if answer < limits.answer:
-                    least = max(least, limits.copied * len(words) - ROUNDING)
             share = _dense_share(words[before:after], terms[low:min(end, high)], space.counts[:, x], least)
             if not share:
                 continue
@@ -418,6 +456,20 @@ def _found(space: Space, limits: Thresholds, texts: pa.Array) -> Iterator[tuple[
                 yield row + text, i, float(near[rows_of[w], i]) if rows_of[w] >= 0 else 0.0, share, answer
 
 
+def _answers(space: Space, terms: np.ndarray, begin: np.ndarray, end: np.ndarray, item: np.ndarray) -> np.ndarray:
+    """For each stretch the share of its item's answer that is among the words; 0 for item -1."""
+    lengths, out = np.array([len(a) for a in space.answers]), np.zeros(len(item))
+    asked = np.flatnonzero(item >= 0)
+    for part in np.array_split(asked, max(1, 8 * len(asked) // SLICE)):
+        if len(part):
+            place = begin[part, None] + np.arange((end[part] - begin[part]).max())
+            word = terms[np.minimum(place, len(terms) - 1)]
+            row, at = np.nonzero((place < end[part, None]) & (word >= 0) & (space.in_answer[word, item[part, None]] > 0))
+            seen = np.unique(row * len(space.vocabulary) + word[row, at]) // len(space.vocabulary)
+            out[part] = np.bincount(seen, minlength=len(part)) / lengths[item[part]]
+    return out
+
+
 def _answer_share(space: Space, i: int, region: np.ndarray) -> float:
     """The share of the item's answer that is among the words."""
     there = set(region.tolist())

@@ -88,12 +88,13 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0]:at[-1]], at - at[0]
 
 
-def chunks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Runs of whole texts of about CHUNK bytes: first row, end row, bytes, starts (and the end)."""
+def chunks(column: pa.Array, size: int | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Runs of whole texts of about ``size`` (CHUNK) bytes: first row, end row, bytes, starts (and the end)."""
+    size = size or CHUNK
     raw, at = text_buffers(column)
     row, rows = 0, len(at) - 1
     while row < rows:
-        end = max(row + 1, int(np.searchsorted(at, at[row] + CHUNK, side="right")) - 1)
+        end = max(row + 1, int(np.searchsorted(at, at[row] + size, side="right")) - 1)
         yield row, end, raw[at[row]:at[end]], at[row:end + 1] - at[row]
         row = end
 

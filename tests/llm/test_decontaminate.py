@@ -1,5 +1,10 @@
 import random
 import re
+import tracemalloc
+
+import numpy as np
+import pyarrow as pa
+import pytest
 
 from gristmill.llm import decontaminate, queries
 
@@ -147,3 +152,69 @@ def test_short_items(spark):
     print("missed by length", {n: missed.count(n) for n in (5, 6, 7, 8, 10, 20)}, "others", len(found - truth))
     assert truth <= found
     assert len(found) <= 1.05 * len(truth)
+
+
+def fitted_space(spark, items, docs):
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    return next(decontaminate.spaces(frame, bench, decontaminate.Thresholds(), "item_id", "text", None))
+
+
+def test_stretches_are_sifted_at_once(spark, monkeypatch):
+    """Subsequences are looked for only where the fullest span and the answer allow one; nothing is lost by that."""
+    rng = random.Random(8)
+    usual = words_at_random(rng, 60)
+    rare = words_at_random(rng, 900)
+    say = lambda n: [rng.choice(usual) if rng.random() < 0.6 else rng.choice(rare) for _ in range(n)]
+    items = [(i, " ".join(say(rng.randint(10, 60)))) for i in range(80)]
+    docs = [(d, " ".join(say(200) + (items[d % 80][1].split() if d % 5 == 0 else []) + say(200))) for d in range(100)]
+    space, limits = fitted_space(spark, items, docs), decontaminate.Thresholds()
+    texts, calls, dense = pa.array([t for _, t in docs]), [], decontaminate._dense_share
+    monkeypatch.setattr(decontaminate, "_dense_share", lambda *a: calls.append(1) or dense(*a))
+    found = {(r, i) for r, i, *_ in decontaminate._found(space, limits, texts)}
+    assert {(d, d % 80) for d in range(0, 100, 5)} <= found
+    sifted = len(calls)
+    # Without the sieve: the same findings from many more stretches.
+    monkeypatch.setattr(decontaminate, "_most_hits", lambda s, t, b, e, piece: np.full(len(piece), 1 << 20))
+    assert {(r, i) for r, i, *_ in decontaminate._found(space, limits, texts)} == found
+    assert sifted < 0.2 * (len(calls) - sifted)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_sieve_of_stretches(spark, seed):
+    rng = random.Random(seed)
+    words = words_at_random(rng, 40)
+    items = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(5, 60)))) for i in range(20)]
+    text = " ".join(rng.choice(words) if rng.random() < 0.7 else "other" for _ in range(500))
+    space = fitted_space(spark, items, [(1, text)])
+    terms = space.lookup(decontaminate._hashes(text))
+    begin = np.array([rng.randrange(480) for _ in range(200)])
+    end = np.minimum(begin + np.array([rng.choice([64, 128]) for _ in range(200)]), len(terms))
+    piece = np.array([rng.randrange(len(space.pieces)) for _ in range(200)])
+    hits = decontaminate._most_hits(space, terms, begin, end, piece)
+    item = np.where(np.arange(200) % 7 == 0, -1, space.pieces[piece, 0])
+    answers = decontaminate._answers(space, terms, begin, end, item)
+    for b, e, x, h, i, a in zip(begin, end, piece, hits, item, answers):
+        own, low, high = space.item_terms[space.pieces[x, 0]], *space.pieces[x, 1:]
+        share = decontaminate._dense_share(own[low:high], terms[b:e], space.counts[:, x], 1)
+        assert round(share * (high - low)) <= h <= (terms[b:e] >= 0).sum()
+        assert a == (0 if i < 0 else decontaminate._answer_share(space, i, terms[b:e]))
+
+
+def test_memory_of_a_batch(spark):
+    """Working on 4 MB of texts takes some 10 times a chunk's bytes, whatever the batch."""
+    rng = random.Random(9)
+    items = [(i, " ".join(words_at_random(rng, 30))) for i in range(200)]
+    used = [w for _, t in items for w in t.split()]
+    texts = [" ".join(rng.choice(used) for _ in range(300)) for _ in range(2000)]
+    space = fitted_space(spark, items, list(enumerate(texts))[:100])
+    column = pa.array(texts)
+    for _ in decontaminate._found(space, decontaminate.Thresholds(), column[:50]):
+        pass
+    tracemalloc.start()
+    for _ in decontaminate._found(space, decontaminate.Thresholds(), column):
+        pass
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    print("peak MB", peak)
+    assert peak < 80

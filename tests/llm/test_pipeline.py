@@ -69,3 +69,12 @@ def test_a_stage_removes_the_tables_of_the_one_before(spark, odd_docs):
     # What a table still reads stays.
     unwritten = corpus_pipeline.drop_similar(spark, docs, FOLDER)
     assert corpus_pipeline.cut_repeats(spark, unwritten, FOLDER).count() == unwritten.count() == apart.count()
+
+
+def test_batches_of_few_rows(spark, odd_docs):
+    """Each stage's Python gets few whole texts at once."""
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        stage(spark, odd_docs.select("doc_id", "text"), FOLDER)
+        assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
