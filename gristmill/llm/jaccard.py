@@ -14,8 +14,9 @@ whole sequence); two documents are linked when ``PARTS * common >= SHARE * toget
    sizes, leaves of about ``LEAF`` documents, each with the OR of its members' bitmaps, its range
    of sizes and of components, and the most shingles that a member has from the root's on.  Pairs
    of nodes are followed downwards from the root as long as their sizes, their components and the
-   largest overlap that bitmaps and remaining shingles allow let them; what reaches documents is
-   checked exactly.
+   largest overlap that bitmaps and remaining shingles allow let them.  Of the documents met there,
+   the likeliest pairs that would connect them (a forest, so no more than documents) are checked
+   exactly first, and again as long as links are found; then all pairs between what is still apart.
 5. Components of the links by alternating stars.
 
 Equal sets count as one until the end, so copies cost one lookup each.
@@ -43,7 +44,7 @@ from pyspark.sql import functions as F
 from gristmill.functions.frames import lookup_join
 from gristmill.llm import blobs
 from gristmill.llm import windows as win
-from gristmill.llm.shared import components, partitions, saved, session_of
+from gristmill.llm.shared import components, partitions, remove_unread, saved, session_of, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -381,9 +382,7 @@ def _narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _leaves(members: DataFrame) -> DataFrame:
     """The leaves of the trees: sizes, components, fewest bits, OR of the bitmaps."""
-    split = members.select("token", "band", "leaf", "n", "rest", "component", "bits").mapInArrow(
-        _narrow, "token long, band int, leaf int, n long, rest long, component long, w array<long>")
-    return split.groupBy("token", "band", "leaf").agg(
+    return members.groupBy("token", "band", "leaf").agg(
         F.min("n").alias("low_n"), F.max("n").alias("high_n"), F.max("rest").alias("most"),
         F.min("component").alias("low_c"), F.max("component").alias("high_c"),
         F.min(F.aggregate("w", F.lit(0), lambda s, x: s + F.bit_count(x))).alias("fewest"),
@@ -413,26 +412,31 @@ def _node_pairs(nodes: DataFrame, keys: list[str], above: DataFrame | None) -> D
         "token", *[f"{s}_{k}" for s in "xy" for k in names])
 
 
-def _document_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _document_pairs(sparing: bool):
     """Pairs of documents of two leaves that bitmaps, sizes and components leave possible.
 
     A pair of leaves has its documents in neighbouring rows; the last one of a batch waits for the next.
+    ``sparing``: only a forest of them; ``more`` tells that a pair of leaves has others.
     """
-    rest = None
-    for rows in batches:
-        rows = rows if rest is None else pd.concat([rest, rows], ignore_index=True)
-        pair = rows["pair"].to_numpy()
-        edges = np.append(blobs.runs(pair), len(pair)) if len(pair) else np.zeros(1, dtype=int)
-        rest = rows.iloc[edges[-2]:] if len(edges) > 1 else None
-        yield _met(rows.iloc[:edges[-2]] if len(edges) > 1 else rows, edges[:-1])
-    if rest is not None:
-        yield _met(rest.reset_index(drop=True), np.array([0, len(rest)]))
-
-
-def _met(rows: pd.DataFrame, edges: np.ndarray) -> pd.DataFrame:
-    found = [np.zeros((0, 2), dtype=np.int64)]
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for rows in batches:
+            rows = rows if rest is None else pd.concat([rest, rows], ignore_index=True)
+            pair = rows["pair"].to_numpy()
+            edges = np.append(blobs.runs(pair), len(pair)) if len(pair) else np.zeros(1, dtype=int)
+            rest = rows.iloc[edges[-2]:] if len(edges) > 1 else None
+            yield _met(rows.iloc[:edges[-2]] if len(edges) > 1 else rows, edges[:-1], sparing)
+        if rest is not None:
+            yield _met(rest.reset_index(drop=True), np.array([0, len(rest)]), sparing)
+
+    return run
+
+
+def _met(rows: pd.DataFrame, edges: np.ndarray, sparing: bool) -> pd.DataFrame:
+    found, more = [np.zeros((0, 3), dtype=np.int64)], [np.zeros(0, dtype=bool)]
     if len(rows):
-        node, n, rest, component, side = (rows[c].to_numpy() for c in ("node", "n", "rest", "component", "side"))
+        node, n, rest, component, side, pair = (
+            rows[c].to_numpy() for c in ("node", "n", "rest", "component", "side", "pair"))
         maps = rows["bits"].tolist()
         for a, b in zip(edges[:-1], edges[1:]):
             bits = folded(maps[a:b], min(map(len, maps[a:b])))
@@ -446,53 +450,105 @@ def _met(rows: pd.DataFrame, edges: np.ndarray) -> pd.DataFrame:
             alone = np.bitwise_count(bits[x] & ~other).sum(axis=1)
             own, size, left, where = node[a:b], n[a:b], rest[a:b], component[a:b]
             x = x[PARTS * (size[x] - alone) >= SHARE * size[x]]
+            likely, met = [np.zeros(0)], [np.zeros((0, 2), dtype=np.int64)]
             for i in x:
                 near = y[(where[y] != where[i])
                          & (PARTS * np.minimum(size[y], size[i]) >= SHARE * np.maximum(size[y], size[i]))]
                 most = np.minimum(left[near], left[i])
                 near = near[PARTS * most >= SHARE * (size[near] + size[i] - most)]
                 if len(near):
-                    here = _room(size[i], size[near], np.bitwise_count(bits[i] & ~bits[near]).sum(axis=1),
-                                 np.bitwise_count(bits[near] & ~bits[i]).sum(axis=1))
+                    only_x = np.bitwise_count(bits[i] & ~bits[near]).sum(axis=1)
+                    only_y = np.bitwise_count(bits[near] & ~bits[i]).sum(axis=1)
+                    here = _room(size[i], size[near], only_x, only_y)
                     near = near[here]
-                    found.append(np.column_stack([np.minimum(own[i], own[near]), np.maximum(own[i], own[near])]))
-    pairs = np.unique(np.concatenate(found), axis=0)
-    return pd.DataFrame({"u": pairs[:, 0], "v": pairs[:, 1]})
-
-
-def _tree_pairs(members: DataFrame) -> DataFrame:
-    """Dual traversal: root, bands, leaves, documents."""
+                    met.append(np.column_stack([np.full(len(near), i), near]))
+                    likely.append((only_x + only_y)[here] / (size[i] + size[near]))
+            met, kept = np.concatenate(met), slice(None)
+            if sparing:
+                kept = _forest(where[met], np.concatenate(likely))
+            ends = own[met[kept]]
+            found.append(np.column_stack([np.full(len(ends), pair[a]), ends.min(axis=1, initial=2**63 - 1), ends.max(axis=1, initial=-2**63)]))
+            more.append(np.full(len(ends), len(ends) < len(met)))
+    found = np.concatenate(found)
+    return pd.DataFrame({"pair": found[:, 0], "u": found[:, 1], "v": found[:, 2], "more": np.concatenate(more)}).drop_duplicates(["u", "v", "pair"])
+
+
+def _forest(ends: np.ndarray, cost: np.ndarray) -> np.ndarray:
+    """Places of the cheapest edges that connect as much as all of them do (Kruskal)."""
+    ends = np.sort(ends, axis=1)
+    order = np.lexsort((ends[:, 1], ends[:, 0], cost))
+    _, first = np.unique(ends[order], axis=0, return_index=True)
+    order = order[np.sort(first)]
+    home: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while home.setdefault(x, x) != x:
+            home[x] = x = home[home[x]]
+        return x
+
+    kept = []
+    for at, (x, y) in zip(order.tolist(), ends[order].tolist()):
+        x, y = find(x), find(y)
+        if x != y:
+            home[x] = y
+            kept.append(at)
+    return np.array(kept, dtype=np.int64)
+
+
+MEMBERS = ["token", "band", "leaf", "node", "n", "rest", "component"]
+
+
+def _tree_leaves(members: DataFrame, signed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Dual traversal: root, bands, leaves.  The members in their leaves, and the pairs of leaves that are left.
+
+    Bitmaps are too large to go along with every member; they are looked up where they are compared.
+    """
     members = members.withColumn("band", F.floor(F.log(F.col("n")) / math.log(BAND)).cast("int"))
     counts = members.groupBy("token", "band").agg(F.ceil(F.count(F.lit(1)) / LEAF).alias("leaves"))
     members = saved(lookup_join(members, counts, ["token", "band"], "inner").withColumn(
-        "leaf", F.pmod(F.xxhash64("node"), F.col("leaves")).cast("int")).select(
-        "token", "band", "leaf", "node", "n", "rest", "component", "bits"))
-    leaves = saved(_leaves(members))
+        "leaf", F.pmod(F.xxhash64("node"), F.col("leaves")).cast("int")).select(*MEMBERS))
+    narrow = signed.select("node", "bits").mapInArrow(_narrow, "node long, w array<long>")
+    leaves = saved(_leaves(members.join(narrow, "node")))
     bands = leaves.groupBy("token", "band").agg(
         F.min("low_n").alias("low_n"), F.max("high_n").alias("high_n"), F.max("most").alias("most"),
         F.min("low_c").alias("low_c"), F.max("high_c").alias("high_c"), F.min("fewest").alias("fewest"),
         F.array(*[F.bit_or(F.col("or")[i]) for i in range(BITS // 64)]).alias("or"))
     pairs = _node_pairs(saved(bands), ["token", "band"], None)
     pairs = saved(_node_pairs(leaves, ["token", "band", "leaf"], pairs))
-    pairs = saved(pairs.withColumn("pair", F.xxhash64(*pairs.columns)))
+    # The leaves of a small root are compared together, so that each of its documents is sent once.
+    small = members.groupBy("token").agg(F.count(F.lit(1)).alias("members")).where(f"members <= {LEAF}").select(
+        "token", F.lit(True).alias("small"))
+    pairs = lookup_join(pairs, small, ["token"], "left").withColumn(
+        "pair", F.when(F.col("small"), F.xxhash64("token")).otherwise(F.xxhash64(*pairs.columns)))
     x = pairs.select("pair", "token", F.col("x_band").alias("band"), F.col("x_leaf").alias("leaf"), F.lit(0).alias("side"))
     y = pairs.where("x_band <> y_band or x_leaf <> y_leaf").select(
-        "pair", "token", F.col("y_band").alias("band"), F.col("y_leaf").alias("leaf"), F.lit(1).alias("side"))
-    placed = x.union(y).join(members, ["token", "band", "leaf"]).select("pair", "side", "node", "n", "rest", "component", "bits")
+        "pair", "token", F.col("y_band").alias("band"), F.col("y_leaf").alias("leaf"),
+        F.when(F.col("small"), 0).otherwise(1).alias("side"))
+    return members, saved(x.union(y).distinct())
+
+
+def _leaf_pairs(members: DataFrame, places: DataFrame, signed: DataFrame, sparing: bool) -> DataFrame:
+    """``pair, u, v, more``: documents of the pairs of leaves that may be similar."""
+    placed = places.join(members, ["token", "band", "leaf"]).select("pair", "side", "node", "n", "rest", "component")
+    placed = placed.join(signed.select("node", "bits"), "node")
     buckets = partitions(session_of(members))
-    return placed.repartition(buckets, "pair").sortWithinPartitions("pair").mapInPandas(
-        _document_pairs, "u long, v long").distinct()
+    return saved(placed.repartition(buckets, "pair").sortWithinPartitions("pair").mapInPandas(
+        _document_pairs(sparing), "pair long, u long, v long, more boolean"))
 
 
 def similar(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row."""
     docs = docs.select("doc_id", "text")
     levels = frequency_levels(docs.select("text"))
-    sets = saved(docs.mapInArrow(_describe(levels), SETS))
-    roots = _roots(sets)
-    # Of each class of equal sets, the row with the smallest doc_id stands for it.
-    classes = saved(sets.where("n > 0 and doc_id is not null").groupBy("a", "b").agg(
-        F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("bits").alias("bits")))
+    with written() as folders:
+        sets = saved(docs.mapInArrow(_describe(levels), SETS))
+        roots = _roots(sets)
+        # Of each class of equal sets, the row with the smallest doc_id stands for it.
+        classes = saved(sets.where("n > 0 and doc_id is not null").groupBy("a", "b").agg(
+            F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("bits").alias("bits")))
+        sets = saved(sets.select("doc_id", "n", "a", "b"))
+    # First shingles and what was made of them on the way to the roots are not read again.
+    remove_unread(folders, sets.crossJoin(classes).crossJoin(roots))
     signed = saved(lookup_join(classes, roots.select(F.col("alias").alias("a")).distinct(), ["a"], "left_semi"))
     members = saved(roots.join(signed.select(F.col("a").alias("alias"), "node", "n"), "alias")
                     .select("token", "node", "n", "rest", F.col("node").alias("component")).distinct())
@@ -504,13 +560,29 @@ def similar(docs: DataFrame) -> DataFrame:
         read = _whole_sets(docs, signed, pairs)
         links = _links(pairs, read)
         members = _with_components(members, links)
-    open_ = lookup_join(_open_roots(members), signed.select("node", "bits"), ["node"], "inner")
-    pairs = saved(_tree_pairs(open_))
-    if pairs.head(1):
-        known = read.select(F.col("node").alias("known"))
-        new = pairs.join(known, F.col("u") == F.col("known"), "left_anti").select("u", F.col("u").alias("v")).union(
-            pairs.join(known, F.col("v") == F.col("known"), "left_anti").select("v", F.col("v").alias("u")))
-        links = links.union(_links(pairs, read.union(_whole_sets(docs, signed, new))))
+    members, places = _tree_leaves(_open_roots(members), signed)
+    tested, sparing = None, True
+    while places.head(1):
+        met = _leaf_pairs(members, places, signed, sparing)
+        pairs = met.select("u", "v").distinct()
+        pairs = saved(pairs if tested is None else pairs.join(tested, ["u", "v"], "left_anti"))
+        linked = None
+        if pairs.head(1):
+            known = read.select(F.col("node").alias("known"))
+            new = pairs.join(known, F.col("u") == F.col("known"), "left_anti").select("u", F.col("u").alias("v")).union(
+                pairs.join(known, F.col("v") == F.col("known"), "left_anti").select("v", F.col("v").alias("u")))
+            read = read.union(_whole_sets(docs, signed, new))
+            linked = _links(pairs, read)
+            links = links.union(linked)
+        if not sparing:
+            break
+        # Where pairs were left out, what is still apart is met again; without new links, in all pairs.
+        places = saved(lookup_join(places, met.where("more").select("pair").distinct(), ["pair"], "left_semi"))
+        tested = pairs if tested is None else tested.union(pairs)
+        if linked is None or not linked.head(1):
+            sparing = False
+        else:
+            members = _with_components(members, links)
     found = components(links)
     belongs = saved(classes.join(found, "node", "left").select(
         "a", "b", F.coalesce("component", "node").alias("component")))

@@ -3,6 +3,7 @@ import re
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from gristmill.llm import jaccard
@@ -92,3 +93,33 @@ def test_first_of_frequent_shingles_stays(spark):
     sets = spark.createDataFrame([(i, 10, 100 + i, 0, bytearray(keys.tobytes()), bytearray(128)) for i in (1, 2)], jaccard.SETS)
     roots = sorted(tuple(r) for r in jaccard._roots(sets).select("token", "alias", "rest").collect())
     assert roots == [((3 << 60) + 5, 101, 10), ((3 << 60) + 5, 102, 10)]
+
+
+def test_pairs_of_a_leaf_grow_with_its_documents():
+    """Of a group of near copies a forest is checked first, not all pairs; the whole list can be had."""
+    count = 100
+    rows = pd.DataFrame({
+        "pair": [7] * count, "side": [0] * count, "node": range(count), "n": [50] * count, "rest": [50] * count,
+        "component": [i // 2 for i in range(count)], "bits": [b"\x01" * 128] * count})
+    found = list(jaccard._document_pairs(True)(iter([rows])))
+    spared = pd.concat(found)
+    assert len(spared) == count // 2 - 1 and spared["more"].all()
+    assert len(pd.concat(list(jaccard._document_pairs(False)(iter([rows]))))) == count * (count - 2) // 2
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_forest(seed):
+    rng = np.random.default_rng(seed)
+    ends, cost = rng.integers(0, 40, (60, 2)), rng.random(60)
+    ends, cost = ends[ends[:, 0] != ends[:, 1]], cost[ends[:, 0] != ends[:, 1]]
+
+    def parts(edges):
+        home = {i: i for i in range(40)}
+        for _ in range(40):
+            for u, v in edges.tolist():
+                home[u] = home[v] = min(home[u], home[v])
+        return home
+
+    kept = jaccard._forest(ends, cost)
+    assert parts(ends[kept]) == parts(ends)
+    assert len(kept) == 40 - len(set(parts(ends).values()))
