@@ -14,9 +14,11 @@ whole sequence); two documents are linked when ``PARTS * common >= SHARE * toget
    sizes, leaves of about ``LEAF`` documents, each with the OR of its members' bitmaps, its range
    of sizes and of components, and the most shingles that a member has from the root's on.  Pairs
    of nodes are followed downwards from the root as long as their sizes, their components and the
-   largest overlap that bitmaps and remaining shingles allow let them.  Of the documents met there,
-   the likeliest pairs that would connect them (a forest, so no more than documents) are checked
-   exactly first, and again as long as links are found; then all pairs between what is still apart.
+   largest overlap that bitmaps and remaining shingles allow let them.  Documents met there are
+   compared by their bitmaps again, each two with all the bits that both have.  What is left is
+   checked exactly: all of it where that is a few pairs for each document, else the likeliest pairs
+   that would connect them (a forest, so no more than documents), and again as long as links are
+   found; then all pairs between what is still apart.
 5. Components of the links by alternating stars.
 
 Equal sets count as one until the end, so copies cost one lookup each.
@@ -52,6 +54,8 @@ SHINGLE, SHARE, PARTS = 5, 80, 100
 COUNTERS, COUNTER_BLOCK, LEVEL_BITS = 18, 4096, 4
 #: Bits of a tree node's bitmap, and the fewest of a document's, which has 2 to 4 for each shingle.
 BITS, LEAF, BAND, LEADERS = 1024, 256, 1.25, 2
+#: Pairs of leaves hand on all that may be similar up to so many pairs for each document.
+SPARED = 4
 SETS = "doc_id long, n long, a long, b long, first binary, bits binary"
 #: Up to so many identifiers are sent to all tasks that read texts; more meet the texts in a shuffle.
 SENT_IDS = 500_000
@@ -416,7 +420,8 @@ def _document_pairs(sparing: bool):
     """Pairs of documents of two leaves that bitmaps, sizes and components leave possible.
 
     A pair of leaves has its documents in neighbouring rows; the last one of a batch waits for the next.
-    ``sparing``: only a forest of them; ``more`` tells that a pair of leaves has others.
+    ``sparing``: only a forest of them where there are more than ``SPARED`` for each document; ``more``
+    tells that a pair of leaves has others.
     """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
@@ -439,40 +444,49 @@ def _met(rows: pd.DataFrame, edges: np.ndarray, sparing: bool) -> pd.DataFrame:
             rows[c].to_numpy() for c in ("node", "n", "rest", "component", "side", "pair"))
         maps = rows["bits"].tolist()
         for a, b in zip(edges[:-1], edges[1:]):
-            bits = folded(maps[a:b], min(map(len, maps[a:b])))
             x, y = np.flatnonzero(side[a:b] == 0), np.flatnonzero(side[a:b] == 1)
-            if not len(y):  # a leaf with itself
-                y = x
-            if not len(x):
-                continue
-            # A document against the whole other leaf, then against its documents.
-            other = np.bitwise_or.reduce(bits[y], axis=0)
-            alone = np.bitwise_count(bits[x] & ~other).sum(axis=1)
-            own, size, left, where = node[a:b], n[a:b], rest[a:b], component[a:b]
-            x = x[PARTS * (size[x] - alone) >= SHARE * size[x]]
-            likely, met = [np.zeros(0)], [np.zeros((0, 2), dtype=np.int64)]
-            for i in x:
-                near = y[(where[y] != where[i])
-                         & (PARTS * np.minimum(size[y], size[i]) >= SHARE * np.maximum(size[y], size[i]))]
-                most = np.minimum(left[near], left[i])
-                near = near[PARTS * most >= SHARE * (size[near] + size[i] - most)]
-                if len(near):
-                    only_x = np.bitwise_count(bits[i] & ~bits[near]).sum(axis=1)
-                    only_y = np.bitwise_count(bits[near] & ~bits[i]).sum(axis=1)
-                    here = _room(size[i], size[near], only_x, only_y)
-                    near = near[here]
-                    met.append(np.column_stack([np.full(len(near), i), near]))
-                    likely.append((only_x + only_y)[here] / (size[i] + size[near]))
-            met, kept = np.concatenate(met), slice(None)
-            if sparing:
-                kept = _forest(where[met], np.concatenate(likely))
-            ends = own[met[kept]]
+            met, differ = _near(maps[a:b], n[a:b], rest[a:b], component[a:b], x, y)
+            kept = slice(None)
+            if sparing and len(met) > SPARED * (b - a):
+                kept = _forest(component[a:b][met], differ)
+            ends = node[a:b][met[kept]]
             found.append(np.column_stack([np.full(len(ends), pair[a]), ends.min(axis=1, initial=2**63 - 1), ends.max(axis=1, initial=-2**63)]))
             more.append(np.full(len(ends), len(ends) < len(met)))
     found = np.concatenate(found)
     return pd.DataFrame({"pair": found[:, 0], "u": found[:, 1], "v": found[:, 2], "more": np.concatenate(more)}).drop_duplicates(["u", "v", "pair"])
 
 
+def _near(maps: list[bytes], n: np.ndarray, rest: np.ndarray, component: np.ndarray, x: np.ndarray, y: np.ndarray):
+    """Places of the documents of ``x`` and ``y`` that may be similar, and by what share they differ at least.
+
+    Without ``y``, those of ``x`` among themselves.  Two bitmaps are compared with the bits of the
+    shorter one of these two, whatever else lies in the leaves: in fewer, those of long texts are full.
+    """
+    alone = not len(y)
+    y = x if alone else y
+    least, both = np.minimum(n[x][:, None], n[y]), n[x][:, None] + n[y]
+    most = np.minimum(np.minimum(rest[x][:, None], rest[y]), least)
+    open_ = (component[x][:, None] != component[y]) & (PARTS * least >= SHARE * (both - least)) & (
+        PARTS * most >= SHARE * (both - most))
+    i, j = np.nonzero(np.triu(open_, 1) if alone else open_)
+    i, j = x[i], y[j]
+    size = np.array([len(m) for m in maps], dtype=np.int64)
+    width = np.minimum(size[i], size[j])
+    only = np.zeros((len(i), 2), dtype=np.int64)
+    for k in np.unique(width).tolist():
+        at = np.flatnonzero(width == k)
+        used, place = np.unique(np.concatenate([i[at], j[at]]), return_inverse=True)
+        bits = folded([maps[d] for d in used.tolist()], k)
+        own = np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
+        p, q = place[:len(at)], place[len(at):]
+        for part in np.array_split(np.arange(len(at)), max(1, len(at) * k >> 22)):
+            common = np.bitwise_count(bits[p[part]] & bits[q[part]]).sum(axis=1, dtype=np.int64)
+            only[at[part], 0], only[at[part], 1] = own[p[part]] - common, own[q[part]] - common
+    kept = _room(n[i], n[j], only[:, 0], only[:, 1])
+    i, j = i[kept], j[kept]
+    return np.column_stack([i, j]), only[kept].sum(axis=1) / (n[i] + n[j])
+
+
 def _forest(ends: np.ndarray, cost: np.ndarray) -> np.ndarray:
     """Places of the cheapest edges that connect as much as all of them do (Kruskal)."""
     ends = np.sort(ends, axis=1)
@@ -581,7 +595,7 @@ def similar(docs: DataFrame) -> DataFrame:
         tested = pairs if tested is None else tested.union(pairs)
         if linked is None or not linked.head(1):
             sparing = False
-        else:
+        elif places.head(1):
             members = _with_components(members, links)
     found = components(links)
     belongs = saved(classes.join(found, "node", "left").select(

@@ -123,3 +123,19 @@ def test_forest(seed):
     kept = jaccard._forest(ends, cost)
     assert parts(ends[kept]) == parts(ends)
     assert len(kept) == 40 - len(set(parts(ends).values()))
+
+
+def test_long_texts_are_compared_with_all_their_bits():
+    """A short text in the same leaves does not fill the bitmaps of long ones; every similar pair stays."""
+    rng = np.random.default_rng(5)
+    long = [np.sort(rng.integers(0, 2**64, 6000, dtype=np.uint64)) for _ in range(12)]
+    copies = [np.concatenate([x[:5700], rng.integers(0, 2**64, 300, dtype=np.uint64)]) for x in long[:3]]
+    sets = long + copies + [rng.integers(0, 2**64, 20, dtype=np.uint64)]
+    n = np.array([len(s) for s in sets])
+    bits = jaccard.bitmaps(np.concatenate(sets), n)
+    for side in ([0] * 16, [0] * 12 + [1] * 4):
+        rows = pd.DataFrame({
+            "pair": [7] * 16, "side": side, "node": range(16), "n": n, "rest": n, "component": range(16), "bits": bits})
+        for sparing in (True, False):
+            found = pd.concat(list(jaccard._document_pairs(sparing)(iter([rows]))))
+            assert sorted(zip(found["u"], found["v"])) == [(0, 12), (1, 13), (2, 14)] and not found["more"].any()
