@@ -350,9 +350,8 @@ def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         f"{PARTS} * common >= {SHARE} * (size(p) + size(q) - common)").select("u", "v"))
 
 
-def _with_components(members: DataFrame, links: DataFrame) -> DataFrame:
+def _with_components(members: DataFrame, found: DataFrame) -> DataFrame:
     """Members with the component that the links so far put them into."""
-    found = components(links)
     return saved(members.drop("component").join(found, "node", "left").withColumn(
         "component", F.coalesce("component", "node")))
 
@@ -568,12 +567,14 @@ def similar(docs: DataFrame) -> DataFrame:
                     .select("token", "node", "n", "rest", F.col("node").alias("component")).distinct())
     links = session_of(docs).createDataFrame([], "u long, v long")
     read = session_of(docs).createDataFrame([], "node long, set array<long>")
+    found = None  # components of the links, as long as there are no newer ones
     if LEADERS:
         pairs = reduce(DataFrame.union, [_leader_pairs(members, turn) for turn in range(LEADERS)])
         pairs = _by_bitmaps(pairs.distinct(), signed)
         read = _whole_sets(docs, signed, pairs)
         links = _links(pairs, read)
-        members = _with_components(members, links)
+        found = components(links)
+        members = _with_components(members, found)
     members, places = _tree_leaves(_open_roots(members), signed)
     tested, sparing = None, True
     while places.head(1):
@@ -589,6 +590,7 @@ def similar(docs: DataFrame) -> DataFrame:
             linked = _links(pairs, read)
             links = links.union(linked)
         if not sparing:
+            found = found if linked is None else None
             break
         # Where pairs were left out, what is still apart is met again; without new links, in all pairs.
         places = saved(lookup_join(places, met.where("more").select("pair").distinct(), ["pair"], "left_semi"))
@@ -596,8 +598,11 @@ def similar(docs: DataFrame) -> DataFrame:
         if linked is None or not linked.head(1):
             sparing = False
         elif places.head(1):
-            members = _with_components(members, links)
-    found = components(links)
+            found = components(links)
+            members = _with_components(members, found)
+        else:
+            found = None
+    found = components(links) if found is None else found
     belongs = saved(classes.join(found, "node", "left").select(
         "a", "b", F.coalesce("component", "node").alias("component")))
     rows = lookup_join(sets.select("doc_id", F.col("n").alias("n_shingles"), "a", "b"), belongs, ["a", "b"], "left")

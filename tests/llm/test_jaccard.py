@@ -139,3 +139,19 @@ def test_long_texts_are_compared_with_all_their_bits():
         for sparing in (True, False):
             found = pd.concat(list(jaccard._document_pairs(sparing)(iter([rows]))))
             assert sorted(zip(found["u"], found["v"])) == [(0, 12), (1, 13), (2, 14)] and not found["more"].any()
+
+
+def test_components_end_with_the_last_change(spark, monkeypatch):
+    """Stars need no round, a chain no round more than it takes; the smallest node names each component."""
+    from gristmill.llm import shared
+
+    rounds = []
+    monkeypatch.setattr(shared, "saved", lambda df, save=shared.saved: rounds.append(1) or save(df))
+    stars = [(1, 9), (1, 8), (7, 2), (3, 3)]
+    edges = spark.createDataFrame(stars, "u long, v long")
+    assert sorted(map(tuple, shared.components(edges).collect())) == [(1, 1), (2, 2), (7, 2), (8, 1), (9, 1)]
+    assert len(rounds) == 1
+    chain = [(i, i + 1) for i in range(20)] + [(30, 40), (40, 35)]
+    found = dict(map(tuple, shared.components(spark.createDataFrame(chain, "u long, v long")).collect()))
+    assert found == {i: 0 for i in range(21)} | {30: 30, 35: 30, 40: 30}
+    assert shared.components(spark.createDataFrame([], "u long, v long")).collect() == []
